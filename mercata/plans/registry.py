@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercata.operators import delivery as d
 from mercata.operators import growth as g
 from mercata.sources.fixtures import Fixtures
 
@@ -126,3 +127,72 @@ def q_concentration_summary(fx):
 @query("growth_kpis")
 def q_growth_kpis(fx):
     return g.growth_kpis(_growth(fx), g.category_growth(_cat_month(fx)))
+
+
+# ------------------------------------------------------------------ delivery
+
+def _durations(fx: Fixtures) -> DataFrame:
+    return d.fulfilment_durations(fx.orders)
+
+
+@query("fulfilment_durations")
+def q_fulfilment_durations(fx):
+    return _durations(fx)
+
+
+@query("fulfilment_summary")
+def q_fulfilment_summary(fx):
+    return d.fulfilment_summary(_durations(fx))
+
+
+@query("stage_boxplot")
+def q_stage_boxplot(fx):
+    return d.stage_boxplot(_durations(fx))
+
+
+@query("total_days_histogram")
+def q_total_days_histogram(fx):
+    return d.total_days_histogram(_durations(fx), below=60, bins=50)
+
+
+@query("delay_vs_score")
+def q_delay_vs_score(fx):
+    return d.delay_vs_score(fx.orders, fx.reviews, by="timestamp")
+
+
+@query("delay_vs_score_calendar")
+def q_delay_vs_score_calendar(fx):
+    return d.delay_vs_score(fx.orders, fx.reviews, by="calendar")
+
+
+@query("delay_score_gap")
+def q_delay_score_gap(fx):
+    return d.delay_score_gap(d.delay_vs_score(fx.orders, fx.reviews))
+
+
+@query("delay_by_region")
+def q_delay_by_region(fx):
+    return d.delay_by_region(fx.orders, fx.reviews, fx.customers, min_orders=150)
+
+
+@query("delay_by_category")
+def q_delay_by_category(fx):
+    return d.delay_by_category(fx.orders, fx.items, fx.products, fx.translation, fx.reviews, min_orders=200)
+
+
+@query("delay_dose_response")
+def q_delay_dose_response(fx):
+    return d.delay_dose_response(fx.orders, fx.reviews)
+
+
+@query("table_row_counts")
+def q_table_row_counts(fx):
+    return d.table_row_counts({
+        "customers": fx.customers, "orders": fx.orders, "order_items": fx.items,
+        "order_payments": fx.payments, "order_reviews": fx.reviews, "products": fx.products,
+        "category_translation": fx.translation})
+
+
+@query("data_quality_checks")
+def q_data_quality_checks(fx):
+    return d.data_quality_checks(fx.orders, fx.reviews)
