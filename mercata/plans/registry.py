@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercata.operators import customers as c
 from mercata.operators import delivery as d
 from mercata.operators import growth as g
-from mercata.sources.fixtures import Fixtures
+from mercata.sources.fixtures import AS_OF, COHORT_CUTOFF, Fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,3 +197,129 @@ def q_table_row_counts(fx):
 @query("data_quality_checks")
 def q_data_quality_checks(fx):
     return d.data_quality_checks(fx.orders, fx.reviews)
+
+
+# ------------------------------------------------------------------ customers
+
+def _rfm(fx: Fixtures) -> DataFrame:
+    return c.rfm_base(fx.orders, fx.items, as_of=AS_OF)
+
+
+def _scored(fx: Fixtures) -> DataFrame:
+    return c.rfm_scores(_rfm(fx))
+
+
+def _segmented(fx: Fixtures) -> DataFrame:
+    return c.rfm_segments(_scored(fx))
+
+
+def _cohorts(fx: Fixtures) -> DataFrame:
+    return c.cohort_repurchase(fx.orders)
+
+
+def _gaps(fx: Fixtures) -> DataFrame:
+    return c.repurchase_gap_distribution(fx.orders)
+
+
+def _preference(fx: Fixtures) -> DataFrame:
+    return c.group_category_preference(fx.orders, fx.items, fx.products, fx.translation, _segmented(fx))
+
+
+@query("frequency_value_share")
+def q_frequency_value_share(fx):
+    return c.frequency_value_share(fx.orders, fx.items, edges=(1, 2, 5))
+
+
+@query("cohort_repurchase")
+def q_cohort_repurchase(fx):
+    return _cohorts(fx)
+
+
+@query("cohort_summary")
+def q_cohort_summary(fx):
+    return c.cohort_summary(_cohorts(fx), cutoff=COHORT_CUTOFF)
+
+
+@query("repurchase_gap_distribution")
+def q_repurchase_gap_distribution(fx):
+    return _gaps(fx)
+
+
+@query("repurchase_gap_stats")
+def q_repurchase_gap_stats(fx):
+    return c.repurchase_gap_stats(_gaps(fx), days=(30, 90))
+
+
+@query("gap_buckets")
+def q_gap_buckets(fx):
+    return c.gap_buckets(_gaps(fx))
+
+
+@query("rfm_base")
+def q_rfm_base(fx):
+    return _rfm(fx)
+
+
+@query("rfm_scores")
+def q_rfm_scores(fx):
+    return _scored(fx)
+
+
+@query("rfm_segments")
+def q_rfm_segments(fx):
+    return _segmented(fx)
+
+
+@query("segment_stats")
+def q_segment_stats(fx):
+    return c.segment_stats(_segmented(fx))
+
+
+@query("f_score_diagnostics")
+def q_f_score_diagnostics(fx):
+    return c.f_score_diagnostics(_scored(fx))
+
+
+@query("pareto_shares")
+def q_pareto_shares(fx):
+    return c.pareto_shares(_rfm(fx), top=(5, 10, 20), bottom=50)
+
+
+@query("gini")
+def q_gini(fx):
+    return c.gini(_rfm(fx))
+
+
+@query("lorenz_curve")
+def q_lorenz_curve(fx):
+    return c.lorenz_curve(_rfm(fx), points=1000)
+
+
+@query("spend_summary")
+def q_spend_summary(fx):
+    return c.spend_summary(_rfm(fx), q=0.99)
+
+
+@query("spend_histogram")
+def q_spend_histogram(fx):
+    return c.spend_histogram(_rfm(fx), q=0.99, bins=80)
+
+
+@query("group_category_preference")
+def q_group_category_preference(fx):
+    return _preference(fx)
+
+
+@query("group_preference_extremes")
+def q_group_preference_extremes(fx):
+    return c.group_preference_extremes(_preference(fx), k=8)
+
+
+@query("group_payment_mix")
+def q_group_payment_mix(fx):
+    return c.group_payment_mix(fx.orders, fx.payments, _segmented(fx))
+
+
+@query("top_spender_penetration")
+def q_top_spender_penetration(fx):
+    return c.top_spender_penetration(fx.orders, fx.items, fx.customers, q=0.25, min_users=50)
