@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mercata.operators import customers as c
 from mercata.operators import delivery as d
+from mercata.operators import experiment as x
 from mercata.operators import growth as g
 from mercata.sources.fixtures import AS_OF, COHORT_CUTOFF, Fixtures
 
@@ -323,3 +324,36 @@ def q_group_payment_mix(fx):
 @query("top_spender_penetration")
 def q_top_spender_penetration(fx):
     return c.top_spender_penetration(fx.orders, fx.items, fx.customers, q=0.25, min_users=50)
+
+
+# ------------------------------------------------------------------ experiment
+
+@query("arm_summary")
+def q_arm_summary(fx):
+    return x.arm_summary(fx.ab, arm="dmp_id", outcome="click", control=1)
+
+
+@query("contingency")
+def q_contingency(fx):
+    return x.contingency(fx.ab, arm="dmp_id", outcome="click", values=(0, 1))
+
+
+@query("chi_square")
+def q_chi_square(fx):
+    return x.chi_square(x.contingency(fx.ab), correction=True)
+
+
+@query("chi_square_test")
+def q_chi_square_test(fx):
+    return x.chi_square_test(x.contingency(fx.ab), correction=True, alpha=0.05)
+
+
+@query("diff_ci")
+def q_diff_ci(fx):
+    return x.diff_ci(x.arm_summary(fx.ab), control=1, treatment=2, z=1.96)
+
+
+@query("launch_decision")
+def q_launch_decision(fx):
+    chi = x.chi_square_test(x.contingency(fx.ab))
+    return x.launch_decision(chi, x.diff_ci(x.arm_summary(fx.ab)), alpha=0.05)
