@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercata.operators import customers as c
 from mercata.operators import delivery as d
 from mercata.operators import experiment as x
 from mercata.operators import growth as g
-from mercata.sources.fixtures import AS_OF, COHORT_CUTOFF, Fixtures
+from mercata.operators import scorecard as s
+from mercata.sources.fixtures import (
+    APPLICANT_FEATURES, APPLICANT_IMPUTE, APPLICANT_KEY, APPLICANT_RANGES, AS_OF, COHORT_CUTOFF, Fixtures,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -357,3 +361,110 @@ def q_diff_ci(fx):
 def q_launch_decision(fx):
     chi = x.chi_square_test(x.contingency(fx.ab))
     return x.launch_decision(chi, x.diff_ci(x.arm_summary(fx.ab)), alpha=0.05)
+
+
+# ------------------------------------------------------------------ scorecard
+
+TARGET = "target"
+ROW_KEY = list(APPLICANT_KEY)
+
+
+def _clean(fx: Fixtures) -> DataFrame:
+    return s.clean_applicants(fx.applicants, APPLICANT_RANGES, TARGET, APPLICANT_IMPUTE)
+
+
+def _woe(fx: Fixtures) -> DataFrame:
+    clean = _clean(fx)
+    return s.woe_table(clean, s.quantile_bins(clean, APPLICANT_FEATURES, q=5), TARGET, APPLICANT_FEATURES)
+
+
+def _model(fx: Fixtures):
+    """IV-selected features -> WOE encoding (fitted on all rows, as the
+    reference does, T11) -> hash split -> logistic regression."""
+    clean, woe = _clean(fx), _woe(fx)
+    iv = s.iv_table(woe)
+    selected = [r["feature"] for r in iv.filter("selected").select("feature").collect()]
+    sel_woe = woe.filter(F.col("feature").isin(selected))
+    encoded = s.woe_encode(clean, sel_woe, keep=[*ROW_KEY, TARGET])
+    split = s.stratified_split(encoded, ROW_KEY, TARGET, test=0.3, seed=42)
+    cols = [f + "_woe" for f in sorted(selected)]
+    model = s.fit_logistic(split.filter(F.col("split") == "train"), cols, TARGET, C=1.0)
+    return split, model, cols, sel_woe
+
+
+def _scored(fx: Fixtures) -> DataFrame:
+    split, model, cols, _ = _model(fx)
+    return s.predict(model, split, keep=[*ROW_KEY, TARGET, "split"])
+
+
+@query("clean_applicants")
+def q_clean_applicants(fx):
+    return _clean(fx)
+
+
+@query("label_summary")
+def q_label_summary(fx):
+    return s.label_summary(_clean(fx), TARGET)
+
+
+@query("quantile_bins")
+def q_quantile_bins(fx):
+    return s.quantile_bins(_clean(fx), APPLICANT_FEATURES, q=5)
+
+
+@query("woe_table")
+def q_woe_table(fx):
+    return _woe(fx)
+
+
+@query("iv_table")
+def q_iv_table(fx):
+    return s.iv_table(_woe(fx), threshold=0.02)
+
+
+@query("woe_encode")
+def q_woe_encode(fx):
+    return s.woe_encode(_clean(fx), _woe(fx), keep=[*ROW_KEY, TARGET])
+
+
+@query("stratified_split")
+def q_stratified_split(fx):
+    enc = s.woe_encode(_clean(fx), _woe(fx), keep=[*ROW_KEY, TARGET])
+    return s.stratified_split(enc, ROW_KEY, TARGET, test=0.3, seed=42)
+
+
+@query("fit_logistic")
+def q_fit_logistic(fx):
+    _, model, cols, _ = _model(fx)
+    return s.coefficients(model, cols, fx.spark)
+
+
+@query("scorecard_points")
+def q_scorecard_points(fx):
+    _, model, cols, sel_woe = _model(fx)
+    return s.scorecard_points(sel_woe, s.coefficients(model, cols, fx.spark), pdo=50.0)
+
+
+@query("predict")
+def q_predict(fx):
+    return _scored(fx)
+
+
+@query("auc")
+def q_auc(fx):
+    return s.auc(_scored(fx), label=TARGET, score="score", group="split")
+
+
+@query("roc_curve")
+def q_roc_curve(fx):
+    return s.roc_curve(_scored(fx), label=TARGET, score="score", group="split")
+
+
+@query("ks")
+def q_ks(fx):
+    return s.ks(s.roc_curve(_scored(fx), label=TARGET, score="score", group="split"), group="split")
+
+
+@query("overfit_gap")
+def q_overfit_gap(fx):
+    return s.overfit_gap(s.auc(_scored(fx), label=TARGET, score="score", group="split"))
