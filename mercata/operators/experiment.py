@@ -27,13 +27,11 @@ def _finish(df: DataFrame, experiment_id: str | None) -> DataFrame:
     return df.withColumnRenamed(EXP, experiment_id) if experiment_id else df.drop(EXP)
 
 
-def arm_summary(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", experiment_id: str | None = None,
-                control=1, positive=1) -> DataFrame:
-    """AB1: per arm users, positives, rate, and lift against the control arm
-    (percentage points and relative percent)."""
-    g = df.groupBy(*_keys(experiment_id), F.col(arm).alias(arm)).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) == positive).alias("clicks"))
-    g = g.withColumn("click_rate", ratio("clicks", "n"))
+def arm_readout(counts: DataFrame, arm: str = "dmp_id", control=1, experiment_id: str | None = None) -> DataFrame:
+    """Rates and lift from per-arm totals (``arm, n, clicks``, optionally per
+    experiment): click_rate, lift_pp (rate - control rate, percentage points)
+    and rel_lift_pct (rate / control rate - 1, percent)."""
+    g = counts.select(*_keys(experiment_id), arm, "n", "clicks").withColumn("click_rate", ratio("clicks", "n"))
     per_exp = Window.partitionBy(EXP)  # arms of one experiment
     ctrl = F.max(F.when(F.col(arm) == control, F.col("click_rate"))).over(per_exp)
     out = g.select("*", ((F.col("click_rate") - ctrl) * F.lit(100.0)).alias("lift_pp"),
@@ -41,6 +39,21 @@ def arm_summary(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", expe
     return _finish(out, experiment_id).orderBy(*([experiment_id] if experiment_id else []), arm)
 
 
+def arm_counts(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", experiment_id: str | None = None,
+               positive=1) -> DataFrame:
+    """Per (experiment, arm) users and positives: the one pass over events."""
+    keys = ([F.col(experiment_id)] if experiment_id else []) + [F.col(arm)]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                 F.count_if(F.col(outcome) == positive).alias("clicks"))
+
+
+def arm_summary(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", experiment_id: str | None = None,
+                control=1, positive=1) -> DataFrame:
+    """AB1: per arm users, positives, rate, and lift against the control arm
+    (one scan instead of one masked scan per number)."""
+    return arm_readout(arm_counts(df, arm, outcome, experiment_id, positive), arm, control, experiment_id)
+
+
 def contingency(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", values: Sequence = (0, 1),
                 experiment_id: str | None = None) -> DataFrame:
     """AB2: arm x outcome counts, one column ``n_<value>`` per outcome value;
