@@ -44,12 +44,15 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str
     d = (df.filter(F.col(value).isNotNull())
          .groupBy(g.alias(GROUP), F.col(value).alias("value"))
          .agg(F.sum(c).cast("bigint").alias("cnt"), F.sum(w).alias("wsum")))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_bounds"))
-    # One row per group: a broadcast bounded by the number of groups.
-    d = d.join(F.broadcast(bounds), GROUP).select(
-        GROUP, "value", "cnt", "wsum",
-        F.size(F.filter("_bounds", lambda b: b < F.col("value"))).alias("_bucket"))
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_bounds"))
+        # One row per group: a broadcast bounded by the number of groups.
+        d = d.join(F.broadcast(bounds), GROUP).select(
+            GROUP, "value", "cnt", "wsum",
+            F.size(F.filter("_bounds", lambda b: b < F.col("value"))).alias("_bucket"))
+    else:
+        d = d.withColumn("_bucket", F.lit(0))
     per_bucket = d.groupBy(GROUP, "_bucket").agg(F.sum("cnt").alias("_bc"), F.sum("wsum").alias("_bw"))
     before = Window.partitionBy(GROUP).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(GROUP)

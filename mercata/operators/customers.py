@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.columns import CUSTOMERS, ORDERS, PAYMENTS, conform
+from mercata.functions.columns import CUSTOMERS, PAYMENTS, conform
 from mercata.functions.expressions import (
     as_double, bucket_label, bucket_rank, count_buckets, equal_width_histogram, pct, ratio, right_closed_bucket,
 )
@@ -398,7 +398,8 @@ def top_spender_penetration(orders: DataFrame, items: DataFrame, customers: Data
     r = value_ranks(cv, "total_gmv")
     prank = ratio("cnt_gt", F.greatest(F.col("n_total") - 1, F.lit(1)))
     threshold = r.filter(prank <= q).agg(F.min("value")).scalar()
-    buyers = conform(orders, ORDERS, cols).filter(F.col("order_status") == status).select("customer_id").distinct()
+    buyers = (conform(orders, ("customer_id", "order_status"), cols)
+              .filter(F.col("order_status") == status).select("customer_id").distinct())
     spend = buyers.join(cv, "customer_id", "left")
     c = conform(customers, CUSTOMERS, customer_cols)
     top = F.col("total_gmv").isNotNull() & (F.col("total_gmv") >= threshold)

@@ -392,7 +392,7 @@ def _model(fx: Fixtures):
     return split, model, cols, sel_woe
 
 
-def _scored(fx: Fixtures) -> DataFrame:
+def _predictions(fx: Fixtures) -> DataFrame:
     split, model, cols, _ = _model(fx)
     return s.predict(model, split, keep=[*ROW_KEY, TARGET, "split"])
 
@@ -447,24 +447,24 @@ def q_scorecard_points(fx):
 
 @query("predict")
 def q_predict(fx):
-    return _scored(fx)
+    return _predictions(fx)
 
 
 @query("auc")
 def q_auc(fx):
-    return s.auc(_scored(fx), label=TARGET, score="score", group="split")
+    return s.auc(_predictions(fx), label=TARGET, score="score", group="split")
 
 
 @query("roc_curve")
 def q_roc_curve(fx):
-    return s.roc_curve(_scored(fx), label=TARGET, score="score", group="split")
+    return s.roc_curve(_predictions(fx), label=TARGET, score="score", group="split")
 
 
 @query("ks")
 def q_ks(fx):
-    return s.ks(s.roc_curve(_scored(fx), label=TARGET, score="score", group="split"), group="split")
+    return s.ks(s.roc_curve(_predictions(fx), label=TARGET, score="score", group="split"), group="split")
 
 
 @query("overfit_gap")
 def q_overfit_gap(fx):
-    return s.overfit_gap(s.auc(_scored(fx), label=TARGET, score="score", group="split"))
+    return s.overfit_gap(s.auc(_predictions(fx), label=TARGET, score="score", group="split"))
