@@ -51,7 +51,7 @@ def frequency_value_share(orders: DataFrame, items: DataFrame, edges: Sequence[i
     return (g.select("frequency", "user_count", pct("user_count", F.sum("user_count").over(every)).alias("user_pct"),
                      "total_gmv", pct("total_gmv", F.sum("total_gmv").over(every)).alias("gmv_pct"), "_r")
             .withColumn("pct_gap", F.col("gmv_pct") - F.col("user_pct"))
-            .orderBy("_r").drop("_r"))
+            .drop("_r"))
 
 
 # ---------------------------------------------------------------- R2 / R3
@@ -71,8 +71,7 @@ def cohort_repurchase(orders: DataFrame, status: str = "delivered", cols: Cols =
     g = per_c.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"),
                                           F.count_if(F.col("_last") > F.col("cohort_month")).alias("repurchasers"))
     return (g.select("cohort_month", "cohort_size", "repurchasers",
-                     pct("repurchasers", "cohort_size").alias("repurchase_rate"))
-            .orderBy("cohort_month"))
+                     pct("repurchasers", "cohort_size").alias("repurchase_rate")))
 
 
 def cohort_summary(cohorts: DataFrame, cutoff: str) -> DataFrame:
@@ -108,8 +107,7 @@ def repurchase_gap_distribution(orders: DataFrame, status: str = "delivered", co
              .select("days_between", F.lit(1).cast("bigint").alias("_c")))
     same_day = chunks.filter(F.col("_n") > 1).select(F.lit(0).cast("bigint").alias("days_between"),
                                                      (F.col("_n") - 1).cast("bigint").alias("_c"))
-    return (cross.unionByName(same_day).groupBy("days_between").agg(F.sum("_c").alias("count"))
-            .orderBy("days_between"))
+    return (cross.unionByName(same_day).groupBy("days_between").agg(F.sum("_c").alias("count")))
 
 
 def repurchase_gap_stats(gaps: DataFrame, days: Sequence[int] = (30, 90)) -> DataFrame:
@@ -147,8 +145,7 @@ def gap_buckets(gaps: DataFrame, edges: Sequence[int] = GAP_EDGES) -> DataFrame:
     for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
         rank = F.when((v > lo) & (v <= hi), i).otherwise(rank)
     return (gaps.groupBy(label.alias("gap_bucket"), rank.alias("bucket_rank"))
-            .agg(F.sum("count").alias("count")).filter(F.col("count") > 0)
-            .orderBy("bucket_rank"))
+            .agg(F.sum("count").alias("count")).filter(F.col("count") > 0))
 
 
 # ---------------------------------------------------------------- R7 .. R11
@@ -221,8 +218,7 @@ def segment_stats(segmented: DataFrame) -> DataFrame:
     every = Window.partitionBy()  # at most four rows
     return (g.select("*", pct("user_count", F.sum("user_count").over(every)).alias("user_pct"),
                      pct("total_gmv", F.sum("total_gmv").over(every)).alias("gmv_pct"),
-                     _segment_rank().alias("segment_rank"))
-            .orderBy("segment_rank"))
+                     _segment_rank().alias("segment_rank")))
 
 
 def f_score_diagnostics(scored: DataFrame) -> DataFrame:
@@ -232,8 +228,7 @@ def f_score_diagnostics(scored: DataFrame) -> DataFrame:
     return (scored.groupBy("F_score")
             .agg(F.count(F.lit(1)).alias("user_count"), F.avg("frequency").alias("mean_frequency"),
                  F.median("frequency").alias("median_frequency"))
-            .select("*", (overall <= 1).alias("f_degenerate"))
-            .orderBy("F_score"))
+            .select("*", (overall <= 1).alias("f_degenerate")))
 
 
 # ---------------------------------------------------------------- R12 .. R14
@@ -300,8 +295,7 @@ def lorenz_curve(rfm: DataFrame, points: int = 1000, value: str = "monetary") ->
     cum = F.col("w_gt") + (rank - F.col("cnt_gt")) * F.col("value")
     return (e.select(rank.alias("rank"),
                      (ratio(rank, "n_total") * F.lit(100.0)).alias("user_pct"),
-                     pct(cum, "w_total").alias("cum_gmv_pct"))
-            .orderBy("rank"))
+                     pct(cum, "w_total").alias("cum_gmv_pct")))
 
 
 def spend_summary(rfm: DataFrame, q: float = 0.99, value: str = "monetary") -> DataFrame:
@@ -353,8 +347,7 @@ def group_category_preference(orders: DataFrame, items: DataFrame, products: Dat
     g = g.select("category", "group_gmv", "others_gmv",
                  pct("group_gmv", F.sum("group_gmv").over(every)).alias("group_share"),
                  pct("others_gmv", F.sum("others_gmv").over(every)).alias("others_share"))
-    return (g.withColumn("share_diff", F.col("group_share") - F.col("others_share"))
-            .orderBy(F.desc("share_diff"), "category"))
+    return (g.withColumn("share_diff", F.col("group_share") - F.col("others_share")))
 
 
 def group_preference_extremes(pref: DataFrame, k: int = 8) -> DataFrame:
@@ -379,8 +372,7 @@ def group_payment_mix(orders: DataFrame, payments: DataFrame, segmented: DataFra
     per_group = Window.partitionBy("user_group")  # over the (group, type) table
     return (g.select("user_group", "payment_type", "payment_count",
                      ratio("_v", "payment_count").alias("avg_payment_value"),
-                     pct("payment_count", F.sum("payment_count").over(per_group)).alias("share_pct"))
-            .orderBy("user_group", F.desc("payment_count")))
+                     pct("payment_count", F.sum("payment_count").over(per_group)).alias("share_pct")))
 
 
 def top_spender_penetration(orders: DataFrame, items: DataFrame, customers: DataFrame, q: float = 0.25,
@@ -406,5 +398,4 @@ def top_spender_penetration(orders: DataFrame, items: DataFrame, customers: Data
     g = (spend.join(c, "customer_id").groupBy(F.col("customer_state").alias("state"))
          .agg(F.count_if(top).alias("hv_users"), F.count(F.lit(1)).alias("total_users")))
     return (g.filter(F.col("total_users") > min_users)
-            .select("state", "hv_users", "total_users", pct("hv_users", "total_users").alias("hv_penetration"))
-            .orderBy(F.desc("hv_penetration"), "state"))
+            .select("state", "hv_users", "total_users", pct("hv_users", "total_users").alias("hv_penetration")))

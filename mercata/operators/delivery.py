@@ -94,7 +94,7 @@ def stage_boxplot(durations: DataFrame, stages: Sequence[str] = STAGES, whisker:
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
         F.count_if((v < F.col("_lo")) | (v > F.col("_hi"))).alias("n_outliers"))
-    return stats.join(w, "stage").orderBy("stage")
+    return stats.join(w, "stage")
 
 
 def total_days_histogram(durations: DataFrame, below: int = 60, bins: int = 50) -> DataFrame:
@@ -172,8 +172,7 @@ def delay_dose_response(orders: DataFrame, reviews: DataFrame, edges: Sequence[i
               F.sum("n_scored").alias("_scored"), F.sum("score_sum").alias("_score"),
               F.sum("n_bad").alias("_bad")))
     return (g.select("delay_severity", "severity_rank", "order_count",
-                     ratio("_score", "_scored").alias("avg_score"), pct("_bad", "_rows").alias("bad_rate_pct"))
-            .orderBy("severity_rank"))
+                     ratio("_score", "_scored").alias("avg_score"), pct("_bad", "_rows").alias("bad_rate_pct")))
 
 
 # ---------------------------------------------------------------- X6 / X7
@@ -217,8 +216,7 @@ def delay_by_region(orders: DataFrame, reviews: DataFrame, customers: DataFrame,
     return (res.select("*",
                        (F.col("delay_rate_pct") > F.median("delay_rate_pct").over(all_rows)).alias("above_median"),
                        (F.max("delay_rate_pct").over(all_rows) - F.min("delay_rate_pct").over(all_rows))
-                       .alias("delay_rate_spread"))
-            .orderBy(F.desc("delay_rate_pct"), "state"))
+                       .alias("delay_rate_spread")))
 
 
 def delay_by_category(orders: DataFrame, items: DataFrame, products: DataFrame, translation: DataFrame,
@@ -236,8 +234,7 @@ def delay_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
     facts = j.select("category", *_delay_facts(j, F.col("n_items"), by))
     g = facts.groupBy("category").agg(F.count(F.lit(1)).alias("order_count"),
                                       *[F.sum(c).alias(c) for c in _SUMS])
-    return (_delay_metrics(g, "category").filter(F.col("order_count") > min_orders)
-            .orderBy(F.desc("delay_rate_pct"), "category"))
+    return (_delay_metrics(g, "category").filter(F.col("order_count") > min_orders))
 
 
 # ---------------------------------------------------------------- X9 / X10

@@ -36,7 +36,7 @@ def arm_readout(counts: DataFrame, arm: str = "dmp_id", control=1, experiment_id
     ctrl = F.max(F.when(F.col(arm) == control, F.col("click_rate"))).over(per_exp)
     out = g.select("*", ((F.col("click_rate") - ctrl) * F.lit(100.0)).alias("lift_pp"),
                    ((F.try_divide(F.col("click_rate"), ctrl) - F.lit(1.0)) * F.lit(100.0)).alias("rel_lift_pct"))
-    return _finish(out, experiment_id).orderBy(*([experiment_id] if experiment_id else []), arm)
+    return _finish(out, experiment_id)
 
 
 def arm_counts(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", experiment_id: str | None = None,
@@ -61,7 +61,7 @@ def contingency(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", valu
     present are kept (T21)."""
     cells = [F.count_if(F.col(outcome) == v).alias(f"n_{v}") for v in values]
     g = df.groupBy(*_keys(experiment_id), F.col(arm).alias(arm)).agg(*cells)
-    return _finish(g, experiment_id).orderBy(*([experiment_id] if experiment_id else []), arm)
+    return _finish(g, experiment_id)
 
 
 def chi_square(table: DataFrame, arm: str = "dmp_id", values: Sequence = (0, 1), correction: bool = True,

@@ -49,8 +49,7 @@ def monthly_gmv_trend(orders: DataFrame, items: DataFrame, status: str = "delive
     og = order_gmv(orders, items, status, cols, item_cols)
     return (og.groupBy("month")
             .agg(F.count(F.lit(1)).alias("order_count"), F.sum("gmv").alias("gmv"))
-            .select("month", "order_count", "gmv", money_ratio("gmv", "order_count").alias("aov"))
-            .orderBy("month"))
+            .select("month", "order_count", "gmv", money_ratio("gmv", "order_count").alias("aov")))
 
 
 GROWTH_NAMES = {"gmv": "gmv_growth", "order_count": "order_growth", "aov": "aov_growth"}
@@ -64,7 +63,7 @@ def period_growth(trend: DataFrame, order_col: str = "month",
     its single ordered partition is bounded by the number of periods.
     """
     return trend.select("*", *[pct_change(c, [order_col]).alias(name)
-                              for c, name in value_cols.items()]).orderBy(order_col)
+                              for c, name in value_cols.items()])
 
 
 def _inner_periods(df: DataFrame, order_col: str) -> DataFrame:
@@ -119,7 +118,7 @@ def purchase_frequency(orders: DataFrame, edges: Sequence[int] = (1, 2), status:
     n = F.col("order_count")
     return (per_c.groupBy(bucket_label(n, buckets).alias("frequency"), bucket_rank(n, buckets).alias("_r"))
             .agg(F.count(F.lit(1)).alias("user_count"))
-            .orderBy("_r").drop("_r"))
+            .drop("_r"))
 
 
 def repeat_rate(orders: DataFrame, status: str = "delivered", cols: Cols = None,
@@ -147,11 +146,9 @@ def monthly_customers(orders: DataFrame, items: DataFrame, status: str = "delive
         cm = cm.withColumn("_first", first)
         return (cm.groupBy("month")
                 .agg(F.count_if(F.col("month") == F.col("_first")).alias("customers"),
-                     F.sum("gmv").alias("gmv"))
-                .orderBy("month"))
+                     F.sum("gmv").alias("gmv")))
     return (cm.groupBy("month")
-            .agg(F.count(F.lit(1)).alias("customers"), F.sum("gmv").alias("gmv"))
-            .orderBy("month"))
+            .agg(F.count(F.lit(1)).alias("customers"), F.sum("gmv").alias("gmv")))
 
 
 def customer_trend_edges(monthly: DataFrame, k: int = 6, value: str = "customers") -> DataFrame:
@@ -191,16 +188,14 @@ def category_month_gmv(orders: DataFrame, items: DataFrame, products: DataFrame,
     o = delivered_orders(orders, status, cols)
     return (per_oc.join(o.select("order_id", "month"), "order_id")
             .groupBy("month", "category")
-            .agg(F.sum("gmv").alias("gmv"), F.count(F.lit(1)).alias("order_count"))
-            .orderBy("month", F.desc("gmv")))
+            .agg(F.sum("gmv").alias("gmv"), F.count(F.lit(1)).alias("order_count")))
 
 
 def category_totals(cat_month: DataFrame) -> DataFrame:
     """total_gmv, total_orders (sum of monthly distinct orders), months_active."""
     return (cat_month.groupBy("category")
             .agg(F.sum("gmv").alias("total_gmv"), F.sum("order_count").alias("total_orders"),
-                 F.count_distinct("month").alias("months_active"))
-            .orderBy(F.desc("total_gmv"), "category"))
+                 F.count_distinct("month").alias("months_active")))
 
 
 def category_growth(cat_month: DataFrame) -> DataFrame:
@@ -218,8 +213,7 @@ def category_growth(cat_month: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(38,2)")
     return (g.select("category", F.coalesce("first_gmv", zero).alias("first_gmv"),
                      F.coalesce("last_gmv", zero).alias("last_gmv"))
-            .withColumn("gmv_change", F.col("last_gmv") - F.col("first_gmv"))
-            .orderBy(F.desc("gmv_change"), "category"))
+            .withColumn("gmv_change", F.col("last_gmv") - F.col("first_gmv")))
 
 
 def top_gainers_decliners(cat_growth: DataFrame, k_up: int = 10, k_down: int = 5) -> DataFrame:
@@ -247,8 +241,7 @@ def topk_category_month_matrix(cat_month: DataFrame, k: int = 10) -> DataFrame:
     long = wide.unpivot("month", [str(r) for r in ranks], "category_rank", "gmv")
     long = long.withColumn("category_rank", F.col("category_rank").cast("int"))
     return (long.join(F.broadcast(ranked), "category_rank")
-            .select("month", "category", "category_rank", "gmv")
-            .orderBy("month", "category_rank"))
+            .select("month", "category", "category_rank", "gmv"))
 
 
 # ---------------------------------------------------------------- G13 / G14 / G15
@@ -275,8 +268,7 @@ def region_concentration(orders: DataFrame, items: DataFrame, customers: DataFra
     return (st.select("state", "order_count", "customer_count", "gmv",
                       money_ratio("gmv", "order_count").alias("aov"),
                       pct("gmv", total).alias("gmv_share"),
-                      pct(running, total).alias("gmv_cum_share"))
-            .orderBy(F.desc("gmv"), "state"))
+                      pct(running, total).alias("gmv_cum_share")))
 
 
 def concentration_summary(regions: DataFrame, ks: Sequence[int] = (1, 3, 5), reach_pct: float = 80.0,

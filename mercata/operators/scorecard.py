@@ -114,15 +114,14 @@ def woe_table(df: DataFrame, bins: DataFrame, target: str, features: Sequence[st
            .when(F.col("bad_pct") == 0, F.lit(float("-inf")))
            .when(F.col("good_pct") == 0, F.lit(float("inf")))
            .otherwise(F.ln(F.col("bad_pct") / F.col("good_pct"))))
-    return g.select("*", woe.alias("woe")).orderBy("feature", "bin")
+    return g.select("*", woe.alias("woe"))
 
 
 def iv_table(woe: DataFrame, threshold: float = 0.02) -> DataFrame:
     """Information value per feature, selection flag (iv > threshold), rank."""
     g = woe.groupBy("feature").agg(F.sum((F.col("bad_pct") - F.col("good_pct")) * F.col("woe")).alias("iv"))
     return (g.select("feature", "iv", (F.col("iv") > threshold).alias("selected"),
-                     F.row_number().over(Window.orderBy(F.desc("iv"), "feature")).alias("iv_rank"))
-            .orderBy("iv_rank"))
+                     F.row_number().over(Window.orderBy(F.desc("iv"), "feature")).alias("iv_rank")))
 
 
 # ---------------------------------------------------------------- S6 / S7
@@ -218,8 +217,7 @@ def scorecard_points(woe: DataFrame, coefs: DataFrame, pdo: float = 50.0, suffix
     c = coefs.select(F.regexp_replace("feature", suffix + "$", "").alias("feature"), "coef")
     j = woe.join(F.broadcast(c), "feature")  # one row per model feature
     return (j.select("feature", "bin", "lo", "hi", "woe", "coef",
-                     F.bround(-F.col("coef") * F.col("woe") * F.lit(factor), 0).alias("points"))
-            .orderBy("feature", "bin"))
+                     F.bround(-F.col("coef") * F.col("woe") * F.lit(factor), 0).alias("points")))
 
 
 # ---------------------------------------------------------------- S11 .. S13
@@ -253,7 +251,7 @@ def roc_curve(scored: DataFrame, label: str = "target", score: str = "score", gr
     keys = [group] if group else []
     out = r.select(*keys, F.col("value").alias("threshold"), ratio(neg_ge, n_neg).alias("fpr"),
                    ratio(pos_ge, "w_total").alias("tpr"))
-    return out.withColumn("ks_gap", F.col("tpr") - F.col("fpr")).orderBy(*keys, F.desc("threshold"))
+    return out.withColumn("ks_gap", F.col("tpr") - F.col("fpr"))
 
 
 def ks(roc: DataFrame, group: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from mercata.operators import delivery as d
 from mercata.operators import experiment as x
 from mercata.operators import growth as g
 from mercata.operators import scorecard as s
+from mercata.session import materialize
 from mercata.sources.fixtures import (
     APPLICANT_FEATURES, APPLICANT_IMPUTE, APPLICANT_KEY, APPLICANT_RANGES, AS_OF, COHORT_CUTOFF, Fixtures,
 )
@@ -207,11 +208,12 @@ def q_data_quality_checks(fx):
 # ------------------------------------------------------------------ customers
 
 def _rfm(fx: Fixtures) -> DataFrame:
-    return c.rfm_base(fx.orders, fx.items, as_of=AS_OF)
+    # One row per customer, read by every RFM / concentration step: written once.
+    return materialize(c.rfm_base(fx.orders, fx.items, as_of=AS_OF))
 
 
 def _scored(fx: Fixtures) -> DataFrame:
-    return c.rfm_scores(_rfm(fx))
+    return materialize(c.rfm_scores(_rfm(fx)))
 
 
 def _segmented(fx: Fixtures) -> DataFrame:
@@ -370,7 +372,8 @@ ROW_KEY = list(APPLICANT_KEY)
 
 
 def _clean(fx: Fixtures) -> DataFrame:
-    return s.clean_applicants(fx.applicants, APPLICANT_RANGES, TARGET, APPLICANT_IMPUTE)
+    # Read by binning, WOE, encoding and fitting: written once.
+    return materialize(s.clean_applicants(fx.applicants, APPLICANT_RANGES, TARGET, APPLICANT_IMPUTE))
 
 
 def _woe(fx: Fixtures) -> DataFrame:
@@ -381,12 +384,14 @@ def _woe(fx: Fixtures) -> DataFrame:
 def _model(fx: Fixtures):
     """IV-selected features -> WOE encoding (fitted on all rows, as the
     reference does, T11) -> hash split -> logistic regression."""
-    clean, woe = _clean(fx), _woe(fx)
+    clean = _clean(fx)
+    woe = materialize(s.woe_table(clean, s.quantile_bins(clean, APPLICANT_FEATURES, q=5), TARGET,
+                                  APPLICANT_FEATURES))
     iv = s.iv_table(woe)
     selected = [r["feature"] for r in iv.filter("selected").select("feature").collect()]
     sel_woe = woe.filter(F.col("feature").isin(selected))
     encoded = s.woe_encode(clean, sel_woe, keep=[*ROW_KEY, TARGET])
-    split = s.stratified_split(encoded, ROW_KEY, TARGET, test=0.3, seed=42)
+    split = materialize(s.stratified_split(encoded, ROW_KEY, TARGET, test=0.3, seed=42))
     cols = [f + "_woe" for f in sorted(selected)]
     model = s.fit_logistic(split.filter(F.col("split") == "train"), cols, TARGET, C=1.0)
     return split, model, cols, sel_woe

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator assumes: UTC wall clock for TIMESTAMP_NTZ arithmetic,
 # ANSI on (so operators use try_divide / try_cast explicitly), AQE with
@@ -55,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     always respected. A private temporary folder is used only when nothing is
     configured (local tests).
     """
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -65,3 +68,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and continue from it.
+
+    For intermediates that several later jobs read (scalar subqueries, model
+    fitting passes): they are computed once instead of once per reader, and the
+    lineage is cut, so a lost executor recomputes from the written files
+    rather than from the original scans.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
