@@ -46,11 +46,19 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str
          .agg(F.sum(c).cast("bigint").alias("cnt"), F.sum(w).alias("wsum")))
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
-        bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_bounds"))
-        # One row per group: a broadcast bounded by the number of groups.
-        d = d.join(F.broadcast(bounds), GROUP).select(
-            GROUP, "value", "cnt", "wsum",
-            F.size(F.filter("_bounds", lambda b: b < F.col("value"))).alias("_bucket"))
+        bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_b"))
+        # Bucket k spans (b[k], b[k+1]] with open ends: groups x buckets rows,
+        # a bounded broadcast. The range test runs in generated join code.
+        k = F.col("_bucket")
+        ranges = (bounds.select(F.col(GROUP).alias("_g"), "_b",
+                                F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
+                  .select("_g", "_bucket",
+                          F.when(k > 0, F.try_element_at("_b", k)).alias("_lo"),
+                          F.when(k < buckets - 1, F.try_element_at("_b", k + 1)).alias("_hi")))
+        v = F.col("value")
+        inside = ((F.col(GROUP) == F.col("_g")) & (F.col("_lo").isNull() | (v > F.col("_lo")))
+                  & (F.col("_hi").isNull() | (v <= F.col("_hi"))))
+        d = d.join(F.broadcast(ranges), inside).select(GROUP, "value", "cnt", "wsum", "_bucket")
     else:
         d = d.withColumn("_bucket", F.lit(0))
     per_bucket = d.groupBy(GROUP, "_bucket").agg(F.sum("cnt").alias("_bc"), F.sum("wsum").alias("_bw"))

@@ -357,10 +357,24 @@ def group_preference_extremes(pref: DataFrame, k: int = 8) -> DataFrame:
     return top.unionByName(low)
 
 
+# Display labels of payment types (others keep their code).
+PAYMENT_LABELS = {"credit_card": "Credit Card", "boleto": "Boleto", "voucher": "Voucher",
+                  "debit_card": "Debit Card", "not_defined": "N/A"}
+
+
+def payment_label(code: str, labels: Mapping[str, str] = PAYMENT_LABELS):
+    """Dictionary lookup with the code itself as default (a literal map,
+    evaluated in generated code; no join)."""
+    pairs = [F.lit(x) for kv in labels.items() for x in kv]
+    return F.coalesce(F.create_map(*pairs)[F.col(code)], F.col(code))
+
+
 def group_payment_mix(orders: DataFrame, payments: DataFrame, segmented: DataFrame, segment: str = HIGH_VALUE,
-                      status: str = "delivered", cols: Cols = None, payment_cols: Cols = None) -> DataFrame:
+                      status: str = "delivered", cols: Cols = None, payment_cols: Cols = None,
+                      labels: Mapping[str, str] | None = None) -> DataFrame:
     """Payments per type for ``segment`` customers vs others: count,
-    mean value, share of the group's payments."""
+    mean value, share of the group's payments; with ``labels`` an extra
+    ``payment_label`` column (J11)."""
     p = conform(payments, PAYMENTS, payment_cols)
     o = delivered_orders(orders, status, cols).select("order_id", "customer_id")
     per_ct = (p.join(o, "order_id").groupBy("customer_id", "payment_type")
@@ -370,9 +384,10 @@ def group_payment_mix(orders: DataFrame, payments: DataFrame, segmented: DataFra
     g = j.groupBy(grp.alias("user_group"), "payment_type").agg(F.sum("n").alias("payment_count"),
                                                               F.sum("v").alias("_v"))
     per_group = Window.partitionBy("user_group")  # over the (group, type) table
-    return (g.select("user_group", "payment_type", "payment_count",
-                     ratio("_v", "payment_count").alias("avg_payment_value"),
-                     pct("payment_count", F.sum("payment_count").over(per_group)).alias("share_pct")))
+    out = g.select("user_group", "payment_type", "payment_count",
+                   ratio("_v", "payment_count").alias("avg_payment_value"),
+                   pct("payment_count", F.sum("payment_count").over(per_group)).alias("share_pct"))
+    return out.withColumn("payment_label", payment_label("payment_type", labels)) if labels else out
 
 
 def top_spender_penetration(orders: DataFrame, items: DataFrame, customers: DataFrame, q: float = 0.25,
