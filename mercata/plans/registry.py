@@ -36,7 +36,9 @@ def query(name: str):
 # ------------------------------------------------------------------ growth
 
 def _trend(fx: Fixtures) -> DataFrame:
-    return g.monthly_gmv_trend(fx.orders, fx.items)
+    # Small aggregated tables read by several steps / scalar subqueries are
+    # written once (materialize) instead of being recomputed by each reader.
+    return materialize(g.monthly_gmv_trend(fx.orders, fx.items))
 
 
 def _growth(fx: Fixtures) -> DataFrame:
@@ -44,16 +46,16 @@ def _growth(fx: Fixtures) -> DataFrame:
 
 
 def _cat_month(fx: Fixtures) -> DataFrame:
-    return g.category_month_gmv(fx.orders, fx.items, fx.products, fx.translation)
+    return materialize(g.category_month_gmv(fx.orders, fx.items, fx.products, fx.translation))
 
 
 def _regions(fx: Fixtures) -> DataFrame:
-    return g.region_concentration(fx.orders, fx.items, fx.customers)
+    return materialize(g.region_concentration(fx.orders, fx.items, fx.customers))
 
 
 @query("monthly_gmv_trend")
 def q_monthly_gmv_trend(fx):
-    return _trend(fx)
+    return g.monthly_gmv_trend(fx.orders, fx.items)
 
 
 @query("period_growth")
@@ -98,7 +100,7 @@ def q_monthly_customers_edges(fx):
 
 @query("category_month_gmv")
 def q_category_month_gmv(fx):
-    return _cat_month(fx)
+    return g.category_month_gmv(fx.orders, fx.items, fx.products, fx.translation)
 
 
 @query("category_totals")
@@ -123,7 +125,7 @@ def q_topk_category_month_matrix(fx):
 
 @query("region_concentration")
 def q_region_concentration(fx):
-    return _regions(fx)
+    return g.region_concentration(fx.orders, fx.items, fx.customers)
 
 
 @query("concentration_summary")
@@ -221,15 +223,16 @@ def _segmented(fx: Fixtures) -> DataFrame:
 
 
 def _cohorts(fx: Fixtures) -> DataFrame:
-    return c.cohort_repurchase(fx.orders)
+    return materialize(c.cohort_repurchase(fx.orders))
 
 
 def _gaps(fx: Fixtures) -> DataFrame:
-    return c.repurchase_gap_distribution(fx.orders)
+    return materialize(c.repurchase_gap_distribution(fx.orders))
 
 
 def _preference(fx: Fixtures) -> DataFrame:
-    return c.group_category_preference(fx.orders, fx.items, fx.products, fx.translation, _segmented(fx))
+    return materialize(c.group_category_preference(fx.orders, fx.items, fx.products, fx.translation,
+                                                   _segmented(fx)))
 
 
 @query("frequency_value_share")
@@ -239,7 +242,7 @@ def q_frequency_value_share(fx):
 
 @query("cohort_repurchase")
 def q_cohort_repurchase(fx):
-    return _cohorts(fx)
+    return c.cohort_repurchase(fx.orders)
 
 
 @query("cohort_summary")
@@ -249,7 +252,7 @@ def q_cohort_summary(fx):
 
 @query("repurchase_gap_distribution")
 def q_repurchase_gap_distribution(fx):
-    return _gaps(fx)
+    return c.repurchase_gap_distribution(fx.orders)
 
 
 @query("repurchase_gap_stats")
@@ -264,7 +267,7 @@ def q_gap_buckets(fx):
 
 @query("rfm_base")
 def q_rfm_base(fx):
-    return _rfm(fx)
+    return c.rfm_base(fx.orders, fx.items, as_of=AS_OF)
 
 
 @query("rfm_scores")
@@ -314,7 +317,7 @@ def q_spend_histogram(fx):
 
 @query("group_category_preference")
 def q_group_category_preference(fx):
-    return _preference(fx)
+    return c.group_category_preference(fx.orders, fx.items, fx.products, fx.translation, _segmented(fx))
 
 
 @query("group_preference_extremes")
