@@ -28,8 +28,19 @@ from pyspark.sql import functions as F
 GROUP = "_group"
 
 
+def default_buckets(df: DataFrame) -> int:
+    """Buckets per group: twice the shuffle partitions, within [64, 4096].
+
+    Window partitions then hold about distinct values / buckets rows (10^9
+    distinct values over 4096 buckets: ~250k rows per sort), while the
+    broadcast range table stays at groups x buckets rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(64, min(4096, 2 * parts))
+
+
 def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str | None = None,
-                count: str | None = None, buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+                count: str | None = None, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
     """Distinct values with their neighbourhood totals.
 
     Input: rows with ``value`` (NULLs ignored), optional ``group`` key,
@@ -38,6 +49,7 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str
     cnt_lt, w_lt (strictly smaller values), cnt_gt, w_gt (strictly larger),
     n_total, w_total (per group).
     """
+    buckets = buckets or default_buckets(df)
     g = F.col(group) if group else F.lit(0)
     w = F.col(weight) if weight else F.lit(0)
     c = F.col(count) if count else F.lit(1)
@@ -91,7 +103,8 @@ def _value_at(rank: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None,
-                    count: str | None = None, buckets: int = 64, names: Sequence[str] | None = None) -> DataFrame:
+                    count: str | None = None, buckets: int | None = None,
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy 'linear',
     DuckDB ``quantile_cont``), one row per group, one column per prob.
 

@@ -9,7 +9,7 @@ from mercata.operators.customers import (  # noqa: F401
     cohort_repurchase, cohort_summary, customer_value, f_score_diagnostics, frequency_value_share, gap_buckets, gini,
     group_category_preference, group_payment_mix, group_preference_extremes, lorenz_curve, pareto_shares,
     payment_label, repurchase_gap_distribution, repurchase_gap_stats, rfm_base, rfm_scores, rfm_segments,
-    segment_stats, spend_histogram, spend_summary, top_spender_penetration,
+    segment_stats, spend_histogram, spend_summary, top_spender_penetration, with_customer_key,
 )
 from mercata.operators.delivery import (  # noqa: F401
     data_quality_checks, delay_by_category, delay_by_region, delay_dose_response, delay_score_gap, delay_vs_score,

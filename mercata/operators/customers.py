@@ -28,6 +28,22 @@ HIGH_VALUE = "High-Value"
 SEGMENTS = ("High-Value", "Potential", "Average", "At-Risk")
 
 
+# ---------------------------------------------------------------- T1
+
+def with_customer_key(orders: DataFrame, customers: DataFrame, key: str = "customer_unique_id",
+                      cols: Cols = None, customer_cols: Cols = None) -> DataFrame:
+    """Re-key orders by another customer identifier (e.g. the person-level
+    ``customer_unique_id``; orders carry only the per-order ``customer_id``).
+
+    The customers table is unique on customer_id, so this is a 1:1 join and
+    every operator then counts repeat purchases per person.
+    """
+    o = orders.withColumnsRenamed({actual: canonical for canonical, actual in (cols or {}).items()})
+    cu = conform(customers, ("customer_id", key), customer_cols)
+    return (o.join(cu, "customer_id")
+            .select(*[F.col(key).alias("customer_id") if c == "customer_id" else F.col(c) for c in o.columns]))
+
+
 # ---------------------------------------------------------------- R1
 
 def customer_value(orders: DataFrame, items: DataFrame, status: str = "delivered", cols: Cols = None,

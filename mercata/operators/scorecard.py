@@ -210,14 +210,17 @@ def predict(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return out.select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
-def scorecard_points(woe: DataFrame, coefs: DataFrame, pdo: float = 50.0, suffix: str = "_woe") -> DataFrame:
+def scorecard_points(woe: DataFrame, coefs: DataFrame, pdo: float = 50.0, suffix: str = "_woe",
+                     base: float | None = None) -> DataFrame:
     """Points per bin = round_half_even(-coef * woe * pdo / ln 2). The
-    base score is not added (as in the reference: it is only reported)."""
+    base score is not added to the points (T13: the reference only reports
+    it); pass ``base`` to carry it as a separate ``base_score`` column."""
     factor = pdo / math.log(2)
     c = coefs.select(F.regexp_replace("feature", suffix + "$", "").alias("feature"), "coef")
     j = woe.join(F.broadcast(c), "feature")  # one row per model feature
-    return (j.select("feature", "bin", "lo", "hi", "woe", "coef",
-                     F.bround(-F.col("coef") * F.col("woe") * F.lit(factor), 0).alias("points")))
+    out = j.select("feature", "bin", "lo", "hi", "woe", "coef",
+                   F.bround(-F.col("coef") * F.col("woe") * F.lit(factor), 0).alias("points"))
+    return out if base is None else out.withColumn("base_score", F.lit(float(base)))
 
 
 # ---------------------------------------------------------------- S11 .. S13
