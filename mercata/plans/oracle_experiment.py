@@ -27,6 +27,18 @@ chi as (select sum(t) as chi2, sum(u) as chi2_uncorrected, max(dof) as dof, cast
           min(min_e) as min_expected from per_arm)"""
 
 
+# One degree of freedom: P(X > x) = erfc(sqrt(x / 2)); DuckDB has no erf, so the
+# oracle sums the erf Maclaurin series (accurate for the statistics seen here).
+PVAL = """erf_terms as (select cast(k as double) as k from range(0, 150) t(k)),
+pv as (
+  select
+    1.0 - 2.0 / sqrt(pi()) * sum(pow(-1.0, k) * pow(sqrt(chi2 / 2.0), 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1)))
+      as p_value,
+    1.0 - 2.0 / sqrt(pi()) * sum(pow(-1.0, k) * pow(sqrt(chi2_uncorrected / 2.0), 2 * k + 1)
+      / (gamma(k + 1.0) * (2 * k + 1))) as p_value_uncorrected
+  from chi, erf_terms)"""
+
+
 def _w(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
@@ -38,6 +50,13 @@ select *, (click_rate - (select click_rate from g where dmp_id = 1)) * 100.0 as
 from g""",
     "contingency": _w(TABLE) + "select * from t",
     "chi_square": _w(TABLE, CHI) + "select * from chi",
+    "chi_square_test": _w(TABLE, CHI, PVAL) + """
+select chi.*, pv.p_value, pv.p_value_uncorrected, pv.p_value < 0.05 as significant from chi, pv""",
+    "launch_decision": _w(TABLE, CHI, PVAL, ARMS) + """
+select pv.p_value, d.diff,
+  case when pv.p_value < 0.05 and d.diff > 0 then 'launch' else 'hold' end as decision
+from pv, (select max(case when dmp_id = 2 then click_rate end) - max(case when dmp_id = 1 then click_rate end) as diff
+          from g) d""",
     "diff_ci": _w(ARMS) + """, r as (
   select max(case when dmp_id = 1 then click_rate end) as rate_control,
     max(case when dmp_id = 2 then click_rate end) as rate_treatment,
