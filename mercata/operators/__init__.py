@@ -19,7 +19,7 @@ from mercata.operators.experiment import (  # noqa: F401
     arm_counts, arm_readout, arm_summary, chi_square, chi_square_test, contingency, diff_ci, launch_decision,
 )
 from mercata.operators.growth import (  # noqa: F401
-    category_growth, category_month_gmv, category_totals, concentration_summary, customer_trend_edges,
+    category_coverage, category_growth, category_month_gmv, category_totals, concentration_summary, customer_trend_edges,
     growth_driver, growth_kpis, monthly_customers, monthly_gmv_trend, period_growth, purchase_frequency,
     region_concentration, repeat_rate, top_gainers_decliners, topk_category_month_matrix, trend_summary,
 )

@@ -178,6 +178,31 @@ def category_items(items: DataFrame, products: DataFrame, translation: DataFrame
             .select("order_id", F.col("product_category_name_english").alias("category"), "price"))
 
 
+def category_coverage(orders: DataFrame, items: DataFrame, products: DataFrame, translation: DataFrame,
+                      status: str = "delivered", cols: Cols = None, item_cols: Cols = None,
+                      product_cols: Cols = None, translation_cols: Cols = None) -> DataFrame:
+    """How much GMV the category analyses see. The inner joins on the
+    translation drop items whose product has no category or an untranslated
+    one; this reports total, categorised and untranslated GMV.
+
+    Items are reduced per product before the product join, so a hot product
+    is one row per partition by the time it is shuffled.
+    """
+    it = conform(items, ("order_id", "product_id", "price"), item_cols)
+    o = delivered_orders(orders, status, cols).select("order_id")
+    per_product = it.join(o, "order_id").groupBy("product_id").agg(F.sum("price").alias("gmv"))
+    p = conform(products, PRODUCTS, product_cols)
+    t = conform(translation, TRANSLATION, translation_cols).select(
+        "product_category_name", F.lit(True).alias("_translated"))
+    j = per_product.join(p, "product_id", "left").join(t, "product_category_name", "left")
+    zero = F.lit(0).cast("decimal(38,2)")
+    ok = F.col("_translated").isNotNull()
+    g = j.agg(F.coalesce(F.sum("gmv"), zero).alias("total_gmv"),
+              F.coalesce(F.sum(F.when(ok, F.col("gmv"))), zero).alias("categorised_gmv"),
+              F.coalesce(F.sum(F.when(~ok, F.col("gmv"))), zero).alias("untranslated_gmv"))
+    return g.select("*", pct("untranslated_gmv", "total_gmv").alias("untranslated_pct"))
+
+
 def category_month_gmv(orders: DataFrame, items: DataFrame, products: DataFrame,
                        translation: DataFrame, status: str = "delivered", cols: Cols = None,
                        item_cols: Cols = None, product_cols: Cols = None,

@@ -103,6 +103,11 @@ def q_category_month_gmv(fx):
     return g.category_month_gmv(fx.orders, fx.items, fx.products, fx.translation)
 
 
+@query("category_coverage")
+def q_category_coverage(fx):
+    return g.category_coverage(fx.orders, fx.items, fx.products, fx.translation)
+
+
 @query("category_totals")
 def q_category_totals(fx):
     return g.category_totals(_cat_month(fx))

@@ -40,6 +40,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool =
                       if isinstance(f.dataType, StringType) else F.col(f.name) for f in schema.fields])
 
 
+def normalize_text(columns: list[str]) -> Transform:
+    """A transform that compares text the way a case-insensitive,
+    trailing-blank-insensitive collation does: ``lower(rtrim(c))``. Spark
+    compares strings byte-wise; apply this to join keys / labels at ingest
+    when the source database matched case-insensitively."""
+    def apply(df: DataFrame) -> DataFrame:
+        return df.select([F.lower(F.rtrim(F.col(c))).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return apply
+
+
 def ingest_tables(spark: SparkSession, src_dir: str, dst_dir: str, registry: Mapping[str, tuple[str, StructType]],
                   transforms: Mapping[str, Transform] | None = None, header: bool = True) -> DataFrame:
     """Load every ``name -> (csv file, schema)`` of ``registry`` into

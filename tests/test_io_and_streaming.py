@@ -56,3 +56,10 @@ def test_streaming_readout_equals_batch(spark):
     got = sorted(tuple(r) for r in spark.read.parquet(sink).select("dmp_id", "n", "clicks", "click_rate").collect())
     want = sorted(tuple(r) for r in arm_summary(events).select("dmp_id", "n", "clicks", "click_rate").collect())
     assert got == want
+
+
+def test_normalize_text_transform(spark):
+    from mercata.sources.ingest import normalize_text
+    df = spark.createDataFrame([("SP  ", "Keep"), ("sp", "x")], "state string, other string")
+    out = df.transform(normalize_text(["state"])).collect()
+    assert [r.state for r in out] == ["sp", "sp"] and out[0].other == "Keep"
