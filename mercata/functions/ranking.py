@@ -68,7 +68,7 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str
                           F.when(k > 0, F.try_element_at("_b", k)).alias("_lo"),
                           F.when(k < buckets - 1, F.try_element_at("_b", k + 1)).alias("_hi")))
         v = F.col("value")
-        inside = ((F.col(GROUP) == F.col("_g")) & (F.col("_lo").isNull() | (v > F.col("_lo")))
+        inside = (F.col(GROUP).eqNullSafe(F.col("_g")) & (F.col("_lo").isNull() | (v > F.col("_lo")))
                   & (F.col("_hi").isNull() | (v <= F.col("_hi"))))
         d = d.join(F.broadcast(ranges), inside).select(GROUP, "value", "cnt", "wsum", "_bucket")
     else:
@@ -82,8 +82,9 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str
         F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_ow"),
         F.sum("_bc").over(whole).alias("n_total"),
         F.sum("_bw").over(whole).alias("w_total"))
-    # groups x buckets rows: bounded broadcast.
-    d = d.join(F.broadcast(offsets), [GROUP, "_bucket"])
+    # groups x buckets rows: bounded broadcast (null-safe on the group key).
+    o = offsets.withColumnsRenamed({GROUP: "_og", "_bucket": "_ob"})
+    d = d.join(F.broadcast(o), F.col(GROUP).eqNullSafe(F.col("_og")) & (F.col("_bucket") == F.col("_ob")))
     inside = Window.partitionBy(GROUP, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     d = d.select(
         GROUP, "value", "cnt", "wsum", "n_total", "w_total",

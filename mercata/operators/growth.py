@@ -75,11 +75,19 @@ def _inner_periods(df: DataFrame, order_col: str) -> DataFrame:
             .drop("_rn", "_n"))
 
 
-def trend_summary(growth: DataFrame, order_col: str = "month") -> DataFrame:
-    """Span and means over the inner periods (growth computed before trimming)."""
+def trend_summary(growth: DataFrame, order_col: str = "month", trim_first: bool = False) -> DataFrame:
+    """Span and means over the inner periods.
+
+    T17: by default growth is computed on the full series and then the first
+    and last period are dropped (the script). ``trim_first=True`` is the
+    notebook variant: drop the edges first, then compute growth, which loses
+    one more period to the missing predecessor.
+    """
     span = growth.agg(F.min(order_col).alias("first_month"), F.max(order_col).alias("last_month"),
                       F.count(F.lit(1)).alias("n_months"))
     inner = _inner_periods(growth, order_col)
+    if trim_first:
+        inner = period_growth(inner.drop(*GROWTH_NAMES.values()), order_col)
     means = inner.agg(
         F.count(F.lit(1)).alias("n_inner_months"),
         F.try_divide(as_double(F.sum("gmv")), as_double(F.count(F.lit(1)))).alias("mean_gmv"),

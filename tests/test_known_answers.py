@@ -227,3 +227,14 @@ def test_repeat_rate_by_person_key(spark):
     r = g.repeat_rate(by_person).collect()[0]
     assert (r.total_users, r.repeat_users) == (2, 1)
     assert {x.cohort_month: x.repurchasers for x in c.cohort_repurchase(by_person).collect()} == {"2020-01": 1, "2020-03": 0}
+
+
+def test_trend_summary_trim_first_variant(spark):
+    # Growth 10, -10, 21.21 -> script mean over inner months (10, -10) = 0;
+    # notebook (trim first, then growth) keeps only -10.
+    trend = spark.createDataFrame(
+        [("2020-01", 1, Decimal("100.00"), Decimal("100.00")), ("2020-02", 1, Decimal("110.00"), Decimal("110.00")),
+         ("2020-03", 1, Decimal("99.00"), Decimal("99.00")), ("2020-04", 1, Decimal("120.00"), Decimal("120.00"))],
+        "month string, order_count long, gmv decimal(38,2), aov decimal(18,2)")
+    r = g.trend_summary(g.period_growth(trend), trim_first=True).collect()[0]
+    assert r.mean_gmv_growth == pytest.approx(-10.0)

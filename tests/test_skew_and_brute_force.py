@@ -106,3 +106,9 @@ def test_rank_windows_are_partitioned(spark):
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert windows, plan
         assert not any("], [], [" in w for w in windows), plan
+
+
+def test_value_ranks_null_group_kept(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0)], "g string, v double")
+    got = {(r.g, r.value): (r.cnt_lt, r.n_total) for r in value_ranks(df, "v", group="g", buckets=4).collect()}
+    assert got == {(None, 1.0): (0, 2), (None, 2.0): (1, 2), ("a", 5.0): (0, 1)}
