@@ -39,16 +39,9 @@ def default_buckets(df: DataFrame) -> int:
     return max(64, min(4096, 2 * parts))
 
 
-def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str | None = None,
-                count: str | None = None, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
-    """Distinct values with their neighbourhood totals.
-
-    Input: rows with ``value`` (NULLs ignored), optional ``group`` key,
-    optional ``weight`` to sum, optional pre-aggregated row ``count``.
-    Output columns: group (``_group`` if none given), value, cnt, wsum,
-    cnt_lt, w_lt (strictly smaller values), cnt_gt, w_gt (strictly larger),
-    n_total, w_total (per group).
-    """
+def _bucketed(df: DataFrame, value: str, group: str | None, weight: str | None, count: str | None,
+              buckets: int | None, accuracy: int) -> DataFrame:
+    """Distinct (group, value) rows with cnt, wsum and a value-range bucket."""
     buckets = buckets or default_buckets(df)
     g = F.col(group) if group else F.lit(0)
     w = F.col(weight) if weight else F.lit(0)
@@ -56,45 +49,64 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str
     d = (df.filter(F.col(value).isNotNull())
          .groupBy(g.alias(GROUP), F.col(value).alias("value"))
          .agg(F.sum(c).cast("bigint").alias("cnt"), F.sum(w).alias("wsum")))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_b"))
-        # Bucket k spans (b[k], b[k+1]] with open ends: groups x buckets rows,
-        # a bounded broadcast. The range test runs in generated join code.
-        k = F.col("_bucket")
-        ranges = (bounds.select(F.col(GROUP).alias("_g"), "_b",
-                                F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
-                  .select("_g", "_bucket",
-                          F.when(k > 0, F.try_element_at("_b", k)).alias("_lo"),
-                          F.when(k < buckets - 1, F.try_element_at("_b", k + 1)).alias("_hi")))
-        v = F.col("value")
-        inside = (F.col(GROUP).eqNullSafe(F.col("_g")) & (F.col("_lo").isNull() | (v > F.col("_lo")))
-                  & (F.col("_hi").isNull() | (v <= F.col("_hi"))))
-        d = d.join(F.broadcast(ranges), inside).select(GROUP, "value", "cnt", "wsum", "_bucket")
-    else:
-        d = d.withColumn("_bucket", F.lit(0))
+    if buckets <= 1:
+        return d.withColumn("_bucket", F.lit(0))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_b"))
+    # Bucket k spans (b[k], b[k+1]] with open ends: groups x buckets rows,
+    # a bounded broadcast. The range test runs in generated join code.
+    k = F.col("_bucket")
+    ranges = (bounds.select(F.col(GROUP).alias("_g"), "_b",
+                            F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
+              .select("_g", "_bucket",
+                      F.when(k > 0, F.try_element_at("_b", k)).alias("_lo"),
+                      F.when(k < buckets - 1, F.try_element_at("_b", k + 1)).alias("_hi")))
+    v = F.col("value")
+    inside = (F.col(GROUP).eqNullSafe(F.col("_g")) & (F.col("_lo").isNull() | (v > F.col("_lo")))
+              & (F.col("_hi").isNull() | (v <= F.col("_hi"))))
+    return d.join(F.broadcast(ranges), inside).select(GROUP, "value", "cnt", "wsum", "_bucket")
+
+
+def _bucket_offsets(d: DataFrame) -> DataFrame:
+    """Per (group, bucket): rows and weight in lower buckets, group totals.
+    groups x buckets rows; the window runs over that small table."""
     per_bucket = d.groupBy(GROUP, "_bucket").agg(F.sum("cnt").alias("_bc"), F.sum("wsum").alias("_bw"))
     before = Window.partitionBy(GROUP).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(GROUP)
-    offsets = per_bucket.select(
-        GROUP, "_bucket",
+    return per_bucket.select(
+        F.col(GROUP).alias("_og"), F.col("_bucket").alias("_ob"), "_bc",
         F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_oc"),
         F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_ow"),
         F.sum("_bc").over(whole).alias("n_total"),
         F.sum("_bw").over(whole).alias("w_total"))
-    # groups x buckets rows: bounded broadcast (null-safe on the group key).
-    o = offsets.withColumnsRenamed({GROUP: "_og", "_bucket": "_ob"})
-    d = d.join(F.broadcast(o), F.col(GROUP).eqNullSafe(F.col("_og")) & (F.col("_bucket") == F.col("_ob")))
+
+
+def _with_offsets(d: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Attach the bucket offsets (a bounded broadcast, null-safe on the group)
+    and prefix-sum inside each (group, bucket) partition."""
+    d = d.join(F.broadcast(offsets), F.col(GROUP).eqNullSafe(F.col("_og")) & (F.col("_bucket") == F.col("_ob")))
     inside = Window.partitionBy(GROUP, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     d = d.select(
         GROUP, "value", "cnt", "wsum", "n_total", "w_total",
         (F.col("_oc") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))).alias("cnt_lt"),
         (F.col("_ow") + F.coalesce(F.sum("wsum").over(inside), F.lit(0))).alias("w_lt"))
-    d = d.select("*", (F.col("n_total") - F.col("cnt_lt") - F.col("cnt")).alias("cnt_gt"),
-                 (F.col("w_total") - F.col("w_lt") - F.col("wsum")).alias("w_gt"))
-    if group:
-        d = d.withColumnRenamed(GROUP, group)
-    return d
+    return d.select("*", (F.col("n_total") - F.col("cnt_lt") - F.col("cnt")).alias("cnt_gt"),
+                    (F.col("w_total") - F.col("w_lt") - F.col("wsum")).alias("w_gt"))
+
+
+def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str | None = None,
+                count: str | None = None, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+    """Distinct values with their neighbourhood totals.
+
+    Input: rows with ``value`` (NULLs ignored), optional ``group`` key,
+    optional ``weight`` to sum, optional pre-aggregated row ``count``.
+    Output columns: group (``_group`` if none given), value, cnt, wsum,
+    cnt_lt, w_lt (strictly smaller values), cnt_gt, w_gt (strictly larger),
+    n_total, w_total (per group).
+    """
+    d = _bucketed(df, value, group, weight, count, buckets, accuracy)
+    out = _with_offsets(d, _bucket_offsets(d))
+    return out.withColumnRenamed(GROUP, group) if group else out
 
 
 def _value_at(rank: Column) -> Column:
@@ -105,23 +117,36 @@ def _value_at(rank: Column) -> Column:
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None,
                     count: str | None = None, buckets: int | None = None,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, accuracy: int = 10000) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy 'linear',
     DuckDB ``quantile_cont``), one row per group, one column per prob.
 
     position = p * (n - 1); result = lo + (hi - lo) * (position - floor).
+    Only the buckets that hold the ranks floor(position) / ceil(position) are
+    sorted (selection); all other distinct values are only counted.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    r = value_ranks(df, value, group=group, count=count, buckets=buckets)
-    key = group or GROUP
-    n1 = F.col("n_total") - 1
+    d = _bucketed(df, value, group, None, count, buckets, accuracy)
+    offsets = _bucket_offsets(d)
+    n1 = (F.col("n_total") - 1).cast("double")
+    targets = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * n1
+        targets += [F.floor(pos), F.ceil(pos)]
+    # Buckets holding a target rank: at most 2 x len(probs) per group.
+    need = (offsets.select("_og", "_ob", "_oc", "_bc", F.explode(F.array(*targets)).alias("_r"))
+            .filter((F.col("_r") >= F.col("_oc")) & (F.col("_r") < F.col("_oc") + F.col("_bc")))
+            .select("_og", "_ob").distinct())
+    cand = d.join(F.broadcast(need.withColumnsRenamed({"_og": "_ng", "_ob": "_nb"})),
+                  F.col(GROUP).eqNullSafe(F.col("_ng")) & (F.col("_bucket") == F.col("_nb"))).drop("_ng", "_nb")
+    r = _with_offsets(cand, offsets)
     aggs = []
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * n1.cast("double")
+        pos = F.lit(float(p)) * n1
         aggs += [F.max(_value_at(F.floor(pos))).alias(f"_lo{i}"),
                  F.max(_value_at(F.ceil(pos))).alias(f"_hi{i}"),
                  F.max(pos - F.floor(pos)).alias(f"_fr{i}")]
-    a = r.groupBy(key).agg(*aggs)
+    a = r.groupBy(GROUP).agg(*aggs)
     outs = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(names[i])
             for i in range(len(probs))]
-    return a.select(key, *outs) if group else a.select(*outs)
+    return a.select(F.col(GROUP).alias(group), *outs) if group else a.select(*outs)
