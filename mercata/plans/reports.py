@@ -18,6 +18,7 @@ from mercata.operators import customers as c
 from mercata.operators import delivery as d
 from mercata.operators import experiment as x
 from mercata.operators import growth as g
+from mercata.operators import scorecard as sc
 from mercata.session import materialize
 
 Tables = Mapping[str, DataFrame]
@@ -115,6 +116,37 @@ def delivery_report(t: Tables, cols: Mapping[str, str] = ECOMMERCE_DDL_COLUMNS,
     }
 
 
+def scorecard_report(applicants: DataFrame, features: list[str], target: str, key: list[str],
+                     ranges: list[tuple[str, str, float]], impute: list[str], q: int = 5, threshold: float = 0.02,
+                     test: float = 0.3, seed: int = 42, C: float = 1.0, pdo: float = 50.0,
+                     base: float | None = 600.0) -> dict[str, DataFrame]:
+    """Cleaning -> quantile bins -> WOE / IV -> selection -> WOE encoding ->
+    stratified split -> logistic regression -> points, AUC / ROC / KS.
+
+    WOE is fitted on all cleaned rows before the split, as the reference does
+    (T11); pass a training subset as ``applicants`` to avoid that leakage.
+    """
+    clean = materialize(sc.clean_applicants(applicants, ranges, target, impute))
+    bins = materialize(sc.quantile_bins(clean, features, q))
+    woe = materialize(sc.woe_table(clean, bins, target, features))
+    iv = sc.iv_table(woe, threshold)
+    selected = sorted(r["feature"] for r in iv.filter("selected").select("feature").collect())
+    sel_woe = woe.filter(woe.feature.isin(selected))
+    encoded = sc.woe_encode(clean, sel_woe, keep=[*key, target])
+    split = materialize(sc.stratified_split(encoded, key, target, test=test, seed=seed))
+    cols = [f + "_woe" for f in selected]
+    model = sc.fit_logistic(split.filter(split.split == "train"), cols, target, C=C)
+    coefs = sc.coefficients(model, cols, applicants.sparkSession)
+    scored = materialize(sc.predict(model, split, keep=[*key, target, "split"]))
+    aucs = sc.auc(scored, label=target, group="split")
+    roc = sc.roc_curve(scored, label=target, group="split")
+    return {"score_label_summary": sc.label_summary(clean, target), "score_bins": bins, "score_woe": woe,
+            "score_iv": iv, "score_coefficients": coefs,
+            "score_points": sc.scorecard_points(sel_woe, coefs, pdo=pdo, base=base),
+            "score_auc": aucs, "score_roc": roc, "score_ks": sc.ks(roc, group="split"),
+            "score_overfit": sc.overfit_gap(aucs)}
+
+
 def experiment_report(effects: DataFrame, arm: str = "dmp_id", outcome: str = "click", control=1, treatment=2,
                       experiment_id: str | None = None) -> dict[str, DataFrame]:
     """Arm rates and lift, contingency, chi-square test, CI, decision."""

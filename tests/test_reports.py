@@ -64,3 +64,13 @@ def test_experiment_report_and_sink(spark):
     reports.write_tables(out, d)
     assert sorted(os.listdir(d)) == sorted(out)
     assert spark.read.parquet(os.path.join(d, "ab_decision")).count() == 1
+
+
+def test_scorecard_report_matches_queries(spark):
+    from mercata.sources.fixtures import (APPLICANT_FEATURES, APPLICANT_IMPUTE, APPLICANT_KEY,
+                                          APPLICANT_RANGES)
+    out = reports.scorecard_report(Fixtures(spark, SF_SMALL).applicants, list(APPLICANT_FEATURES), "target",
+                                   list(APPLICANT_KEY), list(APPLICANT_RANGES), list(APPLICANT_IMPUTE))
+    assert _rows(out["score_iv"]) == _rows(Q["iv_table"](spark, SF_SMALL))
+    assert _rows(out["score_auc"]) == _rows(Q["auc"](spark, SF_SMALL))
+    assert out["score_points"].count() == Q["scorecard_points"](spark, SF_SMALL).count()
