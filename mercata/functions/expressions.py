@@ -36,6 +36,24 @@ def money_ratio(num: str | Column, den: str | Column) -> Column:
     return F.round(F.try_divide(num, den.cast("decimal(20,0)")), 2).cast(MONEY)
 
 
+def ordered_sum(c: str | Column) -> Column:
+    """Sum of a *small, bounded* group of doubles in ascending order.
+
+    Floating-point addition is order-dependent and a shuffle does not fix the
+    order rows arrive in; summing the sorted values makes the result
+    bit-for-bit reproducible (re-runs, recomputation after a lost executor,
+    other engines). Only for groups bounded by construction (periods, bins,
+    table cells): the values are collected per group.
+    """
+    return F.aggregate(F.array_sort(F.collect_list(as_double(c))), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def ordered_mean(c: str | Column) -> Column:
+    """Mean of a small bounded group via :func:`ordered_sum` (NULLs skipped)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.try_divide(ordered_sum(col), as_double(F.count(col)))
+
+
 def pct_change(c: str, order: Sequence[str], partition: Sequence[str] = ()) -> Column:
     """pandas ``pct_change() * 100`` over an ordered (small) period table."""
     w = Window.partitionBy(*partition).orderBy(*order)

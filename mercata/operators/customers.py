@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from mercata.functions.columns import CUSTOMERS, PAYMENTS, conform
 from mercata.functions.expressions import (
-    as_double, bucket_label, bucket_rank, count_buckets, equal_width_histogram, pct, ratio, right_closed_bucket,
+    as_double, bucket_label, bucket_rank, count_buckets, equal_width_histogram, ordered_mean, pct, ratio,
+    right_closed_bucket,
 )
 from mercata.functions.ranking import exact_quantiles, value_ranks
 from mercata.operators.growth import category_items, delivered_orders, order_gmv
@@ -95,7 +96,7 @@ def cohort_summary(cohorts: DataFrame, cutoff: str) -> DataFrame:
     (inclusive, 'yyyy-MM'); ties resolve to the earliest month."""
     c = cohorts.filter(F.col("cohort_month") <= cutoff)
     rate, month = F.col("repurchase_rate"), F.col("cohort_month")
-    return c.agg(F.count(F.lit(1)).alias("n_cohorts"), F.avg(rate).alias("mean_rate"),
+    return c.agg(F.count(F.lit(1)).alias("n_cohorts"), ordered_mean(rate).alias("mean_rate"),
                  F.max(rate).alias("max_rate"), F.min_by(month, F.struct(-rate, month)).alias("max_month"),
                  F.min(rate).alias("min_rate"), F.min_by(month, F.struct(rate, month)).alias("min_month"))
 

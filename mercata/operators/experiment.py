@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.expressions import as_double, ratio
+from mercata.functions.expressions import as_double, ordered_sum, ratio
 from mercata.functions.stats import chi2_sf_udf
 
 EXP = "_experiment"
@@ -94,7 +94,7 @@ def chi_square(table: DataFrame, arm: str = "dmp_id", values: Sequence = (0, 1),
     per_arm = terms.groupBy(EXP, arm).agg(
         F.sum("t").alias("t"), F.sum("u").alias("u"), F.max("n").alias("n"), F.max("dof").alias("dof"),
         F.min("e").alias("min_e"))
-    out = per_arm.groupBy(EXP).agg(F.sum("t").alias("chi2"), F.sum("u").alias("chi2_uncorrected"),
+    out = per_arm.groupBy(EXP).agg(ordered_sum("t").alias("chi2"), ordered_sum("u").alias("chi2_uncorrected"),
                                    F.max("dof").alias("dof"), F.max("n").cast("bigint").alias("n"),
                                    F.min("min_e").alias("min_expected"))
     return _finish(out, experiment_id)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mercata.functions.columns import ITEMS, ORDERS, conform, CUSTOMERS, PRODUCTS, TRANSLATION
 from mercata.functions.expressions import (
-    as_double, bucket_label, bucket_rank, count_buckets, money_ratio, month_of, pct, pct_change,
+    as_double, bucket_label, bucket_rank, count_buckets, money_ratio, month_of, ordered_mean, pct, pct_change,
 )
 
 Cols = Mapping[str, str] | None
@@ -93,9 +93,10 @@ def trend_summary(growth: DataFrame, order_col: str = "month", trim_first: bool
         F.try_divide(as_double(F.sum("gmv")), as_double(F.count(F.lit(1)))).alias("mean_gmv"),
         F.try_divide(as_double(F.sum("order_count")), as_double(F.count(F.lit(1)))).alias("mean_orders"),
         F.try_divide(as_double(F.sum("aov")), as_double(F.count(F.lit(1)))).alias("mean_aov"),
-        F.avg("gmv_growth").alias("mean_gmv_growth"),
-        F.avg("order_growth").alias("mean_order_growth"),
-        F.avg("aov_growth").alias("mean_aov_growth"))
+        # Means over the (bounded) period table, summed in a fixed order.
+        ordered_mean("gmv_growth").alias("mean_gmv_growth"),
+        ordered_mean("order_growth").alias("mean_order_growth"),
+        ordered_mean("aov_growth").alias("mean_aov_growth"))
     s = means.select(F.struct(*means.columns).alias("m")).scalar()
     return span.select("*", *[s.getField(c).alias(c) for c in means.columns])
 

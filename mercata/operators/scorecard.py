@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.expressions import as_double, pct, ratio
+from mercata.functions.expressions import as_double, ordered_sum, pct, ratio
 from mercata.functions.ranking import exact_quantiles, value_ranks
 
 _OPS = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v,
@@ -119,7 +119,8 @@ def woe_table(df: DataFrame, bins: DataFrame, target: str, features: Sequence[st
 
 def iv_table(woe: DataFrame, threshold: float = 0.02) -> DataFrame:
     """Information value per feature, selection flag (iv > threshold), rank."""
-    g = woe.groupBy("feature").agg(F.sum((F.col("bad_pct") - F.col("good_pct")) * F.col("woe")).alias("iv"))
+    # At most q bins per feature: summed in a fixed order.
+    g = woe.groupBy("feature").agg(ordered_sum((F.col("bad_pct") - F.col("good_pct")) * F.col("woe")).alias("iv"))
     return (g.select("feature", "iv", (F.col("iv") > threshold).alias("selected"),
                      F.row_number().over(Window.orderBy(F.desc("iv"), "feature")).alias("iv_rank")))
 

@@ -23,7 +23,7 @@ terms as (
   from e),
 per_arm as (select dmp_id, sum(t) as t, sum(u) as u, max(n) as n, max(dof) as dof, min(e) as min_e
             from terms group by dmp_id),
-chi as (select sum(t) as chi2, sum(u) as chi2_uncorrected, max(dof) as dof, cast(max(n) as bigint) as n,
+chi as (select sum(t order by t) as chi2, sum(u order by u) as chi2_uncorrected, max(dof) as dof, cast(max(n) as bigint) as n,
           min(min_e) as min_expected from per_arm)"""
 
 
