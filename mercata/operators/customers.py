@@ -282,14 +282,16 @@ def gini(rfm: DataFrame, value: str = "monetary") -> DataFrame:
 
     G = 2 * sum(i * x_(i)) / (n * sum(x)) - (n + 1) / n with x ascending; the
     ranks of a tied group starting after L smaller rows sum to
-    c * L + c * (c + 1) / 2.
+    c * L + c * (c + 1) / 2. With decimal spend the rank-weighted sum is exact
+    (DECIMAL(38, 2)), so only the final ratio is rounded.
     """
     r = _spend_ranks(rfm, value)
-    c, lt = F.col("cnt").cast("double"), F.col("cnt_lt").cast("double")
-    s = F.sum(as_double("value") * (c * lt + c * (c + F.lit(1.0)) / F.lit(2.0)))
-    a = r.agg(s.alias("_s"), F.max("n_total").alias("n"), F.max("w_total").alias("_w"))
+    c, lt = F.col("cnt"), F.col("cnt_lt")
+    rank_sum = c * lt + F.floor(c * (c + F.lit(1)) / F.lit(2)).cast("bigint")
+    a = r.agg(F.sum(F.col("value") * rank_sum).alias("_s"), F.max("n_total").alias("n"),
+              F.max("w_total").alias("_w"))
     n = as_double("n")
-    return a.select("n", (F.lit(2.0) * F.col("_s") / (n * as_double("_w")) - (n + F.lit(1.0)) / n).alias("gini"))
+    return a.select("n", (F.lit(2.0) * as_double("_s") / (n * as_double("_w")) - (n + F.lit(1.0)) / n).alias("gini"))
 
 
 def lorenz_curve(rfm: DataFrame, points: int = 1000, value: str = "monetary") -> DataFrame:
