@@ -35,7 +35,14 @@ def clean_applicants(df: DataFrame, ranges: Sequence[tuple[str, str, float]], ta
                      impute: Sequence[str] = ()) -> DataFrame:
     """Keep rows inside every range (NULL compares false, so such rows go
     too), drop rows without a target, then fill NULLs of ``impute`` columns
-    with their exact median over the remaining rows."""
+    with their exact median over the remaining rows.
+
+    NaN is treated as missing, as pandas does (Spark orders NaN above every
+    number, so ``NaN > 0`` would otherwise keep the row).
+    """
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    df = df.select([F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in floats else F.col(c)
+                    for c in df.columns])
     cond = F.col(target).isNotNull()
     for col, op, value in ranges:
         cond = cond & _OPS[op](F.col(col), F.lit(value))

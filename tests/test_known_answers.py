@@ -238,3 +238,12 @@ def test_trend_summary_trim_first_variant(spark):
         "month string, order_count long, gmv decimal(38,2), aov decimal(18,2)")
     r = g.trend_summary(g.period_growth(trend), trim_first=True).collect()[0]
     assert r.mean_gmv_growth == pytest.approx(-10.0)
+
+
+def test_clean_applicants_nan_is_missing(spark):
+    # NaN fails range tests and is imputed like NULL
+    df = spark.createDataFrame([(1, 0, float("nan"), 5.0), (2, 1, 1.0, float("nan")), (3, 0, 2.0, 7.0), (4, 1, 3.0, None)],
+                               "id int, target int, util double, income double")
+    out = {r.id: r for r in s.clean_applicants(df, [("util", ">", 0.0)], "target", ["income"]).collect()}
+    assert set(out) == {2, 3, 4}
+    assert out[2].income == 7.0 and out[4].income == 7.0
