@@ -14,7 +14,7 @@ CHI = """cells as (
   union all select dmp_id, 1, cast(n_1 as double) from t),
 e as (
   select dmp_id, j, o, sum(o) over (partition by dmp_id) * sum(o) over (partition by j) / sum(o) over () as e,
-    sum(o) over () as n, ((select count(*) from t) - 1) * 1 as dof
+    sum(o) over () as n, cast(((select count(*) from t) - 1) * 1 as int) as dof
   from cells),
 terms as (
   select dmp_id, n, dof, e,

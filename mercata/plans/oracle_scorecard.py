@@ -53,7 +53,7 @@ from clean""",
     "woe_table": _w(CLEAN, LONG, BINS, WOE) + "select * from woe",
     "iv_table": _w(CLEAN, LONG, BINS, WOE) + """, iv as (
   select feature, sum((bad_pct - good_pct) * woe order by (bad_pct - good_pct) * woe) as iv from woe group by feature)
-select feature, iv, iv > 0.02 as selected, row_number() over (order by iv desc, feature) as iv_rank from iv""",
+select feature, iv, iv > 0.02 as selected, cast(row_number() over (order by iv desc, feature) as int) as iv_rank from iv""",
     "woe_encode": _w(CLEAN, LONG, BINS, WOE) + "select c.l_orderkey, c.l_partkey, c.l_suppkey, c.target,\n  "
     + ",\n  ".join(_encode(f) for f in sorted(FEATURES) if f != "f_late_count")
     + ",\n  " + _encode("f_late_count") + "\nfrom clean c",
