@@ -8,8 +8,8 @@ above it. :func:`value_ranks` computes exactly that:
 1. collapse rows to distinct ``(group, value)`` with counts and weight sums
    (partial aggregation, so a hot value is one row before any shuffle);
 2. cut each group's distinct values into ``buckets`` ranges at approximate
-   quantiles of the distinct values (one aggregate; equal values always share
-   a bucket);
+   quantiles of the distinct values (one aggregate; a binary search over the
+   bounds assigns the bucket, so equal values always share a bucket);
 3. prefix-sum the per-bucket totals (``groups x buckets`` rows, broadcast);
 4. prefix-sum inside each ``(group, bucket)`` partition and add the offset.
 
@@ -20,6 +20,7 @@ decides where buckets split.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,19 +53,35 @@ def _bucketed(df: DataFrame, value: str, group: str | None, weight: str | None,
     if buckets <= 1:
         return d.withColumn("_bucket", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_b"))
-    # Bucket k spans (b[k], b[k+1]] with open ends: groups x buckets rows,
-    # a bounded broadcast. The range test runs in generated join code.
-    k = F.col("_bucket")
-    ranges = (bounds.select(F.col(GROUP).alias("_g"), "_b",
-                            F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
-              .select("_g", "_bucket",
-                      F.when(k > 0, F.try_element_at("_b", k)).alias("_lo"),
-                      F.when(k < buckets - 1, F.try_element_at("_b", k + 1)).alias("_hi")))
-    v = F.col("value")
-    inside = (F.col(GROUP).eqNullSafe(F.col("_g")) & (F.col("_lo").isNull() | (v > F.col("_lo")))
-              & (F.col("_hi").isNull() | (v <= F.col("_hi"))))
-    return d.join(F.broadcast(ranges), inside).select(GROUP, "value", "cnt", "wsum", "_bucket")
+    if group:
+        # One row of bounds per group, attached by a hash join on the group key
+        # (a bounded broadcast: groups x (buckets - 1) values).
+        bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_b"))
+        d = d.join(F.broadcast(bounds.withColumnRenamed(GROUP, "_g")),
+                   F.col(GROUP).eqNullSafe(F.col("_g"))).drop("_g")
+        arr = F.col("_b")
+    else:
+        # A single bounds array: a scalar subquery projected as a column, no join.
+        d = d.withColumn("_b", d.agg(F.percentile_approx("value", probs, accuracy)).scalar())
+        arr = F.col("_b")
+    return d.select(GROUP, "value", "cnt", "wsum", _lower_bound(arr, F.col("value"), buckets - 1).alias("_bucket"))
+
+
+def _lower_bound(arr, v, n: int):
+    """Number of elements of the sorted array ``arr`` (length ``n``) strictly
+    below ``v``: a binary search in ceil(log2(n + 1)) JVM-side steps."""
+    steps = max(1, math.ceil(math.log2(n + 1)))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        below = F.element_at(arr, mid + 1) < v
+        moved = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, moved).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
 
 
 def _bucket_offsets(d: DataFrame) -> DataFrame:

@@ -130,10 +130,11 @@ def diff_ci(arms: DataFrame, arm: str = "dmp_id", control=1, treatment=2, z: flo
 
 def launch_decision(chi: DataFrame, ci: DataFrame, alpha: float = 0.05, experiment_id: str | None = None) -> DataFrame:
     """AB5: launch when the test is significant and the treatment is better."""
-    left = chi.select(*(_keys(experiment_id)), "p_value")
-    right = ci.select(*(_keys(experiment_id)), "diff")
-    j = left.join(right, EXP)  # one row per experiment on each side
-    out = j.select(EXP, "p_value", "diff",
-                   F.when((F.col("p_value") < alpha) & (F.col("diff") > 0), "launch").otherwise("hold")
-                   .alias("decision"))
-    return _finish(out, experiment_id)
+    if experiment_id:
+        # One row per experiment on each side: an equi-join on the key.
+        j = chi.select(experiment_id, "p_value").join(ci.select(experiment_id, "diff"), experiment_id)
+    else:
+        # A single experiment: its p-value is a scalar subquery.
+        j = ci.select(chi.select("p_value").scalar().alias("p_value"), "diff")
+    return j.withColumn("decision", F.when((F.col("p_value") < alpha) & (F.col("diff") > 0), "launch")
+                        .otherwise("hold"))

@@ -49,6 +49,8 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, plan
     rows = [r.asDict() for r in df.collect()]
     if name not in ORACLES:
         return
