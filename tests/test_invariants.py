@@ -69,3 +69,11 @@ def test_gap_distribution_counts_pairs(spark):
     stats = run(spark, "repurchase_gap_stats")[0]
     assert stats["n_gaps"] == pairs == sum(r["count"] for r in run(spark, "repurchase_gap_distribution"))
     assert sum(r["count"] for r in run(spark, "gap_buckets")) == pairs
+
+
+def test_category_coverage_adds_up(spark):
+    cov = run(spark, "category_coverage")[0]
+    assert cov["total_gmv"] == cov["categorised_gmv"] + cov["untranslated_gmv"]
+    assert sum(r["total_gmv"] for r in run(spark, "category_totals")) == cov["categorised_gmv"]
+    trend_total = sum(r["gmv"] for r in run(spark, "monthly_gmv_trend"))
+    assert trend_total == cov["total_gmv"]
