@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,35 +52,54 @@ def build_session(
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     Clusters name a shared folder in ``spark.checkpoint.dir``; that setting is
-    always respected. A private temporary folder is used only when nothing is
-    configured (local tests). Under Spark Connect the server owns the folder.
+    always respected. A private temporary folder stands in only when nothing is
+    configured and the master is ``local`` (tests); on any other master a
+    missing setting raises, since executors could not read each other's files.
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: no driver-side context
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception as e:  # Spark Connect: no driver-side context
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from e
+        return configured
+    configured = (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+                  or sc.getConf().get("spark.checkpoint.dir", None))
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="mercata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
     return configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from it.
+def write_table(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return a scan of it.
 
-    For intermediates that several later jobs read (scalar subqueries, model
-    fitting passes): they are computed once instead of once per reader, and the
-    lineage is cut, so a lost executor recomputes from the written files
-    rather than from the original scans.
+    Cuts lineage for good: a lost executor costs a re-read, not a recompute,
+    and later readers prune columns and push filters into the scan.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/mercata-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files behind a ``write_table`` result that no plan needs any more."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if "/mercata-" not in folder:
+            raise ValueError(f"not a table of write_table: {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``write_table`` for intermediates that several later jobs read."""
+    return write_table(df)
