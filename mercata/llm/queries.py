@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import packing, sharding, warc
+from mercata.llm import packing, sharding, simhash, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -24,6 +24,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("digest").alias("payload_digest"), "record_type", as_id("refers_name").alias("refers_to"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), "doc_id", word_count(F.col("text")))
 
@@ -32,7 +37,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(read_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op5_packing, op6_sharding)}
+QUERIES = {f.__name__: f for f in (op3_warc, op4_simhash, op5_packing, op6_sharding)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.

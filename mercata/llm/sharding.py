@@ -71,7 +71,7 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit_bytes: int) -
                 .groupBy("cell").agg(F.min_by(F.struct("shard", "local_depth", "shard_bytes", "shard_rows"),
                                               "local_depth").alias("leaf")))
         leaf = write_table(leaf, "shard-leaves")
-        joined = rows.withColumn("cell", F.substring("bits", 1, full)).join(leaf, "cell", "left")
+        joined = rows.withColumn("cell", F.substring("bits", 1, full)).join(leaf.hint("merge"), "cell", "left")
         done = joined.filter(F.col("leaf").isNotNull()).select("key", "n_bytes", "leaf.*")
         out = done if out is None else out.unionByName(done)
         if cells.join(leaf, "cell", "left_anti").isEmpty():
