@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import packing, sharding, simhash, warc
+from mercata.llm import bpe, packing, sharding, simhash, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -15,6 +16,15 @@ from mercata.sources.tables import read_table
 SHARD_BYTES = 1 << 20
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return bpe.decode(ids, "ids", path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/mercata-warc-{uuid.uuid4().hex}"
     warc.write_archives(read_table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
@@ -37,7 +47,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(read_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_simhash, op5_packing, op6_sharding)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.
