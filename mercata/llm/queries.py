@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import bpe, packing, sharding, simhash, warc
+from mercata.llm import bpe, packing, sharding, simhash, syncmers, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -47,7 +47,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(read_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding)}
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edit(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
+                                op7_syncmers)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.
