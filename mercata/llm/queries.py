@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import bpe, packing, sharding, simhash, syncmers, warc
+from mercata.llm import bpe, packing, quality, sharding, simhash, syncmers, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -16,6 +16,12 @@ from mercata.sources.tables import read_table
 SHARD_BYTES = 1 << 20
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                             "doc_id", "text", "quality")
+    return found.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = bpe.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", path)
@@ -51,7 +57,7 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edit(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
                                 op7_syncmers)}
 
 ORACLES = {
