@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import bpe, packing, quality, sharding, simhash, syncmers, warc
+from mercata.llm import bpe, nndescent, packing, quality, sharding, simhash, syncmers, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -57,8 +57,12 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edit(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op9_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
-                                op7_syncmers)}
+                                op7_syncmers, op9_nndescent)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.
