@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import bpe, nndescent, packing, quality, sharding, simhash, syncmers, warc
+from mercata.llm import bpe, ngram_lm, nndescent, packing, quality, sharding, simhash, syncmers, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -61,8 +61,13 @@ def op9_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_lm.score(read_table(spark, sf_dir, "documents"), "doc_id", "text", ~quality.held_out(F.col("doc_id"), 10))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
-                                op7_syncmers, op9_nndescent)}
+                                op7_syncmers, op9_nndescent, op10_lm)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.
