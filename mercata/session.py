@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -100,6 +101,16 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referenced.
+
+    Spark's context cleaner does so when the driver collects its garbage; asking
+    between heavy steps keeps one step's files from standing beside the next's.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``write_table`` for intermediates that several later jobs read."""
     return write_table(df)
