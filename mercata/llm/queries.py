@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import bpe, ngram_lm, nndescent, packing, quality, sharding, simhash, syncmers, warc
+from mercata.llm import bpe, ngram_lm, nndescent, packing, quality, sharding, simhash, substrings, syncmers, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -57,6 +57,11 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edit(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
@@ -67,7 +72,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
-                                op7_syncmers, op9_nndescent, op10_lm)}
+                                op7_syncmers, op8_substrings, op9_nndescent, op10_lm)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.

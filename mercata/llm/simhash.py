@@ -325,3 +325,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 3, width: i
     ids = write_table(roots.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     named = write_table(roots.join(ids, "root").select("v", "component_id"), "simhash-named")
     return rows.join(named, "v").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def keep_first(df: DataFrame, key: str, text: str, words: int, width: int, most: int) -> DataFrame:
+    """Rows of ``df``, all columns, whose key is its component's smallest; one row per key.
+
+    Rows with a null key cannot be named as a copy of anything and stay.
+    """
+    found = near_duplicates(df.filter(F.col(key).isNotNull()), key, text, words, width, most)
+    first = write_table(found.filter(F.col(key) == F.col("component_id")).select(key).distinct(), "simhash-first")
+    kept = df.join(first, key, "left_semi").dropDuplicates([key]).select(*df.columns)
+    return kept.unionByName(df.filter(F.col(key).isNull()))
