@@ -6,17 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercata.llm import packing as _packing
+from mercata.llm import quality as _quality
+from mercata.llm import simhash as _simhash
+from mercata.llm import substrings as _substrings
 from mercata.llm.text import word_count
 from mercata.session import write_table
 from mercata.sources.tables import read_table
 
+#: Near copies: shingles of five words, a similarity (Jaccard) of 0.8. At 0.8 two fingerprints of
+#: 8 x 64 bits differ in about 76 bits, give or take 8; distances up to this one count as copies.
+SHINGLE, FINGERPRINT_WORDS, MOST_BITS = 5, 8, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier rejects go."""
+    return _quality.keep_good(docs, read_table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    return _simhash.keep_first(docs, "doc_id", "text", SHINGLE, FINGERPRINT_WORDS, MOST_BITS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages of 20 words or more that also stand earlier go from the text; n_chars follows."""
+    out = _substrings.strip_repeats(docs, "doc_id", "text")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length buckets and token-budget batches of every document that is left."""
     return _packing.pack(docs, "doc_id", word_count(F.col("text")))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
 
 #: SQL cannot express the classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
