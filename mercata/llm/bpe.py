@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: White space of the tokenizer's normaliser (Unicode White_Space), a fixed value.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -55,6 +56,7 @@ class Model:
     """Merge list, vocabulary and pre-tokenisation of a word-suffix BPE tokenizer file."""
 
     def __init__(self, spec: str):
+        self.spec, self.library = spec, None
         spec = json.loads(spec)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or spec.get("decoder"):
@@ -87,6 +89,15 @@ class Model:
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+    def library_pieces(self, text: str) -> list[bytes]:
+        """Normalised pre-tokens by the library itself: its Unicode tables may be newer than Python's."""
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.spec)
+            self.back = {ord(c): bytes([b]) for b, c in enumerate(byte_symbols())}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [b"".join(self.back[ord(c)] for c in piece) for piece, _ in found]
+
+
 def lookahead(order: list[tuple[int, int, int]]) -> int:
     """Sufficient lookahead, in symbols, of a merge list given as (left, right, made) ids."""
     made_by: dict[int, tuple[int, int]] = {}
@@ -192,8 +203,13 @@ class Encoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         m, out = self.model, array("i")
         text = word.decode()
-        for piece in m.pattern.findall(text.lower() if text.isascii() else m.normalise(text)):
-            data = piece.encode()
+        if text.isascii():
+            pieces = map(str.encode, m.pattern.findall(text.lower()))
+        elif max(text) < "\u0250":
+            pieces = map(str.encode, m.pattern.findall(m.normalise(text)))
+        else:
+            pieces = m.library_pieces(text)
+        for data in pieces:
             if len(data) <= self.short:
                 symbols = [m.first[b] for b in data]
                 symbols[-1] = m.last[data[-1]]
