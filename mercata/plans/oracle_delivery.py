@@ -15,25 +15,47 @@ LONG = """long as (
   union all select 'handover_days', handover_days from dur
   union all select 'shipping_days', shipping_days from dur)"""
 
-DVS = """dvs as (
-  select case when o.delivered_ts > o.estimated_ts then 'Delayed' else 'On Time' end as delivery_status,
-    count(distinct o.order_id) as order_count, avg(rv.review_score) as avg_score,
-    cast(sum(case when rv.review_score <= 2 then 1 else 0 end) as double) * 100.0 / cast(count(*) as double) as bad_rate_pct,
-    cast(sum(case when rv.review_score >= 4 then 1 else 0 end) as double) * 100.0 / cast(count(*) as double) as good_rate_pct
-  from fx_orders o join fx_reviews rv on o.order_id = rv.order_id
-  where o.order_status = 'delivered' and o.delivered_ts is not null
-  group by 1)"""
-
-REGION = """reg as (
-  select c.customer_state as state, count(distinct o.order_id) as order_count,
-    avg(case when o.delivered_ts > o.estimated_ts then 1 else 0 end) * 100.0 as delay_rate_pct,
-    avg(rv.review_score) as avg_score,
-    avg(datesub('day', o.purchase_ts, o.delivered_ts)) as avg_delivery_days
-  from fx_orders o join fx_reviews rv on o.order_id = rv.order_id
-  join fx_customers c on o.customer_id = c.customer_id
-  where o.order_status = 'delivered' and o.delivered_ts is not null
-  group by c.customer_state
-  having count(distinct o.order_id) > 150)"""
+# One row per delivered order, then its reviews rolled up: averages over reviews are weighted sums.
+JUDGED = """facts as (
+  select order_id, customer_id, delivered_ts > estimated_ts as is_late,
+    date_diff('day', estimated_ts, delivered_ts) as late_days, datesub('day', purchase_ts, delivered_ts) as days_taken
+  from fx_orders where order_status = 'delivered' and delivered_ts is not null),
+votes as (
+  select order_id, count(*) as n, count(review_score) as n_scored, sum(review_score) as points,
+    count_if(review_score < 3) as bad, count_if(review_score > 3) as good
+  from fx_reviews group by order_id),
+judged as (select * from facts join votes using (order_id))"""
+
+
+def _share(part: str, whole: str) -> str:
+    return f"cast(coalesce({part}, 0) as double) * 100.0 / cast({whole} as double)"
+
+
+def _by_status(late: str) -> str:
+    return f"""by_status as (
+  select if({late}, 'Delayed', 'On Time') as delivery_status, count(*) as order_count,
+    cast(sum(points) as double) / cast(sum(n_scored) as double) as avg_score,
+    {_share('sum(bad)', 'sum(n)')} as bad_rate_pct, {_share('sum(good)', 'sum(n)')} as good_rate_pct
+  from judged group by all)"""
+
+
+# Weighted group figures: w rows of the joined tables stand behind an order.
+def _figures(lines: str) -> str:
+    return f"""count(*) as order_count,
+    cast(coalesce(sum(n * {lines}) filter (where is_late), 0) as double) / cast(sum(n * {lines}) as double) * 100.0 as delay_rate_pct,
+    cast(sum(points * {lines}) as double) / cast(sum(n_scored * {lines}) as double) as avg_score,
+    cast(sum(days_taken * n * {lines}) as double) / cast(sum(n * {lines}) as double) as avg_delivery_days"""
+
+
+REGION = f"""by_state as (
+  select customer_state as state, {_figures('1')}
+  from judged join fx_customers using (customer_id) group by all having order_count > 150)"""
+
+BASKETS = """baskets as (
+  select order_id, product_category_name_english as category, count(*) as lines
+  from fx_items join (select product_id, product_category_name_english
+                      from fx_products join fx_translation using (product_category_name)) using (product_id)
+  group by all)"""
 
 
 def _w(*ctes: str) -> str:
@@ -67,49 +89,27 @@ c as (select bin, count(*) as n from b group by bin)
 select cast(g.range as int) as bin, r.lo + ((r.hi - r.lo) / 50.0) * g.range as bin_lo,
   r.lo + ((r.hi - r.lo) / 50.0) * (g.range + 1) as bin_hi, coalesce(c.n, 0) as count
 from range(50) g, r left join c on c.bin = g.range""",
-    "delay_vs_score": _w(DVS) + "select * from dvs",
-    "delay_vs_score_calendar": """
-select case when date_diff('day', o.estimated_ts, o.delivered_ts) > 0 then 'Delayed' else 'On Time' end as delivery_status,
-  count(distinct o.order_id) as order_count, avg(rv.review_score) as avg_score,
-  cast(sum(case when rv.review_score <= 2 then 1 else 0 end) as double) * 100.0 / cast(count(*) as double) as bad_rate_pct,
-  cast(sum(case when rv.review_score >= 4 then 1 else 0 end) as double) * 100.0 / cast(count(*) as double) as good_rate_pct
-from fx_orders o join fx_reviews rv on o.order_id = rv.order_id
-where o.order_status = 'delivered' and o.delivered_ts is not null
-group by 1""",
-    "delay_score_gap": _w(DVS) + """, p as (
-  select max(case when delivery_status = 'On Time' then avg_score end) as on_time_score,
-    max(case when delivery_status = 'Delayed' then avg_score end) as delayed_score,
-    max(case when delivery_status = 'On Time' then bad_rate_pct end) as on_time_bad_rate_pct,
-    max(case when delivery_status = 'Delayed' then bad_rate_pct end) as delayed_bad_rate_pct
-  from dvs)
-select *, on_time_score - delayed_score as score_gap, delayed_bad_rate_pct - on_time_bad_rate_pct as bad_rate_gap from p""",
-    "delay_by_region": _w(REGION) + """
-select *, delay_rate_pct > (select median(delay_rate_pct) from reg) as above_median,
-  (select max(delay_rate_pct) - min(delay_rate_pct) from reg) as delay_rate_spread
-from reg""",
-    "delay_by_category": """
-select t.product_category_name_english as category, count(distinct o.order_id) as order_count,
-  avg(case when o.delivered_ts > o.estimated_ts then 1 else 0 end) * 100.0 as delay_rate_pct,
-  avg(rv.review_score) as avg_score,
-  avg(datesub('day', o.purchase_ts, o.delivered_ts)) as avg_delivery_days
-from fx_orders o
-join fx_items i on o.order_id = i.order_id
-join fx_products p on i.product_id = p.product_id
-join fx_translation t on p.product_category_name = t.product_category_name
-join fx_reviews rv on o.order_id = rv.order_id
-where o.order_status = 'delivered' and o.delivered_ts is not null
-group by t.product_category_name_english
-having count(distinct o.order_id) > 200""",
-    "delay_dose_response": """
-select case when d <= 0 then 'On Time / Early' when d <= 3 then '1-3 days late' when d <= 7 then '4-7 days late'
-            when d <= 14 then '8-14 days late' else '>14 days late' end as delay_severity,
-  case when d <= 0 then 0 when d <= 3 then 1 when d <= 7 then 2 when d <= 14 then 3 else 4 end as severity_rank,
-  count(distinct order_id) as order_count, avg(review_score) as avg_score,
-  cast(sum(case when review_score <= 2 then 1 else 0 end) as double) * 100.0 / cast(count(*) as double) as bad_rate_pct
-from (select o.order_id, rv.review_score, date_diff('day', o.estimated_ts, o.delivered_ts) as d
-      from fx_orders o join fx_reviews rv on o.order_id = rv.order_id
-      where o.order_status = 'delivered' and o.delivered_ts is not null)
-group by 1, 2""",
+    "delay_vs_score": _w(JUDGED, _by_status("is_late")) + "select * from by_status",
+    "delay_vs_score_calendar": _w(JUDGED, _by_status("late_days > 0")) + "select * from by_status",
+    "delay_score_gap": _w(JUDGED, _by_status("is_late")) + """, sides as (
+  select t.avg_score as on_time_score, d.avg_score as delayed_score,
+    t.bad_rate_pct as on_time_bad_rate_pct, d.bad_rate_pct as delayed_bad_rate_pct
+  from (select * from by_status where delivery_status = 'On Time') t
+  full join (select * from by_status where delivery_status = 'Delayed') d on true)
+select *, on_time_score - delayed_score as score_gap, delayed_bad_rate_pct - on_time_bad_rate_pct as bad_rate_gap from sides""",
+    "delay_by_region": _w(JUDGED, REGION) + """
+select *, delay_rate_pct > median(delay_rate_pct) over () as above_median,
+  max(delay_rate_pct) over () - min(delay_rate_pct) over () as delay_rate_spread
+from by_state""",
+    "delay_by_category": _w(JUDGED, BASKETS) + f"""
+select category, {_figures('lines')}
+from judged join baskets using (order_id) group by all having order_count > 200""",
+    "delay_dose_response": _w(JUDGED) + f""", bands(severity_rank, above, upto, delay_severity) as (
+  values (0, null, 0, 'On Time / Early'), (1, 0, 3, '1-3 days late'), (2, 3, 7, '4-7 days late'),
+         (3, 7, 14, '8-14 days late'), (4, 14, null, '>14 days late'))
+select delay_severity, severity_rank, count(*) as order_count,
+  cast(sum(points) as double) / cast(sum(n_scored) as double) as avg_score, {_share('sum(bad)', 'sum(n)')} as bad_rate_pct
+from judged join bands on coalesce(late_days > above, true) and coalesce(late_days <= upto, true) group by all""",
     "table_row_counts": """
 select 'customers' as table_name, count(*) as row_count from fx_customers
 union all select 'orders', count(*) from fx_orders
