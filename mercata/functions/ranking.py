@@ -7,86 +7,44 @@ above it. :func:`value_ranks` computes exactly that:
 
 1. collapse rows to distinct ``(group, value)`` with counts and weight sums
    (partial aggregation, so a hot value is one row before any shuffle);
-2. cut each group's distinct values into ``buckets`` ranges at approximate
-   quantiles of the distinct values (one aggregate; a binary search over the
-   bounds assigns the bucket, so equal values always share a bucket);
-3. prefix-sum the per-bucket totals (``groups x buckets`` rows, broadcast);
-4. prefix-sum inside each ``(group, bucket)`` partition and add the offset.
-
-Every window is partitioned by ``(group, bucket)``, whose size is about
-``distinct values / buckets``. Results are exact; the approximation only
-decides where buckets split.
+2. range-partition these rows by (group, value) and write them once with their
+   partition number: even, ordered buckets however many groups there are;
+3. prefix-sum the per-bucket totals (one row per group and bucket);
+4. prefix-sum inside each ``(group, bucket)`` and add the offset.
+
+Every window is partitioned by ``(group, bucket)``. Results are exact; the
+ranges only decide where buckets split. The write runs when the operator is
+called; everything after it reads the small written table.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP = "_group"
-
-
-def default_buckets(df: DataFrame) -> int:
-    """Buckets per group: twice the shuffle partitions, within [64, 4096].
+from mercata.session import write_table
 
-    Window partitions then hold about distinct values / buckets rows (10^9
-    distinct values over 4096 buckets: ~250k rows per sort), while the
-    broadcast range table stays at groups x buckets rows.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(64, min(4096, 2 * parts))
+GROUP = "_group"
 
 
 def _bucketed(df: DataFrame, value: str, group: str | None, weight: str | None, count: str | None,
-              buckets: int | None, accuracy: int) -> DataFrame:
-    """Distinct (group, value) rows with cnt, wsum and a value-range bucket."""
-    buckets = buckets or default_buckets(df)
+              buckets: int | None) -> DataFrame:
+    """Distinct (group, value) rows with cnt, wsum and a value-range bucket, written once."""
     g = F.col(group) if group else F.lit(0)
     w = F.col(weight) if weight else F.lit(0)
     c = F.col(count) if count else F.lit(1)
     d = (df.filter(F.col(value).isNotNull())
          .groupBy(g.alias(GROUP), F.col(value).alias("value"))
          .agg(F.sum(c).cast("bigint").alias("cnt"), F.sum(w).alias("wsum")))
-    if buckets <= 1:
-        return d.withColumn("_bucket", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    if group:
-        # One row of bounds per group, attached by a hash join on the group key
-        # (a bounded broadcast: groups x (buckets - 1) values).
-        bounds = d.groupBy(GROUP).agg(F.percentile_approx("value", probs, accuracy).alias("_b"))
-        d = d.join(F.broadcast(bounds.withColumnRenamed(GROUP, "_g")),
-                   F.col(GROUP).eqNullSafe(F.col("_g"))).drop("_g")
-        arr = F.col("_b")
-    else:
-        # A single bounds array: a scalar subquery projected as a column, no join.
-        d = d.withColumn("_b", d.agg(F.percentile_approx("value", probs, accuracy)).scalar())
-        arr = F.col("_b")
-    return d.select(GROUP, "value", "cnt", "wsum", _lower_bound(arr, F.col("value"), buckets - 1).alias("_bucket"))
-
-
-def _lower_bound(arr, v, n: int):
-    """Number of elements of the sorted array ``arr`` (length ``n``) strictly
-    below ``v``: a binary search in ceil(log2(n + 1)) JVM-side steps."""
-    steps = max(1, math.ceil(math.log2(n + 1)))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.shiftright(lo + hi, 1)
-        below = F.element_at(arr, mid + 1) < v
-        moved = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
-            F.struct(lo.alias("lo"), mid.alias("hi")))
-        return F.when(lo < hi, moved).otherwise(acc)
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
+    ranged = d.repartitionByRange(buckets, GROUP, "value") if buckets else d.repartitionByRange(GROUP, "value")
+    return write_table(ranged.withColumn("_bucket", F.spark_partition_id()), "ranks")
 
 
 def _bucket_offsets(d: DataFrame) -> DataFrame:
     """Per (group, bucket): rows and weight in lower buckets, group totals.
-    groups x buckets rows; the window runs over that small table."""
+    One row per group and bucket that meet; the window runs over that small table."""
     per_bucket = d.groupBy(GROUP, "_bucket").agg(F.sum("cnt").alias("_bc"), F.sum("wsum").alias("_bw"))
     before = Window.partitionBy(GROUP).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(GROUP)
@@ -99,9 +57,9 @@ def _bucket_offsets(d: DataFrame) -> DataFrame:
 
 
 def _with_offsets(d: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Attach the bucket offsets (a bounded broadcast, null-safe on the group)
-    and prefix-sum inside each (group, bucket) partition."""
-    d = d.join(F.broadcast(offsets), F.col(GROUP).eqNullSafe(F.col("_og")) & (F.col("_bucket") == F.col("_ob")))
+    """Attach the bucket offsets (null-safe on the group; joined by size) and
+    prefix-sum inside each (group, bucket) partition."""
+    d = d.join(offsets, F.col(GROUP).eqNullSafe(F.col("_og")) & (F.col("_bucket") == F.col("_ob")))
     inside = Window.partitionBy(GROUP, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     d = d.select(
         GROUP, "value", "cnt", "wsum", "n_total", "w_total",
@@ -112,7 +70,7 @@ def _with_offsets(d: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str | None = None,
-                count: str | None = None, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+                count: str | None = None, buckets: int | None = None) -> DataFrame:
     """Distinct values with their neighbourhood totals.
 
     Input: rows with ``value`` (NULLs ignored), optional ``group`` key,
@@ -121,7 +79,7 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, weight: str
     cnt_lt, w_lt (strictly smaller values), cnt_gt, w_gt (strictly larger),
     n_total, w_total (per group).
     """
-    d = _bucketed(df, value, group, weight, count, buckets, accuracy)
+    d = _bucketed(df, value, group, weight, count, buckets)
     out = _with_offsets(d, _bucket_offsets(d))
     return out.withColumnRenamed(GROUP, group) if group else out
 
@@ -134,7 +92,7 @@ def _value_at(rank: Column) -> Column:
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None,
                     count: str | None = None, buckets: int | None = None,
-                    names: Sequence[str] | None = None, accuracy: int = 10000) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy 'linear',
     DuckDB ``quantile_cont``), one row per group, one column per prob.
 
@@ -143,7 +101,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: st
     sorted (selection); all other distinct values are only counted.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    d = _bucketed(df, value, group, None, count, buckets, accuracy)
+    d = _bucketed(df, value, group, None, count, buckets)
     offsets = _bucket_offsets(d)
     n1 = (F.col("n_total") - 1).cast("double")
     targets = []
@@ -154,7 +112,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: st
     need = (offsets.select("_og", "_ob", "_oc", "_bc", F.explode(F.array(*targets)).alias("_r"))
             .filter((F.col("_r") >= F.col("_oc")) & (F.col("_r") < F.col("_oc") + F.col("_bc")))
             .select("_og", "_ob").distinct())
-    cand = d.join(F.broadcast(need.withColumnsRenamed({"_og": "_ng", "_ob": "_nb"})),
+    cand = d.join(need.withColumnsRenamed({"_og": "_ng", "_ob": "_nb"}),
                   F.col(GROUP).eqNullSafe(F.col("_ng")) & (F.col("_bucket") == F.col("_nb"))).drop("_ng", "_nb")
     r = _with_offsets(cand, offsets)
     aggs = []

@@ -31,8 +31,8 @@ def _upper_gamma_regularized(a: float, x: float) -> float:
             term *= x / n
             total += term
             if abs(term) < abs(total) * 1e-16:
-                break
-        return max(0.0, 1.0 - total * math.exp(log_pre))
+                return max(0.0, 1.0 - total * math.exp(log_pre))
+        return math.nan  # not converged
     tiny = 1e-300
     b = x + 1 - a
     c = 1 / tiny
@@ -48,9 +48,9 @@ def _upper_gamma_regularized(a: float, x: float) -> float:
         d = 1 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1) < 1e-16:
-            break
-    return math.exp(log_pre) * h
+        if abs(delta - 1) < 1e-15:
+            return math.exp(log_pre) * h
+    return math.nan  # not converged
 
 
 def chi2_sf(x: float, dof: float) -> float:

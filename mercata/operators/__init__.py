@@ -13,10 +13,11 @@ from mercata.operators.customers import (  # noqa: F401
 )
 from mercata.operators.delivery import (  # noqa: F401
     data_quality_checks, delay_by_category, delay_by_region, delay_dose_response, delay_score_gap, delay_vs_score,
-    fulfilment_durations, fulfilment_summary, stage_boxplot, table_row_counts, total_days_histogram,
+    extremes, fulfilment_durations, fulfilment_summary, stage_boxplot, table_row_counts, total_days_histogram,
 )
 from mercata.operators.experiment import (  # noqa: F401
-    arm_counts, arm_readout, arm_summary, chi_square, chi_square_test, contingency, diff_ci, launch_decision,
+    arm_counts, arm_readout, arm_summary, chi_square, chi_square_test, contingency, diff_ci, expected_counts,
+    launch_decision,
 )
 from mercata.operators.growth import (  # noqa: F401
     category_coverage, category_growth, category_month_gmv, category_totals, concentration_summary, customer_trend_edges,
@@ -25,7 +26,7 @@ from mercata.operators.growth import (  # noqa: F401
 )
 from mercata.operators.scorecard import (  # noqa: F401
     auc, clean_applicants, coefficients, fit_logistic, iv_table, ks, label_summary, overfit_gap, predict,
-    quantile_bins, roc_curve, scorecard_points, stratified_split, woe_encode, woe_table,
+    quantile_bins, roc_curve, scorecard_points, stratified_split, woe_encode, woe_rows, woe_table,
 )
 
 # Blueprint names for operators published under a more precise name.

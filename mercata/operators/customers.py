@@ -20,7 +20,7 @@ from mercata.functions.expressions import (
     right_closed_bucket,
 )
 from mercata.functions.ranking import exact_quantiles, value_ranks
-from mercata.operators.growth import category_items, delivered_orders, order_gmv
+from mercata.operators.growth import order_categories, delivered_orders, order_gmv
 
 Cols = Mapping[str, str] | None
 
@@ -115,7 +115,8 @@ def repurchase_gap_distribution(orders: DataFrame, status: str = "delivered", co
     third of all orders is split across days instead of sorted in one task.
     """
     o = conform(orders, ("order_id", customer_key, "order_status", "purchase_ts"), cols)
-    o = o.filter(F.col("order_status") == status)
+    # An order without a purchase time has no gap to anything.
+    o = o.filter((F.col("order_status") == status) & F.col("purchase_ts").isNotNull())
     chunks = o.groupBy(customer_key, F.to_date("purchase_ts").alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("purchase_ts").alias("_first"), F.max("purchase_ts").alias("_last"))
     prev = F.lag("_last").over(Window.partitionBy(customer_key).orderBy("_day"))
@@ -276,14 +277,14 @@ def pareto_shares(rfm: DataFrame, top: Sequence[int] = (5, 10, 20), bottom: int
                     pct(F.col("total_gmv") - F.col("_b"), "total_gmv").alias(f"bottom{bottom}_share"))
 
 
-def gini(rfm: DataFrame, value: str = "monetary") -> DataFrame:
+def gini(rfm: DataFrame, value: str = "monetary", verdict: float = 0.6) -> DataFrame:
     """Exact Gini coefficient of spend (T3: the reference's trapezoid on a
     descending curve has the wrong sign; this is the standard coefficient).
 
     G = 2 * sum(i * x_(i)) / (n * sum(x)) - (n + 1) / n with x ascending; the
     ranks of a tied group starting after L smaller rows sum to
     c * L + c * (c + 1) / 2. With decimal spend the rank-weighted sum is exact
-    (DECIMAL(38, 2)), so only the final ratio is rounded.
+    (DECIMAL(38, 2)), so only the final ratio is rounded. ``concentrated``: above ``verdict``.
     """
     r = _spend_ranks(rfm, value)
     c, lt = F.col("cnt"), F.col("cnt_lt")
@@ -291,7 +292,9 @@ def gini(rfm: DataFrame, value: str = "monetary") -> DataFrame:
     a = r.agg(F.sum(F.col("value") * rank_sum).alias("_s"), F.max("n_total").alias("n"),
               F.max("w_total").alias("_w"))
     n = as_double("n")
-    return a.select("n", (F.lit(2.0) * as_double("_s") / (n * as_double("_w")) - (n + F.lit(1.0)) / n).alias("gini"))
+    # No spend at all: no concentration to speak of, NULL.
+    share = F.try_divide(F.lit(2.0) * as_double("_s"), n * as_double("_w"))
+    return a.select("n", (share - (n + F.lit(1.0)) / n).alias("gini")).withColumn("concentrated", F.col("gini") > verdict)
 
 
 def lorenz_curve(rfm: DataFrame, points: int = 1000, value: str = "monetary") -> DataFrame:
@@ -353,10 +356,9 @@ def group_category_preference(orders: DataFrame, items: DataFrame, products: Dat
     GMV is reduced to (customer, category) before the segment join, so a
     customer with a huge number of orders is a few rows when shuffled.
     """
-    ci = category_items(items, products, translation, item_cols, product_cols, translation_cols)
-    per_oc = ci.groupBy("order_id", "category").agg(F.sum("price").alias("gmv"))
-    o = delivered_orders(orders, status, cols).select("order_id", "customer_id")
-    per_cc = per_oc.join(o, "order_id").groupBy("customer_id", "category").agg(F.sum("gmv").alias("gmv"))
+    per_oc = order_categories(orders, items, products, translation, status, cols, item_cols, product_cols,
+                              translation_cols, keep=["customer_id"])
+    per_cc = per_oc.groupBy("customer_id", "category").agg(F.sum("gmv").alias("gmv"))
     j = per_cc.join(_segment_flags(segmented, segment), "customer_id", "left")
     inside = F.col("_in").isNotNull()
     zero = F.lit(0).cast("decimal(38,2)")

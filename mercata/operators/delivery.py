@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mercata.functions.columns import CUSTOMERS, ORDERS, REVIEWS, conform
 from mercata.functions.expressions import as_double, equal_width_histogram, pct, ratio
-from mercata.operators.growth import category_items
+from mercata.operators.growth import order_categories
 
 Cols = Mapping[str, str] | None
 
@@ -227,8 +227,8 @@ def delay_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
     """Per category delay rate, mean score, delivery days over the
     items x reviews fan-out (T7), categories with more than ``min_orders``
     distinct orders."""
-    ci = category_items(items, products, translation, item_cols, product_cols, translation_cols)
-    per_oc = ci.groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
+    per_oc = order_categories(orders, items, products, translation, status, cols, item_cols, product_cols,
+                              translation_cols).select("order_id", "category", "n_items")
     rd = reviewed_deliveries(orders, reviews, status, cols, review_cols)
     j = per_oc.join(rd, "order_id")
     facts = j.select("category", *_delay_facts(j, F.col("n_items"), by))
@@ -237,6 +237,14 @@ def delay_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
     return (_delay_metrics(g, "category").filter(F.col("order_count") > min_orders))
 
 
+def extremes(df: DataFrame, by: str, key: str, k_top: int, k_bottom: int = 0) -> DataFrame:
+    """The ``k_top`` largest and ``k_bottom`` smallest rows by ``by`` (ties by ``key``), marked by ``side``."""
+    out = df.orderBy(F.desc(by), key).limit(k_top).withColumn("side", F.lit("top"))
+    if k_bottom:
+        out = out.unionByName(df.orderBy(by, F.desc(key)).limit(k_bottom).withColumn("side", F.lit("bottom")))
+    return out
+
+
 # ---------------------------------------------------------------- X9 / X10
 
 def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

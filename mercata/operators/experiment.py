@@ -54,58 +54,82 @@ def arm_summary(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", expe
     return arm_readout(arm_counts(df, arm, outcome, experiment_id, positive), arm, control, experiment_id)
 
 
-def contingency(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", values: Sequence = (0, 1),
-                experiment_id: str | None = None) -> DataFrame:
-    """AB2: arm x outcome counts, one column ``n_<value>`` per outcome value;
-    empty cells are 0 (conditional counts, no pivot discovery pass). All arms
-    present are kept (T21)."""
+def contingency(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", values: Sequence | None = (0, 1),
+                experiment_id: str | None = None, arms: Sequence | None = None) -> DataFrame:
+    """AB2: arm x outcome counts, one column ``n_<value>`` per outcome value and
+    ``n_other`` for any other outcome; empty cells are 0, NULL outcomes are not
+    counted. ``values=None`` takes the outcomes that occur (an action). All arms
+    present are kept (T21) unless ``arms`` names them.
+    """
+    if arms is not None:
+        df = df.filter(F.col(arm).isin(list(arms)))
+    if values is None:
+        values = sorted(r[0] for r in df.select(outcome).distinct().filter(F.col(outcome).isNotNull()).collect())
     cells = [F.count_if(F.col(outcome) == v).alias(f"n_{v}") for v in values]
-    g = df.groupBy(*_keys(experiment_id), F.col(arm).alias(arm)).agg(*cells)
+    other = F.count_if(F.col(outcome).isNotNull() & ~F.col(outcome).isin(list(values))).alias("n_other")
+    g = df.groupBy(*_keys(experiment_id), F.col(arm).alias(arm)).agg(*cells, other)
     return _finish(g, experiment_id)
 
 
-def chi_square(table: DataFrame, arm: str = "dmp_id", values: Sequence = (0, 1), correction: bool = True,
-               experiment_id: str | None = None) -> DataFrame:
-    """AB3: Pearson chi-square of independence on the contingency table.
+def expected_counts(table: DataFrame, arm: str = "dmp_id", values: Sequence | None = None,
+                    experiment_id: str | None = None) -> DataFrame:
+    """AB3: per cell of the contingency table ``observed`` and ``expected`` = row total x
+    column total / N (NULL for an empty experiment). One row per (experiment, arm, outcome).
 
-    Expected = row total x column total / N. With one degree of freedom and
-    ``correction`` the Yates continuity correction moves each observed count
-    up to 0.5 towards its expectation (scipy's default). Returns chi2 (as
-    tested), chi2_uncorrected, dof, n and the smallest expected count.
+    Outcomes outside the table's columns would make N, and the test, wrong: any raises.
     """
+    if values is None:
+        values = [c[2:] for c in table.columns if c.startswith("n_") and c != "n_other"]
+    if "n_other" in table.columns:
+        whole = F.when(F.col("n_other") > 0, F.raise_error(F.lit("outcomes outside the contingency table's values")).cast("long"))
+        table = table.withColumn(f"n_{values[0]}", F.coalesce(whole, F.col(f"n_{values[0]}")))
     t = table.select(*_keys(experiment_id), arm, *[f"n_{v}" for v in values])
     cells = t.select(EXP, arm, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("j"), F.col(f"n_{v}").cast("double").alias("o")) for i, v in enumerate(values)
-    ])).alias("c")).select(EXP, arm, "c.j", "c.o")
+        F.struct(F.lit(str(v)).alias("outcome"), F.col(f"n_{v}").cast("double").alias("observed")) for v in values
+    ])).alias("c")).select(EXP, arm, "c.*")
+    total = F.sum("observed").over(Window.partitionBy(EXP))  # cells of one experiment
+    row = F.sum("observed").over(Window.partitionBy(EXP, arm))
+    column = F.sum("observed").over(Window.partitionBy(EXP, "outcome"))
+    return _finish(cells.select("*", F.try_divide(row * column, total).alias("expected")), experiment_id)
+
+
+def chi_square(table: DataFrame, arm: str = "dmp_id", values: Sequence | None = None, correction: bool = True,
+               experiment_id: str | None = None) -> DataFrame:
+    """AB3: Pearson chi-square of independence on the contingency table.
+
+    With one degree of freedom and ``correction`` the Yates continuity
+    correction moves each observed count up to 0.5 towards its expectation
+    (scipy's default). Returns chi2 (as tested), chi2_uncorrected, dof, n and
+    the smallest expected count. An experiment with an empty row or column has
+    an expected count of 0 and no test: its chi2 is NULL.
+    """
+    cells = expected_counts(table, arm, values, experiment_id).select(*_keys(experiment_id), arm, "outcome", "observed", "expected")
     per_exp = Window.partitionBy(EXP)  # cells of one experiment
-    row_tot = F.sum("o").over(Window.partitionBy(EXP, arm))
-    col_tot = F.sum("o").over(Window.partitionBy(EXP, "j"))
-    total = F.sum("o").over(per_exp)
-    n_rows = F.size(F.collect_set(arm).over(per_exp))
-    e = cells.select(EXP, arm, "j", "o", (row_tot * col_tot / total).alias("e"), total.alias("n"),
-                     ((n_rows - 1) * (len(values) - 1)).alias("dof"))
-    diff = F.col("e") - F.col("o")
-    shifted = F.col("o") + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)
-    corrected = F.when((F.col("dof") == 1) & F.lit(correction), shifted).otherwise(F.col("o"))
-    terms = e.select(EXP, arm, "j", "n", "dof", "e",
-                     (F.pow(corrected - F.col("e"), 2) / F.col("e")).alias("t"),
-                     (F.pow(F.col("o") - F.col("e"), 2) / F.col("e")).alias("u"))
+    n_rows, n_columns = F.size(F.collect_set(arm).over(per_exp)), F.size(F.collect_set("outcome").over(per_exp))
+    e = cells.select("*", F.sum("observed").over(per_exp).alias("n"), ((n_rows - 1) * (n_columns - 1)).alias("dof"))
+    o, x = F.col("observed"), F.col("expected")
+    shifted = o + F.least(F.lit(0.5), F.abs(x - o)) * F.signum(x - o)
+    corrected = F.when((F.col("dof") == 1) & F.lit(correction), shifted).otherwise(o)
+    terms = e.select(EXP, arm, "n", "dof", "expected", F.try_divide(F.pow(corrected - x, 2), x).alias("t"),
+                     F.try_divide(F.pow(o - x, 2), x).alias("u"))
     # Sum each arm's cells, then the arms (few rows per experiment).
     per_arm = terms.groupBy(EXP, arm).agg(
         F.sum("t").alias("t"), F.sum("u").alias("u"), F.max("n").alias("n"), F.max("dof").alias("dof"),
-        F.min("e").alias("min_e"))
-    out = per_arm.groupBy(EXP).agg(ordered_sum("t").alias("chi2"), ordered_sum("u").alias("chi2_uncorrected"),
+        F.min("expected").alias("min_e"))
+    tested = F.min("min_e") > 0
+    out = per_arm.groupBy(EXP).agg(F.when(tested, ordered_sum("t")).alias("chi2"),
+                                   F.when(tested, ordered_sum("u")).alias("chi2_uncorrected"),
                                    F.max("dof").alias("dof"), F.max("n").cast("bigint").alias("n"),
                                    F.min("min_e").alias("min_expected"))
     return _finish(out, experiment_id)
 
 
-def chi_square_test(table: DataFrame, arm: str = "dmp_id", values: Sequence = (0, 1), correction: bool = True,
+def chi_square_test(table: DataFrame, arm: str = "dmp_id", values: Sequence | None = None, correction: bool = True,
                     alpha: float = 0.05, experiment_id: str | None = None) -> DataFrame:
     """AB3 with p-values (upper chi-square tail) and the significance flag."""
     chi = chi_square(table, arm, values, correction, experiment_id)
-    return chi.select("*", chi2_sf_udf(F.col("chi2"), as_double("dof")).alias("p_value"),
-                      chi2_sf_udf(F.col("chi2_uncorrected"), as_double("dof")).alias("p_value_uncorrected")
+    tail = lambda c: F.nanvl(chi2_sf_udf(F.col(c), as_double("dof")), F.lit(None).cast("double"))
+    return chi.select("*", tail("chi2").alias("p_value"), tail("chi2_uncorrected").alias("p_value_uncorrected")
                       ).withColumn("significant", F.col("p_value") < alpha)
 
 

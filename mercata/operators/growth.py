@@ -174,17 +174,28 @@ def customer_trend_edges(monthly: DataFrame, k: int = 6, value: str = "customers
 
 # ---------------------------------------------------------------- G8 .. G12
 
-def category_items(items: DataFrame, products: DataFrame, translation: DataFrame,
-                   item_cols: Cols = None, product_cols: Cols = None,
-                   translation_cols: Cols = None) -> DataFrame:
-    """Items with their translated category (inner joins: untranslated or
-    uncategorised products drop out, as in the reference)."""
-    it = conform(items, ("order_id", "product_id", "price"), item_cols)
+def product_dimension(products: DataFrame, translation: DataFrame, product_cols: Cols = None,
+                      translation_cols: Cols = None) -> DataFrame:
+    """product_id, category: products joined with their translation once (inner
+    joins: untranslated or uncategorised products drop out, as in the
+    reference), so items never travel by category name."""
     p = conform(products, PRODUCTS, product_cols).filter(F.col("product_category_name").isNotNull())
     t = conform(translation, TRANSLATION, translation_cols)
-    return (it.join(p, "product_id")
-            .join(t, "product_category_name")
-            .select("order_id", F.col("product_category_name_english").alias("category"), "price"))
+    return p.join(t, "product_category_name").select("product_id", F.col("product_category_name_english").alias("category"))
+
+
+def order_categories(orders: DataFrame, items: DataFrame, products: DataFrame, translation: DataFrame,
+                     status: str = "delivered", cols: Cols = None, item_cols: Cols = None, product_cols: Cols = None,
+                     translation_cols: Cols = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Per (order, category) of orders with ``status``: gmv, n_items and the order's ``keep`` columns.
+
+    Items meet the orders first, so undelivered ones never reach the product join.
+    """
+    it = conform(items, ("order_id", "product_id", "price"), item_cols)
+    o = delivered_orders(orders, status, cols).select("order_id", *keep)
+    dim = product_dimension(products, translation, product_cols, translation_cols)
+    return (it.join(o, "order_id").join(dim, "product_id").groupBy("order_id", *keep, "category")
+            .agg(F.sum("price").alias("gmv"), F.count(F.lit(1)).alias("n_items")))
 
 
 def category_coverage(orders: DataFrame, items: DataFrame, products: DataFrame, translation: DataFrame,
@@ -217,11 +228,9 @@ def category_month_gmv(orders: DataFrame, items: DataFrame, products: DataFrame,
                        item_cols: Cols = None, product_cols: Cols = None,
                        translation_cols: Cols = None) -> DataFrame:
     """Month, category, gmv, order_count (distinct orders in the cell)."""
-    ci = category_items(items, products, translation, item_cols, product_cols, translation_cols)
-    per_oc = ci.groupBy("order_id", "category").agg(F.sum("price").alias("gmv"))
-    o = delivered_orders(orders, status, cols)
-    return (per_oc.join(o.select("order_id", "month"), "order_id")
-            .groupBy("month", "category")
+    per_oc = order_categories(orders, items, products, translation, status, cols, item_cols, product_cols,
+                              translation_cols, keep=["month"])
+    return (per_oc.groupBy("month", "category")
             .agg(F.sum("gmv").alias("gmv"), F.count(F.lit(1)).alias("order_count")))
 
 

@@ -19,7 +19,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.expressions import as_double, ordered_sum, pct, ratio
@@ -125,25 +125,31 @@ def woe_table(df: DataFrame, bins: DataFrame, target: str, features: Sequence[st
 
 
 def iv_table(woe: DataFrame, threshold: float = 0.02) -> DataFrame:
-    """Information value per feature, selection flag (iv > threshold), rank."""
+    """Information value per feature, selection flag (iv > threshold), rank.
+    A NaN IV is not selected (Spark orders NaN above every number)."""
     # At most q bins per feature: summed in a fixed order.
     g = woe.groupBy("feature").agg(ordered_sum((F.col("bad_pct") - F.col("good_pct")) * F.col("woe")).alias("iv"))
-    return (g.select("feature", "iv", (F.col("iv") > threshold).alias("selected"),
+    return (g.select("feature", "iv", (~F.isnan("iv") & (F.col("iv") > threshold)).alias("selected"),
                      F.row_number().over(Window.orderBy(F.desc("iv"), "feature")).alias("iv_rank")))
 
 
 # ---------------------------------------------------------------- S6 / S7
 
-def woe_encode(df: DataFrame, woe: DataFrame, keep: Sequence[str], default: float = 0.0,
+def woe_rows(woe: DataFrame) -> list[Row]:
+    """The WOE table on the driver, in order: at most q rows per feature (an action)."""
+    return woe.select("feature", "bin", "lo", "hi", "woe").orderBy("feature", "bin").collect()
+
+
+def woe_encode(df: DataFrame, woe: Sequence[Row] | DataFrame, keep: Sequence[str], default: float = 0.0,
                suffix: str = "_woe") -> DataFrame:
     """Replace each binned feature by its bin's WOE (``default`` when the
     value is NULL or outside every bin).
 
-    The WOE table (at most q rows per feature) is read once to the driver and
-    turned into a CASE expression per feature, so encoding is a narrow
+    The WOE table comes as ``woe_rows`` (a DataFrame is read to the driver
+    here) and turns into a CASE expression per feature, so encoding is a narrow
     projection: no join and no shuffle of the rows.
     """
-    table = woe.select("feature", "bin", "lo", "hi", "woe").orderBy("feature", "bin").collect()
+    table = woe_rows(woe) if isinstance(woe, DataFrame) else woe
     by_feature: dict[str, list] = {}
     for r in table:
         by_feature.setdefault(r["feature"], []).append(r)
@@ -176,7 +182,9 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test: float
     r = value_ranks(hashed, "_h", group=target)
     cut = r.select(target, F.col("value").alias("_h"),
                    (F.col("cnt_lt") < F.ceil(F.col("n_total") * F.lit(float(test)))).alias("_test"))
-    return (hashed.join(cut, [target, "_h"])
+    # Null-safe on the class: rows without a target form a class of their own.
+    cut = cut.withColumnsRenamed({target: "_class", "_h": "_cut"})
+    return (hashed.join(cut, hashed[target].eqNullSafe(F.col("_class")) & (F.col("_h") == F.col("_cut")))
             .select(*df.columns, F.when(F.col("_test"), "test").otherwise("train").alias("split")))
 
 
@@ -247,7 +255,8 @@ def auc(scored: DataFrame, label: str = "target", score: str = "score", group: s
     num = F.sum(F.col("wsum") * (neg_lt + F.lit(0.5) * neg_here))
     keys = [group] if group else []
     a = r.groupBy(*keys).agg(num.alias("_num"), F.max("w_total").alias("n_pos"), F.max("n_total").alias("_n"))
-    return a.select(*keys, (F.col("_num") / (F.col("n_pos") * (F.col("_n") - F.col("n_pos")))).alias("auc"),
+    # A group of one class has no AUC: NULL.
+    return a.select(*keys, F.try_divide("_num", F.col("n_pos") * (F.col("_n") - F.col("n_pos"))).alias("auc"),
                     F.col("n_pos").cast("bigint").alias("n_pos"), (F.col("_n") - F.col("n_pos")).cast("bigint")
                     .alias("n_neg"))
 

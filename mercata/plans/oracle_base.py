@@ -45,6 +45,9 @@ FIXTURE_CTES = {
     case when l_suppkey % 20 = 0 then l_linenumber else 0 end as f_late_count from lineitem)""",
     "fx_ab": """fx_ab as (
   select cast(user_id % 2 + 1 as int) as dmp_id, user_id, case when event_type = 'click' then 1 else 0 end as click from events)""",
+    "fx_ab_many": """fx_ab_many as (
+  select cast(user_id % 3 as int) as experiment_id, cast(user_id % 2 + 1 as int) as dmp_id, user_id,
+    case when event_type = 'click' and user_id % 3 <> 2 then 1 else 0 end as click from events)""",
 }
 
 

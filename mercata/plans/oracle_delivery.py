@@ -125,4 +125,13 @@ select count(*) as n_orders,
   (select cast(count(*) filter (where review_score is null) as double) * 100.0 / cast(count(*) as double) from fx_reviews)
     as review_score_null_pct
 from fx_orders""",
+    "delay_by_region_extremes": _w(JUDGED, REGION) + """, placed as (
+  select state, order_count, delay_rate_pct, row_number() over (order by delay_rate_pct desc, state) as down,
+    row_number() over (order by delay_rate_pct, state desc) as up from by_state)
+select state, order_count, delay_rate_pct, 'top' as side from placed where down <= 10
+union all select state, order_count, delay_rate_pct, 'bottom' from placed where up <= 5""",
+    "delay_by_category_top": _w(JUDGED, BASKETS) + f"""
+select category, order_count, delay_rate_pct, 'top' as side
+from (select category, {_figures('lines')} from judged join baskets using (order_id) group by all having order_count > 200)
+order by delay_rate_pct desc, category limit 20""",
 }

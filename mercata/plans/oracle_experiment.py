@@ -6,7 +6,8 @@ ARMS = """g as (
   from fx_ab group by dmp_id)"""
 
 TABLE = """t as (
-  select dmp_id, count(*) filter (where click = 0) as n_0, count(*) filter (where click = 1) as n_1
+  select dmp_id, count(*) filter (where click = 0) as n_0, count(*) filter (where click = 1) as n_1,
+    count(*) filter (where click not in (0, 1)) as n_other
   from fx_ab group by dmp_id)"""
 
 CHI = """cells as (
@@ -39,6 +40,32 @@ pv as (
   from chi, erf_terms)"""
 
 
+# Grouped: one 2 x 2 table per experiment from its margins; a missing margin leaves no test.
+MANY = """many as (
+  select experiment_id as experiment, dmp_id, count(*) as n, sum(click) as clicks from fx_ab_many group by all),
+margins as (
+  select experiment, cast(sum(n) as double) as n, cast(sum(clicks) as double) as k, count(*) as arms from many group by experiment),
+boxes as (
+  select experiment, dmp_id, unnest(['0', '1']) as outcome, cast(unnest([many.n - clicks, clicks]) as double) as observed,
+    cast(many.n as double) * unnest([margins.n - k, k]) / margins.n as expected, margins.n as total, arms
+  from many join margins using (experiment)),
+parts as (
+  select experiment, dmp_id, min(expected) as least, any_value(total) as n, any_value(arms) as arms,
+    sum(if(expected > 0, pow(greatest(abs(observed - expected) - if(arms = 2, 0.5, 0), 0), 2) / expected, null)) as t,
+    sum(if(expected > 0, pow(observed - expected, 2) / expected, null)) as u
+  from boxes group by all),
+tests as (
+  select experiment as experiment_id, if(min(least) > 0, sum(t order by t), null) as chi2,
+    if(min(least) > 0, sum(u order by u), null) as chi2_uncorrected, cast(max(arms) - 1 as int) as dof,
+    cast(max(n) as bigint) as n, min(least) as min_expected
+  from parts group by experiment),
+rates as (
+  select experiment as experiment_id, max(if(dmp_id = 1, cast(clicks as double) / n, null)) as rate_control,
+    max(if(dmp_id = 2, cast(clicks as double) / n, null)) as rate_treatment,
+    max(if(dmp_id = 1, cast(n as double), null)) as nc, max(if(dmp_id = 2, cast(n as double), null)) as nt
+  from many group by experiment)"""
+
+
 def _w(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
@@ -67,4 +94,22 @@ s as (select rate_control, rate_treatment, rate_treatment - rate_control as diff
 select *, diff - 1.96 * se as ci_lower, diff + 1.96 * se as ci_upper, diff - 1.96 * se > 0 as ci_above_zero,
   (diff - 1.96 * se > 0) or (diff + 1.96 * se < 0) as ci_excludes_zero
 from s""",
+    "grouped_arm_summary": _w(MANY) + """
+select experiment as experiment_id, dmp_id, n, cast(clicks as bigint) as clicks, cast(clicks as double) / n as click_rate,
+  (cast(clicks as double) / n - rate_control) * 100.0 as lift_pp,
+  (cast(clicks as double) / n / nullif(rate_control, 0) - 1.0) * 100.0 as rel_lift_pct
+from many join rates on experiment = experiment_id""",
+    "grouped_expected_counts": _w(MANY) + "select experiment as experiment_id, dmp_id, outcome, observed, expected from boxes",
+    "grouped_chi_square": _w(MANY) + "select * from tests",
+    "grouped_diff_ci": _w(MANY) + """, d as (
+  select experiment_id, rate_control, rate_treatment, rate_treatment - rate_control as diff,
+    sqrt(rate_control * (1.0 - rate_control) / nc + rate_treatment * (1.0 - rate_treatment) / nt) as se from rates)
+select *, diff - 1.96 * se as ci_lower, diff + 1.96 * se as ci_upper, diff - 1.96 * se > 0 as ci_above_zero,
+  (diff - 1.96 * se > 0) or (diff + 1.96 * se < 0) as ci_excludes_zero
+from d""",
+    # With one degree of freedom p < 0.05 is a statistic above 3.841458820694124.
+    "grouped_launch_decision": _w(MANY) + """
+select experiment_id, rate_treatment - rate_control as diff,
+  if(chi2 > 3.841458820694124 and rate_treatment > rate_control, 'launch', 'hold') as decision
+from tests join rates using (experiment_id)""",
 }

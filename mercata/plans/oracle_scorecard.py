@@ -33,6 +33,15 @@ w as (
   from cnt),
 woe as (select *, ln(bad_pct / good_pct) as woe from w)"""
 
+TRAIN = CLEAN.replace("f_late_count\n  from c0)", "f_late_count\n  from c0 where l_orderkey % 10 >= 3)")
+
+SMOOTH = """padded as (
+  select feature, bin, lo, hi, count, count - bad as good, bad, cast(count - bad as double) + 0.5 as g, cast(bad as double) + 0.5 as b
+  from cnt),
+smooth as (
+  select feature, bin, lo, hi, count, good, bad, g / sum(g) over f as good_pct, b / sum(b) over f as bad_pct
+  from padded window f as (partition by feature))"""
+
 
 def _w(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
@@ -54,6 +63,8 @@ from clean""",
     "iv_table": _w(CLEAN, LONG, BINS, WOE) + """, iv as (
   select feature, sum((bad_pct - good_pct) * woe order by (bad_pct - good_pct) * woe) as iv from woe group by feature)
 select feature, iv, iv > 0.02 as selected, cast(row_number() over (order by iv desc, feature) as int) as iv_rank from iv""",
+    "woe_table_smooth": _w(CLEAN, LONG, BINS, WOE, SMOOTH) + "select *, ln(bad_pct / good_pct) as woe from smooth",
+    "woe_table_train": _w(TRAIN, LONG, BINS, WOE) + "select * from woe",
     "woe_encode": _w(CLEAN, LONG, BINS, WOE) + "select c.l_orderkey, c.l_partkey, c.l_suppkey, c.target,\n  "
     + ",\n  ".join(_encode(f) for f in sorted(FEATURES) if f != "f_late_count")
     + ",\n  " + _encode("f_late_count") + "\nfrom clean c",

@@ -194,6 +194,16 @@ def q_delay_by_category(fx):
     return d.delay_by_category(fx.orders, fx.items, fx.products, fx.translation, fx.reviews, min_orders=200)
 
 
+@query("delay_by_region_extremes")
+def q_delay_by_region_extremes(fx):
+    return d.extremes(q_delay_by_region(fx).select("state", "order_count", "delay_rate_pct"), "delay_rate_pct", "state", 10, 5)
+
+
+@query("delay_by_category_top")
+def q_delay_by_category_top(fx):
+    return d.extremes(q_delay_by_category(fx).select("category", "order_count", "delay_rate_pct"), "delay_rate_pct", "category", 20)
+
+
 @query("delay_dose_response")
 def q_delay_dose_response(fx):
     return d.delay_dose_response(fx.orders, fx.reviews)
@@ -340,6 +350,11 @@ def q_top_spender_penetration(fx):
     return c.top_spender_penetration(fx.orders, fx.items, fx.customers, q=0.25, min_users=50)
 
 
+@query("top_spender_penetration_top")
+def q_top_spender_penetration_top(fx):
+    return d.extremes(q_top_spender_penetration(fx), "hv_penetration", "state", 15)
+
+
 # ------------------------------------------------------------------ experiment
 
 @query("arm_summary")
@@ -373,6 +388,40 @@ def q_launch_decision(fx):
     return x.launch_decision(chi, x.diff_ci(x.arm_summary(fx.ab)), alpha=0.05)
 
 
+@query("grouped_arm_summary")
+def q_grouped_arm_summary(fx):
+    return x.arm_summary(fx.ab_many, experiment_id="experiment_id")
+
+
+def _many_table(fx: Fixtures) -> DataFrame:
+    return x.contingency(fx.ab_many, experiment_id="experiment_id", arms=(1, 2))
+
+
+@query("grouped_expected_counts")
+def q_grouped_expected_counts(fx):
+    return x.expected_counts(_many_table(fx), experiment_id="experiment_id")
+
+
+@query("grouped_chi_square")
+def q_grouped_chi_square(fx):
+    return x.chi_square(_many_table(fx), experiment_id="experiment_id")
+
+
+def _many_ci(fx: Fixtures) -> DataFrame:
+    return x.diff_ci(x.arm_summary(fx.ab_many, experiment_id="experiment_id"), experiment_id="experiment_id")
+
+
+@query("grouped_diff_ci")
+def q_grouped_diff_ci(fx):
+    return _many_ci(fx)
+
+
+@query("grouped_launch_decision")
+def q_grouped_launch_decision(fx):
+    chi = x.chi_square_test(_many_table(fx), experiment_id="experiment_id")
+    return x.launch_decision(chi, _many_ci(fx), experiment_id="experiment_id").drop("p_value")
+
+
 # ------------------------------------------------------------------ scorecard
 
 TARGET = "target"
@@ -384,17 +433,20 @@ def _clean(fx: Fixtures) -> DataFrame:
     return materialize(s.clean_applicants(fx.applicants, APPLICANT_RANGES, TARGET, APPLICANT_IMPUTE))
 
 
-def _woe(fx: Fixtures) -> DataFrame:
-    clean = _clean(fx)
+def _woe(clean: DataFrame) -> DataFrame:
     return s.woe_table(clean, s.quantile_bins(clean, APPLICANT_FEATURES, q=5), TARGET, APPLICANT_FEATURES)
 
 
+def _encoded(fx: Fixtures) -> DataFrame:
+    clean = _clean(fx)
+    return s.woe_encode(clean, s.woe_rows(_woe(clean)), keep=[*ROW_KEY, TARGET])
+
+
 def _model(fx: Fixtures):
     """IV-selected features -> WOE encoding (fitted on all rows, as the
     reference does, T11) -> hash split -> logistic regression."""
     clean = _clean(fx)
-    woe = materialize(s.woe_table(clean, s.quantile_bins(clean, APPLICANT_FEATURES, q=5), TARGET,
-                                  APPLICANT_FEATURES))
+    woe = materialize(_woe(clean))
     iv = s.iv_table(woe)
     selected = [r["feature"] for r in iv.filter("selected").select("feature").collect()]
     sel_woe = woe.filter(F.col("feature").isin(selected))
@@ -427,23 +479,37 @@ def q_quantile_bins(fx):
 
 @query("woe_table")
 def q_woe_table(fx):
-    return _woe(fx)
+    return _woe(_clean(fx))
 
 
 @query("iv_table")
 def q_iv_table(fx):
-    return s.iv_table(_woe(fx), threshold=0.02)
+    return s.iv_table(_woe(_clean(fx)), threshold=0.02)
+
+
+@query("woe_table_smooth")
+def q_woe_table_smooth(fx):
+    clean = _clean(fx)
+    bins = s.quantile_bins(clean, APPLICANT_FEATURES, q=5)
+    return s.woe_table(clean, bins, TARGET, APPLICANT_FEATURES, policy="smooth", smooth=0.5)
+
+
+@query("woe_table_train")
+def q_woe_table_train(fx):
+    """WOE fitted on the training part only."""
+    clean = _clean(fx)
+    train = clean.filter(F.pmod(F.col("l_orderkey"), F.lit(10)) >= 3)  # 70 %, by key
+    return s.woe_table(train, s.quantile_bins(train, APPLICANT_FEATURES, q=5), TARGET, APPLICANT_FEATURES)
 
 
 @query("woe_encode")
 def q_woe_encode(fx):
-    return s.woe_encode(_clean(fx), _woe(fx), keep=[*ROW_KEY, TARGET])
+    return _encoded(fx)
 
 
 @query("stratified_split")
 def q_stratified_split(fx):
-    enc = s.woe_encode(_clean(fx), _woe(fx), keep=[*ROW_KEY, TARGET])
-    return s.stratified_split(enc, ROW_KEY, TARGET, test=0.3, seed=42)
+    return s.stratified_split(_encoded(fx), ROW_KEY, TARGET, test=0.3, seed=42)
 
 
 @query("fit_logistic")

@@ -119,20 +119,25 @@ def delivery_report(t: Tables, cols: Mapping[str, str] = ECOMMERCE_DDL_COLUMNS,
 def scorecard_report(applicants: DataFrame, features: list[str], target: str, key: list[str],
                      ranges: list[tuple[str, str, float]], impute: list[str], q: int = 5, threshold: float = 0.02,
                      test: float = 0.3, seed: int = 42, C: float = 1.0, pdo: float = 50.0,
-                     base: float | None = 600.0) -> dict[str, DataFrame]:
+                     base: float | None = 600.0, policy: str = "inf", smooth: float = 0.5,
+                     fit_on: str = "all") -> dict[str, DataFrame]:
     """Cleaning -> quantile bins -> WOE / IV -> selection -> WOE encoding ->
     stratified split -> logistic regression -> points, AUC / ROC / KS.
 
-    WOE is fitted on all cleaned rows before the split, as the reference does
-    (T11); pass a training subset as ``applicants`` to avoid that leakage.
+    ``fit_on='all'`` fits bins and WOE on all cleaned rows before the split, as
+    the reference does (T11); ``'train'`` fits them on the training rows only
+    and still encodes and scores everybody. ``policy`` and ``smooth`` treat
+    empty cells (T14).
     """
     clean = materialize(sc.clean_applicants(applicants, ranges, target, impute))
-    bins = materialize(sc.quantile_bins(clean, features, q))
-    woe = materialize(sc.woe_table(clean, bins, target, features))
+    parts = sc.stratified_split(clean, key, target, test=test, seed=seed)
+    fitted = parts.filter(parts.split == "train").drop("split") if fit_on == "train" else clean
+    bins = materialize(sc.quantile_bins(fitted, features, q))
+    woe = materialize(sc.woe_table(fitted, bins, target, features, policy, smooth))
     iv = sc.iv_table(woe, threshold)
     selected = sorted(r["feature"] for r in iv.filter("selected").select("feature").collect())
     sel_woe = woe.filter(woe.feature.isin(selected))
-    encoded = sc.woe_encode(clean, sel_woe, keep=[*key, target])
+    encoded = sc.woe_encode(clean, sc.woe_rows(sel_woe), keep=[*key, target])
     split = materialize(sc.stratified_split(encoded, key, target, test=test, seed=seed))
     cols = [f + "_woe" for f in selected]
     model = sc.fit_logistic(split.filter(split.split == "train"), cols, target, C=C)

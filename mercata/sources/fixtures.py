@@ -123,6 +123,12 @@ class Fixtures:
             "user_id",
             F.when(F.col("event_type") == "click", 1).otherwise(0).alias("click"))
 
+    @cached_property
+    def ab_many(self) -> DataFrame:
+        """Three experiments over the same events; the third has no click at all."""
+        return self.ab.select((F.col("user_id") % 3).cast("int").alias("experiment_id"), "dmp_id", "user_id",
+                              F.when(F.col("user_id") % 3 == 2, 0).otherwise(F.col("click")).alias("click"))
+
 
 # Fixture parameters (sf0.01 scale; FIXTURES.md).
 AS_OF = "2002-01-01"

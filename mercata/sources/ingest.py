@@ -1,43 +1,51 @@
 """CSV -> Parquet ingest with declared schemas (IN1, SC1-SC10).
 
-Each file is read with its declared schema (no inference), ``multiLine`` so
-quoted values may contain newlines, ``"`` as quote and escape, and a UTF-8
-byte-order mark on the first header is dropped. Empty fields become NULL,
-including for string columns. Tables are written with ``overwrite`` (a
-replace-all load) and counted exactly from what was written.
+Each file is read with its declared schema (no inference), ``"`` as quote and
+escape, and a UTF-8 byte-order mark on the first header is dropped. Files are
+split over tasks, except those of tables whose quoted values may contain
+newlines (``multi_line``). Empty fields become NULL, including for string
+columns. Rows that do not fit their schema are counted, or refused with
+``mode='FAILFAST'``. Tables are written with ``overwrite`` (a replace-all load)
+and counted exactly from what was written.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 Transform = Callable[[DataFrame], DataFrame]
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True, mode: str = "PERMISSIVE",
-             timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+             timestamp_format: str = "yyyy-MM-dd HH:mm:ss", multi_line: bool = False, corrupt: bool = False) -> DataFrame:
     """Read CSV file(s) with a declared schema.
 
     ``mode='FAILFAST'`` rejects a malformed row; the default keeps it with
-    NULLs in the fields that do not parse (ANSI casts would raise instead).
+    NULLs in the fields that do not parse (ANSI casts would raise instead), and
+    ``corrupt`` adds its text as ``_corrupt_record`` (NULL for good rows).
+    ``multi_line``: quoted values may hold newlines; such a file is one task's.
     """
-    df = (spark.read.schema(schema)
+    full = StructType([*schema.fields, StructField(CORRUPT, StringType())]) if corrupt else schema
+    df = (spark.read.schema(full)
           .option("header", header)
-          .option("multiLine", True)
+          .option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"')
-          .option("mode", mode)
+          .option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
           .option("encoding", "UTF-8")
           .option("timestampNTZFormat", timestamp_format)
           .option("timestampFormat", timestamp_format)
           .csv(path))
     # An empty quoted string ("") is still '' for string columns: normalise to NULL.
     return df.select([F.when(F.col(f.name) == "", None).otherwise(F.col(f.name)).alias(f.name)
-                      if isinstance(f.dataType, StringType) else F.col(f.name) for f in schema.fields])
+                      if isinstance(f.dataType, StringType) else F.col(f.name) for f in full.fields])
 
 
 def normalize_text(columns: list[str]) -> Transform:
@@ -51,19 +59,29 @@ def normalize_text(columns: list[str]) -> Transform:
 
 
 def ingest_tables(spark: SparkSession, src_dir: str, dst_dir: str, registry: Mapping[str, tuple[str, StructType]],
-                  transforms: Mapping[str, Transform] | None = None, header: bool = True) -> DataFrame:
+                  transforms: Mapping[str, Transform] | None = None, header: bool = True, mode: str = "PERMISSIVE",
+                  multi_line: Collection[str] = ("order_reviews",)) -> DataFrame:
     """Load every ``name -> (csv file, schema)`` of ``registry`` into
     ``dst_dir/name`` as Parquet (overwrite), applying an optional per-table
-    transform, and return exact row counts of the written tables."""
+    transform, and return exact row counts of the written tables with the
+    number of malformed rows seen on the way (0 under FAILFAST, which raises).
+
+    ``multi_line`` names the tables whose text may contain newlines.
+    """
     transforms = transforms or {}
     counts = None
     for name, (filename, schema) in registry.items():
-        df = read_csv(spark, os.path.join(src_dir, filename), schema, header=header)
+        df = read_csv(spark, os.path.join(src_dir, filename), schema, header=header, mode=mode,
+                      multi_line=name in multi_line, corrupt=mode == "PERMISSIVE")
+        seen = Observation()
+        if mode == "PERMISSIVE":
+            df = df.observe(seen, F.count(F.col(CORRUPT)).alias("bad")).drop(CORRUPT)
         if name in transforms:
             df = df.transform(transforms[name])
         out = os.path.join(dst_dir, name)
         df.write.mode("overwrite").parquet(out)
+        bad = seen.get["bad"] if mode == "PERMISSIVE" else 0
         c = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count")
+            F.lit(name).alias("table_name"), "row_count", F.lit(bad).cast("long").alias("bad_rows"))
         counts = c if counts is None else counts.unionByName(c)
     return counts

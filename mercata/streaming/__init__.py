@@ -5,6 +5,6 @@ growing stream of click events with Structured Streaming, so an experiment
 dashboard stays current without rescanning history.
 """
 
-from mercata.streaming.experiment_stream import arm_counts_stream, start_arm_summary
+from mercata.streaming.experiment_stream import arm_counts_stream, latest_arm_summary, start_arm_summary
 
 __all__ = ["arm_counts_stream", "start_arm_summary"]

@@ -247,3 +247,62 @@ def test_clean_applicants_nan_is_missing(spark):
     out = {r.id: r for r in s.clean_applicants(df, [("util", ">", 0.0)], "target", ["income"]).collect()}
     assert set(out) == {2, 3, 4}
     assert out[2].income == 7.0 and out[4].income == 7.0
+
+
+def test_contingency_keeps_every_outcome(spark):
+    # Outcomes outside the columns are counted, a NULL outcome is not, and the test refuses.
+    df = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1), (1, 2), (2, 7), (1, None)], "dmp_id int, click int")
+    rows = {r.dmp_id: (r.n_0, r.n_1, r.n_other) for r in x.contingency(df).collect()}
+    assert rows == {1: (1, 1, 1), 2: (1, 1, 1)}
+    with pytest.raises(Exception, match="outside the contingency"):
+        x.chi_square(x.contingency(df)).collect()
+    whole = x.contingency(df, values=None)
+    assert [c for c in whole.columns if c.startswith("n_")] == ["n_0", "n_1", "n_2", "n_7", "n_other"]
+    assert x.chi_square(whole).collect()[0].n == 6
+    assert [r.dmp_id for r in x.contingency(df, arms=[2]).collect()] == [2]
+
+
+def test_quiet_experiment_does_not_stop_the_others(spark):
+    df = spark.createDataFrame([(e, a, int(e == 1 and i < 3 * a)) for e in (1, 2) for a in (1, 2) for i in range(10)],
+                               "exp int, dmp_id int, click int")
+    rows = {r.exp: r for r in x.chi_square_test(x.contingency(df, experiment_id="exp"), experiment_id="exp").collect()}
+    assert rows[1].chi2 is not None and 0 < rows[1].p_value < 1
+    assert rows[2].chi2 is None and rows[2].p_value is None and rows[2].min_expected == 0
+
+
+def test_one_class_group_and_zero_spend_give_null(spark):
+    from mercata.operators import customers, scorecard
+    scored = spark.createDataFrame([("a", 1, 0.3), ("a", 0, 0.1), ("b", 1, 0.5), ("b", 1, 0.7)], "g string, target int, score double")
+    got = {r.g: r.auc for r in scorecard.auc(scored, group="g").collect()}
+    assert got == {"a": 1.0, "b": None}
+    zero = spark.createDataFrame([(1, 0.0), (2, 0.0)], "customer_id int, monetary double")
+    assert customers.gini(zero).collect()[0].gini is None
+
+
+def test_orders_without_a_time_have_no_gap(spark):
+    from mercata.operators import customers
+    rows = [(i, 1, "delivered", None) for i in range(3)] + [(9, 1, "delivered", "2018-01-01"), (10, 1, "delivered", "2018-01-04")]
+    orders = spark.createDataFrame(rows, "order_id int, customer_id int, order_status string, t string").selectExpr(
+        "order_id", "customer_id", "order_status", "cast(t as timestamp_ntz) as purchase_ts")
+    assert [tuple(r) for r in customers.repurchase_gap_distribution(orders).collect()] == [(3, 1)]
+
+
+def test_exact_split_keeps_rows_without_a_target(spark):
+    from mercata.operators import scorecard
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "k int, target int")
+    out = scorecard.stratified_split(df, ["k"], "target", test=0.3, exact=True)
+    got = {(r.target, r.split): r["count"] for r in out.groupBy("target", "split").count().collect()}
+    assert got == {(None, "test"): 6, (None, "train"): 14, (0, "test"): 12, (0, "train"): 28, (1, "test"): 12, (1, "train"): 28}
+
+
+def test_nan_information_value_is_not_selected(spark):
+    from mercata.operators import scorecard
+    woe = spark.createDataFrame([("f", 0.0, 0.0, float("nan")), ("g", 0.9, 0.1, 2.2), ("g", 0.1, 0.9, -2.2)],
+                                "feature string, good_pct double, bad_pct double, woe double")
+    assert {r.feature: r.selected for r in scorecard.iv_table(woe).collect()} == {"f": False, "g": True}
+
+
+def test_unconverged_tail_is_nan(monkeypatch):
+    from mercata.functions import stats
+    monkeypatch.setattr(stats, "range", lambda *a: range(2), raising=False)
+    assert math.isnan(stats.chi2_sf(30.0, 7)) and math.isnan(stats.chi2_sf(3.0, 7))
