@@ -168,15 +168,17 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test: float
                      exact: bool = False) -> DataFrame:
     """Deterministic train / test split.
 
-    Default: a row is 'test' when xxhash64(key, seed) falls in the lowest
-    ``test`` share of the hash range: about ``test`` of every class, no
-    shuffle, stable under recomputation. ``exact=True``: within each class the
+    Default: a row is 'test' when the first 32 bits of md5(key columns and seed,
+    joined by '|') fall in the lowest ``test`` share modulo a million: about
+    ``test`` of every class, no shuffle, stable under recomputation and the same
+    in any engine that has md5. ``exact=True``: within each class the
     ceil(test * n_class) rows with the smallest hashes are 'test' (hash ranks
     from distinct-value prefix counts; no global window).
     """
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     if not exact:
-        bucket = F.pmod(h, F.lit(1_000_000))
+        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1_000_000
         return df.select("*", F.when(bucket < int(round(test * 1_000_000)), "test").otherwise("train").alias("split"))
     hashed = df.select("*", h.alias("_h"))
     r = value_ranks(hashed, "_h", group=target)

@@ -58,6 +58,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     head = ",\n".join(FIXTURE_CTES[name] for name in used)
     body = sql.lstrip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {head},\n{body[5:]}"
     return f"with {head}\n{body}"

@@ -1,4 +1,6 @@
-"""DuckDB oracle SQL for the scorecard operators (model-free part)."""
+"""DuckDB oracle SQL for the scorecard operators, the fitted model included."""
+
+from mercata.operators.scorecard import NEGATIVE_LABEL, POSITIVE_LABEL
 
 FEATURES = ("f_utilisation", "f_debt", "f_rate", "f_income", "f_late_count")
 
@@ -52,6 +54,52 @@ def _encode(f: str) -> str:
             f" and c.{f} <= w.hi), 0.0) as {f}_woe")
 
 
+ENC = ("enc as (\n  select c.l_orderkey, c.l_partkey, c.l_suppkey, c.target,\n  "
+       + ",\n  ".join(_encode(f) for f in FEATURES) + "\n  from clean c)")
+ENCODED = (CLEAN, LONG, BINS, WOE, ENC)
+
+# Rows go to the test part by the first 32 bits of md5(key columns and seed).
+SPLIT = """parts as (
+  select *, if(cast('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, 42)), 1, 8) as bigint) % 1000000 < 300000,
+               'test', 'train') as split
+  from enc)"""
+
+# Newton's method for the selected feature (f_utilisation) and an intercept, over counts per WOE:
+# minimise the summed log loss plus half the squared weight (C = 1).
+FIT = """counted as (
+  select f_utilisation_woe as x, cast(count(*) as double) as n, cast(sum(target) as double) as y
+  from parts where split = 'train' group by 1),
+newton as (
+  select 0 as i, cast(0 as double) as b0, cast(0 as double) as b1
+  union all
+  select i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  from (
+    select i, b0, b1, sum(n * p - y) as g0, sum((n * p - y) * x) + b1 as g1, sum(n * p * (1 - p)) as h00,
+      sum(n * p * (1 - p) * x) as h01, sum(n * p * (1 - p) * x * x) + 1 as h11
+    from (select i, b0, b1, x, n, y, 1 / (1 + exp(-(b0 + b1 * x))) as p from newton, counted where i < 25)
+    group by i, b0, b1)),
+fitted as (select b0, b1 from newton where i = 25)"""
+
+SCORED = """scored as (
+  select l_orderkey, l_partkey, l_suppkey, target, split, round(1 / (1 + exp(-(b0 + b1 * f_utilisation_woe))), 4) as score
+  from parts, fitted)"""
+
+CURVE = """levels as (
+  select split, score, cast(sum(target) as bigint) as pos, cast(sum(1 - target) as bigint) as neg from scored group by 1, 2),
+stairs as (
+  select split, score, pos, neg, sum(pos) over down as pos_ge, sum(neg) over down as neg_ge,
+    sum(pos) over (partition by split) as n_pos, sum(neg) over (partition by split) as n_neg
+  from levels window down as (partition by split order by score desc)),
+aucs as (
+  select split, sum(pos * (cast(n_neg - neg_ge as double) + 0.5 * neg)) / (any_value(n_pos) * any_value(n_neg)) as auc,
+    cast(any_value(n_pos) as bigint) as n_pos, cast(any_value(n_neg) as bigint) as n_neg from stairs group by split),
+curve as (
+  select split, score as threshold, cast(neg_ge as double) / cast(n_neg as double) as fpr,
+    cast(pos_ge as double) / cast(n_pos as double) as tpr,
+    cast(pos_ge as double) / cast(n_pos as double) - cast(neg_ge as double) / cast(n_neg as double) as ks_gap
+  from stairs)"""
+
+
 ORACLES = {
     "clean_applicants": _w(CLEAN) + "select * from clean",
     "label_summary": _w(CLEAN) + """
@@ -65,7 +113,21 @@ from clean""",
 select feature, iv, iv > 0.02 as selected, cast(row_number() over (order by iv desc, feature) as int) as iv_rank from iv""",
     "woe_table_smooth": _w(CLEAN, LONG, BINS, WOE, SMOOTH) + "select *, ln(bad_pct / good_pct) as woe from smooth",
     "woe_table_train": _w(TRAIN, LONG, BINS, WOE) + "select * from woe",
-    "woe_encode": _w(CLEAN, LONG, BINS, WOE) + "select c.l_orderkey, c.l_partkey, c.l_suppkey, c.target,\n  "
-    + ",\n  ".join(_encode(f) for f in sorted(FEATURES) if f != "f_late_count")
-    + ",\n  " + _encode("f_late_count") + "\nfrom clean c",
+    "woe_encode": _w(*ENCODED) + "select * from enc",
+    "stratified_split": _w(*ENCODED, SPLIT) + "select * from parts",
+    "fit_logistic": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT)) + f"""
+select 'f_utilisation_woe' as feature, round(b1, 4) as coef,
+  if(b1 > 0, '{POSITIVE_LABEL}', '{NEGATIVE_LABEL}') as direction from fitted
+union all select '(intercept)', round(b0, 4), null from fitted""",
+    "scorecard_points": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT)) + """
+select feature, bin, lo, hi, woe, round(b1, 4) as coef, cast(round_even(-b1 * woe * 50.0 / ln(2), 0) as double) as points
+from woe, fitted where feature = 'f_utilisation'""",
+    "predict": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED)) + "\nselect * from scored",
+    "auc": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + "\nselect * from aucs",
+    "overfit_gap": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + """
+select a.auc as auc_train, b.auc as auc_test, a.auc - b.auc as gap, if(a.auc - b.auc < 0.05, 'slight', 'significant') as overfitting
+from aucs a join aucs b on a.split = 'train' and b.split = 'test'""",
+    "roc_curve": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + "\nselect * from curve",
+    "ks": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + """
+select split, max(ks_gap) as ks, arg_max(threshold, ks_gap) as ks_threshold from curve group by split""",
 }

@@ -459,7 +459,8 @@ def _model(fx: Fixtures):
 
 def _predictions(fx: Fixtures) -> DataFrame:
     split, model, cols, _ = _model(fx)
-    return s.predict(model, split, keep=[*ROW_KEY, TARGET, "split"])
+    # Rounded: the optimiser's last digits depend on its stopping rule.
+    return s.predict(model, split, keep=[*ROW_KEY, TARGET, "split"]).withColumn("score", F.round("score", 4))
 
 
 @query("clean_applicants")
@@ -515,13 +516,14 @@ def q_stratified_split(fx):
 @query("fit_logistic")
 def q_fit_logistic(fx):
     _, model, cols, _ = _model(fx)
-    return s.coefficients(model, cols, fx.spark)
+    return s.coefficients(model, cols, fx.spark).withColumn("coef", F.round("coef", 4))
 
 
 @query("scorecard_points")
 def q_scorecard_points(fx):
     _, model, cols, sel_woe = _model(fx)
-    return s.scorecard_points(sel_woe, s.coefficients(model, cols, fx.spark), pdo=50.0)
+    points = s.scorecard_points(sel_woe, s.coefficients(model, cols, fx.spark), pdo=50.0)
+    return points.withColumn("coef", F.round("coef", 4))
 
 
 @query("predict")
