@@ -84,7 +84,8 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit_bytes: int) -
 def directory(assigned: DataFrame) -> DataFrame:
     """The directory behind an assignment: shard, local_depth, entries, shard_bytes, shard_rows.
 
-    ``entries``: how many of the 2**global_depth directory slots point to the bucket.
+    ``entries``: how many of the 2**global_depth directory slots point to the
+    bucket. Buckets without rows are not listed.
     """
     buckets = assigned.groupBy("shard", "local_depth", "shard_bytes", "shard_rows").agg(F.lit(1).alias("_one"))
     deepest = buckets.agg(F.max("local_depth").alias("g"))
