@@ -15,8 +15,6 @@ coefficient; only features, never texts, are read again.
 
 import math
 from dataclasses import dataclass, field
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -24,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercata.llm.text import word_hashes
 from mercata.session import write_table
 
 #: Score at or above which a document counts as good.
@@ -52,7 +51,11 @@ def _class_masks() -> np.ndarray:
 
 
 _KINDS = _class_masks()
-FEATURES = 2 * (12 + 10) + 2
+#: Classes of a word's last byte: sentence marks, symbols.
+_ENDS = np.zeros((2, 256), bool)
+_ENDS[0, list(b".,;:?")] = True
+_ENDS[1, list(b"|!#*%$&")] = True
+FEATURES = 2 * (12 + 9) + 2
 
 
 def features(text: str | None) -> np.ndarray:
@@ -60,23 +63,24 @@ def features(text: str | None) -> np.ndarray:
     out = np.zeros(FEATURES, np.float32)
     if not text:
         return out
-    data = text.encode()
-    shares = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _KINDS / len(data)
-    words = data.split()
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    shares = np.bincount(data, minlength=256) @ _KINDS / len(data)
+    words, start, end = word_hashes(raw)
     n = max(1, len(words))
-    lines = data.split(b"\n")
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
-    ends = [w[-1:] for w in words]
+    again = int((words[1:] == words[:-1]).sum())
+    words.sort()
+    lengths, last = end - start, data[end - 1]
+    lines = raw.split(b"\n")
     form = np.array([
-        sum(map(eq, words, islice(words, 1, None))) / n,  # a word again at once
-        1 - len(set(words)) / n,
+        again / n,  # a word again at once
+        1 - (1 + int((words[1:] != words[:-1]).sum())) / n,
         1 - len(set(lines)) / len(lines),
-        sum(map(b".,;:?".__contains__, ends)) / n,
-        sum(map(b"|!#*%$&".__contains__, ends)) / n,
-        float((lengths <= 3).mean()), float((lengths >= 10).mean()), float((lengths >= 20).mean()),
-        min(1.0, float(lengths.mean()) / 20), sum(map(bytes.isupper, words)) / n,
+        _ENDS[0][last].sum() / n, _ENDS[1][last].sum() / n,
+        (lengths <= 3).sum() / n, (lengths >= 10).sum() / n, (lengths >= 20).sum() / n,
+        min(1.0, int(lengths.sum()) / n / 20),
     ])
-    both = np.concatenate([shares, form])
+    both = np.concatenate([shares, np.maximum(form, 0)])
     out[: 2 * len(both)] = np.concatenate([both, np.sqrt(both)])
     out[-2:] = math.log1p(len(words)), math.log1p(len(data) / n)
     return out
