@@ -93,4 +93,31 @@ t as (select substr(bits, 1, d) as shard, cast(d as integer) as local_depth, cas
 ok as (select * from t where shard_bytes <= {SHARD_BYTES} or shard_rows = 1)
 select r.doc_id, r.n_bytes, ok.shard, ok.local_depth, ok.shard_bytes, ok.shard_rows from r join ok on ok.shard = substr(r.bits, 1, ok.local_depth)
 qualify row_number() over (partition by r.doc_id order by ok.local_depth) = 1""",
+    "op8_substrings": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+starts as (select doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i : i + 19], ' '))) as words,
+             unnest(range(1, len(ws) - 18)) as s from w where len(ws) >= 20),
+again as (select doc_id, s from starts qualify row_number() over (partition by words order by doc_id, s) > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as j from again),
+left_over as (select doc_id, string_agg(word, ' ' order by j) as kept, count(*) as n
+              from (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w) anti join gone using (doc_id, j)
+              group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from w left join left_over using (doc_id)""",
+    "op9_nndescent": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+          where len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(vec_id, other) as (
+  select vec_id, vec_id from embeddings
+  union
+  select reach.vec_id, links.b from reach join links on reach.other = links.a),
+named as (select vec_id, min(other) as component_id from reach group by vec_id),
+counted as (select a as vec_id, count(*) as n_links from links group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+from named left join counted using (vec_id)""",
 }
