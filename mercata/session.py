@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,9 +107,11 @@ def release_shuffles(spark: SparkSession) -> None:
 
     Spark's context cleaner does so when the driver collects its garbage; asking
     between heavy steps keeps one step's files from standing beside the next's.
+    The cleaner works on its own thread, hence the moment's wait.
     """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1)
 
 
 def materialize(df: DataFrame) -> DataFrame:
