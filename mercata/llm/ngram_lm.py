@@ -1,6 +1,6 @@
 """N-gram scoring with sharded Elias-Fano tries.
 
-Documents are cut into batches of about a million tokens. A batch turns its
+Documents are cut into batches of about two million tokens. A batch turns its
 tokens into a small trie of distinct n-grams (words as hashes) with their
 counts in training documents, cut by shard: an n-gram lives in the shard of its
 first word, and words that alone would overfill a shard are dealt on by their
@@ -21,19 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercata.llm.eliasfano import Trie, dequantise, quantise
-from mercata.llm.text import mix, word_hashes
-from mercata.session import write_table
+from mercata.llm.text import distinct, mix, ordered, word_hashes
+from mercata.session import release_shuffles, write_table
 
 #: Reserved word hashes: the end of a text and the blank before its first word.
 END, BEGIN = 0x9E6D62D06F6A9A9B, 0x5851F42D4C957F2D
 #: Pseudo-counts m for contexts of one and two words.
 PSEUDO = (20.0, 5.0)
 ALPHA = 0.1
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 21
 #: Bytes of text per shard.
-SHARD_BYTES = 16 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SHARD_BYTES = 8 << 20
+#: Contexts dealt on by their second word, at most: the list goes to every task. Results do not depend on it.
+MOST_SPREAD = 1 << 16
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -54,51 +54,67 @@ def _unpack(piece: bytes, *kinds) -> list[np.ndarray]:
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes with an END after each text, number of tokens of each text)."""
-    datas = [t.encode() if t else b"" for t in texts]
-    joined = _LOWER[np.frombuffer(b" ".join(datas), np.uint8)]
-    hashes, start, _ = word_hashes(joined)
+    found, sizes, group, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        group.append(text.encode() if text else b"")
+        size += len(group[-1])
+        if size >= 1 << 20 or i == len(texts) - 1:  # about a megabyte at a time
+            h, n = _hash_texts(group)
+            found.append(h)
+            sizes.append(n)
+            group, size = [], 0
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(sizes)
+
+
+def _hash_texts(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, start, _ = word_hashes(b" ".join(datas).lower())
     sizes = np.fromiter(map(len, datas), np.int64, len(datas))
     begins = np.cumsum(sizes + 1) - sizes - 1
-    words = np.diff(np.append(np.searchsorted(start, begins), len(start))) if len(datas) else np.zeros(0, np.int64)
+    words = np.diff(np.append(np.searchsorted(start, begins), len(start)))
     out = np.full(len(hashes) + len(datas), END, np.uint64)
-    ends = np.cumsum(words + 1) - 1
     body = np.ones(len(out), bool)
-    body[ends] = False
+    body[np.cumsum(words + 1) - 1] = False
     out[body] = hashes
     return out, words + 1
 
 
 class BatchTrie:
-    """Distinct n-grams (n = 1..3) of a batch, in shard order; the same tokens always give the same order."""
+    """Distinct n-grams (n = 1..3) of a batch, in shard order; the same tokens always give the same order.
+
+    Roots are all words (and BEGIN) at their home shard, and each spread
+    context once more in every shard that holds children of it.
+    """
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, shards: int, hot: np.ndarray):
-        self.words, self.at = np.unique(tokens, return_inverse=True)
+        self.words, self.at = distinct(tokens, 64)
         first = np.zeros(len(tokens), bool)
         first[np.cumsum(sizes) - sizes] = True
-        self.first = first
-        before = np.empty_like(tokens)
-        before[1:], before[first] = tokens[:-1], BEGIN
-        child = (mix(tokens) >> np.uint64(32)).astype(np.uint64)
-        home = self._shard(tokens, shards)
-        place = self._shard(before, shards)
-        spread = np.isin(before, hot)
-        place[spread] = self._shard(before[spread] * np.uint64(31) + tokens[spread], shards)
-        # Roots: every word at home, every context where its children are.
-        names = np.concatenate([self.words, [np.uint64(BEGIN)]])
-        order = np.argsort(names, kind="stable")
-        names = names[order]
-        key = lambda s, w: s.astype(np.uint64) << np.uint64(32) | np.searchsorted(names, w).astype(np.uint64)
-        up, own = key(place, before), key(home, tokens)
-        self.roots = np.unique(np.concatenate([up, own]))
+        self.later = ~first
+        begin = int(np.searchsorted(self.words, np.uint64(BEGIN)))
+        names = np.insert(self.words, begin, np.uint64(BEGIN))
+        own = self.at + (self.at >= begin)
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[first] = begin
+        child = (mix(names) >> np.uint64(32))[own]
+        base = self._shard(names, shards).astype(np.uint64) << np.uint64(32) | np.arange(len(names), dtype=np.uint64)
+        spread = np.flatnonzero(np.isin(names, hot)[before])
+        place = self._shard(names[before[spread]] * np.uint64(31) + tokens[spread], shards)
+        extra = place.astype(np.uint64) << np.uint64(32) | before[spread].astype(np.uint64)
+        self.roots = np.unique(np.concatenate([base, extra]))
         self.root_shard = (self.roots >> np.uint64(32)).astype(np.int64)
         self.root_word = names[(self.roots & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        self.n1 = np.searchsorted(self.roots, own)
-        self.up1 = np.searchsorted(self.roots, up)
-        self.k2, self.n2 = np.unique(self.up1.astype(np.uint64) << np.uint64(32) | child, return_inverse=True)
-        later = ~first
-        self.later = later
-        self.k3, self.n3 = np.unique(self.n2[np.flatnonzero(later) - 1].astype(np.uint64) << np.uint64(32) | child[later],
-                                     return_inverse=True)
+        at_home = np.searchsorted(self.roots, base).astype(np.int32)
+        self.n1 = at_home[own]
+        self.up1 = at_home[before]
+        self.up1[spread] = np.searchsorted(self.roots, extra)
+        del own, before
+        top = 32 + max(1, len(self.roots).bit_length())
+        self.k2, self.n2 = distinct(self.up1.astype(np.uint64) << np.uint64(32) | child, top)
+        top = 32 + max(1, len(self.k2).bit_length())
+        self.k3, self.n3 = distinct(self.n2[np.flatnonzero(self.later) - 1].astype(np.uint64) << np.uint64(32) | child[self.later], top)
 
     @staticmethod
     def _shard(words: np.ndarray, shards: int) -> np.ndarray:
@@ -125,7 +141,7 @@ _PIECE = (np.uint64, np.int32, np.int32, np.uint32, np.int32, np.int32, np.uint3
 
 
 def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = ordered(keys, int(keys.max()).bit_length() if len(keys) else 1)
     keys, counts = keys[order], counts[order]
     cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[cut], np.add.reduceat(counts.astype(np.int64), cut) if len(cut) else np.zeros(0, np.int64)
@@ -206,35 +222,23 @@ def _batches(source, lead: int):
         yield held
 
 
-def hot_contexts(docs: DataFrame, shards: int) -> dict[int, int]:
-    """Training counts of words that make up over a quarter of a shard's even share, fewer than 4 * shards words.
+def frequent_contexts(docs: DataFrame, shards: int) -> np.ndarray:
+    """Words to deal on by their successor: those over a quarter of a shard's even share of some batch.
 
-    Each task reports its own frequent words; a word over the share overall is
-    over it in some task, so none is missed, and counts are then taken exactly.
+    A word over that share overall is over it in some batch. What else is named
+    is dealt on needlessly but rightly; BEGIN always is.
     """
     def frequent(batches):
-        for rows in _batches(batches, 1):
-            tokens, _ = tokens_of([r[1] for r in rows])
-            words, counts = np.unique(tokens, return_counts=True)
-            over = counts * 4 * shards >= len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(words[over].view(np.int64))], ["w"])
-
-    some = [np.uint64(r[0] & 0xFFFFFFFFFFFFFFFF) for r in docs.select("train", "text").mapInArrow(frequent, "w long").groupBy("w")
-            .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(8 * shards).collect()]
-    wanted = np.array(sorted([*some, np.uint64(BEGIN)]), np.uint64)
-
-    def count(batches):
-        total = np.zeros(len(wanted) + 1, np.int64)
-        for rows in _batches(batches, 1):
-            rows = [r for r in rows if r[0]]
-            tokens, _ = tokens_of([r[1] for r in rows])
-            at = np.minimum(np.searchsorted(wanted, tokens), len(wanted) - 1)
-            total[:-1] += np.bincount(at[wanted[at] == tokens], minlength=len(wanted))
-            total[np.searchsorted(wanted, np.uint64(BEGIN))] += len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(total[:-1])], ["w", "n"])
-
-    rows = docs.select("train", "text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n")).collect()
-    return {r[0] & 0xFFFFFFFFFFFFFFFF: r[1] for r in rows if r[0] & 0xFFFFFFFFFFFFFFFF != END}
+        for rows in _batches(batches, 0):
+            tokens, _ = tokens_of([r[0] for r in rows])
+            tokens.sort()
+            cut = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            over = np.diff(np.append(cut, len(tokens))) * 4 * shards >= max(len(tokens), 4000)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[cut[over]].view(np.int64))], ["w"])
+
+    found = docs.select("text").mapInArrow(frequent, "w long").groupBy("w").agg(F.count("*").alias("n"))
+    names = [r[0] & 0xFFFFFFFFFFFFFFFF for r in found.orderBy(F.desc("n"), "w").limit(min(8 * shards, MOST_SPREAD)).collect()]
+    return np.array(sorted({*names, BEGIN} - {END}), np.uint64)
 
 
 def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
@@ -250,29 +254,43 @@ def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
     docs = df.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    hot = hot_contexts(docs, shards)
-    spread = np.array(sorted(hot), np.uint64)
+    spread = frequent_contexts(docs, shards)
 
-    def cut(batches):
+    def tokenise(batches):
         seq = TaskContext.get().partitionId() << 32
         for rows in _batches(batches, 2):
             tokens, sizes = tokens_of([r[2] for r in rows])
             flags = np.array([r[1] for r in rows], bool)
-            trie = BatchTrie(tokens, sizes, shards, spread)
-            keys = pa.array([[r[0] for r in rows]], pa.list_(key_type))
+            words, number = distinct(tokens, 64)
+            counts = np.zeros(len(spread), np.int64)  # how often training texts go on after each spread context
+            at = np.minimum(np.searchsorted(words, spread), len(words) - 1)
+            known = np.bincount(number[np.repeat(flags, sizes)], minlength=len(words))
+            counts[:] = np.where(words[at] == spread, known[at], 0)
+            counts[spread == np.uint64(BEGIN)] = flags.sum()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([seq], pa.int64()), pa.array([-1], pa.int32()), keys, pa.array([flags.tolist()], pa.list_(pa.bool_())),
-                 pa.array([_pack(trie.words, trie.at.astype(np.int32), sizes)], pa.binary())], names)
-            for s, piece in trie.pieces(np.repeat(flags, sizes), shards):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seq], pa.int64()), pa.array([s], pa.int32()), pa.nulls(1, pa.list_(key_type)),
-                     pa.nulls(1, pa.list_(pa.bool_())), pa.array([piece], pa.binary())], names)
+                [pa.array([seq], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(key_type)),
+                 pa.array([flags.tolist()], pa.list_(pa.bool_())), pa.array([_pack(words, number, sizes)], pa.binary()),
+                 pa.array([counts.tolist()], pa.list_(pa.int64()))], ["batch", "keys", "flags", "body", "counts"])
             seq += 1
 
-    names = ["batch", "shard", "keys", "flags", "body"]
     from pyspark.sql.pandas.types import to_arrow_type
     key_type = to_arrow_type(df.schema[key].dataType)
-    parts = write_table(docs.mapInArrow(cut, f"batch long, shard int, keys array<{kind}>, flags array<boolean>, body binary"), "lm-parts")
+    # Batches are written once: what follows must see the same ones, in the same order.
+    parts = write_table(docs.mapInArrow(tokenise, f"batch long, keys array<{kind}>, flags array<boolean>, body binary, "
+                                                  "counts array<long>"), "lm-batches")
+    sums = parts.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect()
+    hot = {int(spread[i]): n for i, n in sums}
+
+    def split(batches):
+        for b in batches:
+            for batch, flags, body in zip(*b.columns):
+                words, at, sizes = _unpack(body.as_py(), np.uint64, np.int32, np.int64)
+                trie = BatchTrie(words[at], sizes, shards, spread)
+                learnt = np.repeat(flags.values.to_numpy(zero_copy_only=False).astype(bool), sizes)
+                for s, piece in trie.pieces(learnt, shards):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s], pa.int32()), pa.array([batch.as_py()], pa.int64()), pa.array([piece], pa.binary())],
+                        ["shard", "batch", "body"])
 
     def serve(source):
         def close(shard, pieces):
@@ -298,9 +316,10 @@ def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
             yield from close(shard, pieces)
 
     out = ["batch", "shard", "body", "words", "tokens"]
-    asked = (parts.filter("shard >= 0").select("shard", "batch", "body").repartition(shards, "shard")
-             .sortWithinPartitions("shard", "batch"))
+    asked = (parts.select("batch", "flags", "body").mapInArrow(split, "shard int, batch long, body binary")
+             .repartition(shards, "shard").sortWithinPartitions("shard", "batch"))
     answers = write_table(asked.mapInArrow(serve, "batch long, shard int, body binary, words long, tokens long"), "lm-answers")
+    release_shuffles(df.sparkSession)
     totals = answers.agg(F.sum("words"), F.sum("tokens")).first()
     vocabulary, total = float(totals[0] or 0), float(totals[1] or 0)
     floor = total + ALPHA * (vocabulary + 1)
@@ -334,7 +353,7 @@ def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
             yield from close(pieces)
 
     columns = ["train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    back = (parts.filter("shard = -1").select("batch", "shard", "keys", "flags", "body")
+    back = (parts.select("batch", F.lit(-1).alias("shard"), "keys", "flags", "body")
             .unionByName(answers.filter("batch is not null").select("batch", "shard", "body"), allowMissingColumns=True)
             .repartition("batch").sortWithinPartitions("batch", "shard").select("batch", "shard", "keys", "flags", "body"))
     scored = back.mapInArrow(finish, f"key {kind}, train boolean, n_tokens long, n_known long, train_tokens long, "

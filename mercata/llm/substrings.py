@@ -12,12 +12,12 @@ Anchors with very many distinct segments deal single windows by content instead.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercata.llm.fmindex import repeated_windows
 from mercata.llm.text import mix, word_hashes
-from mercata.session import release_shuffles, write_table
+from mercata.session import drop_table, release_shuffles, write_table
 
 WINDOW = 20
 #: Words in an anchor.
@@ -48,7 +48,7 @@ def anchors(words: np.ndarray, window: int, group: int = GROUP) -> tuple[np.ndar
 
 
 def _words(text: str | None) -> np.ndarray:
-    return word_hashes(np.frombuffer(text.encode(), np.uint8))[0] if text else np.zeros(0, np.uint64)
+    return word_hashes(text.encode())[0] if text else np.zeros(0, np.uint64)
 
 
 def _runs(at: np.ndarray) -> np.ndarray:
@@ -124,6 +124,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     distinct = write_table(segments.groupBy("c1", "c2").agg(F.first("anchor").alias("anchor"), F.first("words").alias("words"),
                                                             earliest.alias("o"))
                            .select("c1", "c2", "anchor", "words", "o.*"), "sub-distinct")
+    release_shuffles(spark)
     crowded = write_table(distinct.groupBy("anchor").count().filter(F.col("count") > CROWDED).select("anchor"), "sub-crowded")
 
     def split(batches):
@@ -135,13 +136,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["id", "th", "at", "words"])
 
-    singles = (distinct.join(crowded, "anchor", "left_semi").select("id", "th", "at", "words")
-               .mapInArrow(split, "id long, th long, at long, words binary")
-               .groupBy("words").agg(earliest.alias("o")).select("words", "o.*"))
     every_single = distinct.join(crowded, "anchor", "left_semi").select("id", "th", "at", "words").mapInArrow(
         split, "id long, th long, at long, words binary")
+    every_single = write_table(every_single.select("*", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2")),
+                               "sub-windows")
+    singles = write_table(every_single.groupBy("c1", "c2").agg(F.first("words").alias("words"), earliest.alias("o"))
+                          .select("c1", "c2", "words", "o.*"), "sub-singles")
     indexed = (distinct.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("route"), "id", "th", "at", "words")
-               .unionByName(singles.select(F.xxhash64("words").alias("route"), "id", "th", "at", "words")))
+               .unionByName(singles.select(F.col("c1").alias("route"), "id", "th", "at", "words")))
     indexed = (indexed.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int"))
                .repartition(shards, "shard").sortWithinPartitions("shard").select("shard", "id", "th", "at", "words"))
 
@@ -181,15 +183,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = indexed.mapInArrow(search, "id long, th long, s long, e long")
     # Segments seen before, whole: all their windows start earlier at the first occurrence.
-    other = distinct.select("c1", "c2", *[F.col(c).alias(f"_{c}") for c in ("id", "th", "at")])
-    later = (segments.select("c1", "c2", "id", "th", "at", "n").join(other, ["c1", "c2"])
-             .filter((F.col("id") != F.col("_id")) | (F.col("th") != F.col("_th")) | (F.col("at") != F.col("_at")))
-             .select("id", "th", F.col("at").alias("s"), (F.col("at") + F.col("n") + window - 1).alias("e")))
+    # (Both sides of these joins are plain scans, which adaptive execution splits when skewed.)
+    def repeats(rows: DataFrame, least: DataFrame, words: Column) -> DataFrame:
+        first = least.select("c1", "c2", *[F.col(c).alias(f"_{c}") for c in ("id", "th", "at")])
+        here = F.struct("id", "th", "at") != F.struct("_id", "_th", "_at")
+        return rows.join(first, ["c1", "c2"]).filter(here).select("id", "th", F.col("at").alias("s"), (F.col("at") + words).alias("e"))
+
+    later = repeats(segments.select("c1", "c2", "id", "th", "at", "n"), distinct, F.col("n") + (window - 1))
     # The same for single windows of crowded anchors.
-    again = (every_single.join(singles.select("words", *[F.col(c).alias(f"_{c}") for c in ("id", "th", "at")]), "words")
-             .filter((F.col("id") != F.col("_id")) | (F.col("th") != F.col("_th")) | (F.col("at") != F.col("_at")))
-             .select("id", "th", F.col("at").alias("s"), (F.col("at") + window).alias("e")))
+    again = repeats(every_single.select("c1", "c2", "id", "th", "at"), singles, F.lit(window))
     spans = write_table(found.unionByName(later).unionByName(again), "sub-spans")
+    for table in (repeated, hits, segments, distinct, crowded, every_single, singles):
+        drop_table(table)
     release_shuffles(spark)
     return spans
 
