@@ -108,11 +108,12 @@ def release_shuffles(spark: SparkSession) -> None:
     Spark's context cleaner does so when the driver collects its garbage; asking
     between heavy steps keeps one step's files from standing beside the next's.
     The driver's Python gives up its handles on another thread, and the cleaner
-    works on its own one, hence the moments' wait.
+    works on its own one, hence the moments' wait and the second round.
     """
-    gc.collect()
-    time.sleep(1.5)
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark._jvm.System.gc()
     time.sleep(1)
 
 
