@@ -151,9 +151,12 @@ def build_trie(pieces: list[bytes], hot: dict[int, int]):
     """A shard's trie over n-grams seen in training, as a memory map.
 
     ``hot``: training counts of contexts whose children are spread over shards.
+    Those asked for here stay even if all their training children fell in other
+    shards: their back-off weight is the same everywhere.
     """
     cols = [_unpack(p, *_PIECE) for p in pieces]
-    seen = [(w[(c > 0) | (np.add.reduceat(np.append(c2, 0), np.minimum(np.cumsum(f) - f, len(c2))) * (f > 0) > 0)],)
+    given = np.array([w for w, n in hot.items() if n], np.uint64)
+    seen = [(w[(c > 0) | np.isin(w, given) | (np.add.reduceat(np.append(c2, 0), np.minimum(np.cumsum(f) - f, len(c2))) * (f > 0) > 0)],)
             for w, c, f, _, c2, _, _, _ in cols]
     words = np.unique(np.concatenate([s[0] for s in seen])) if seen else np.zeros(0, np.uint64)
     c1 = np.zeros(len(words), np.int64)

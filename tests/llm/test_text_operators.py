@@ -395,6 +395,22 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     assert ngram_lm.score(no_documents(spark), "doc_id", "text", F.lit(True)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_shards(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [f"{words[i]} the {r.choice(words)} hot only" for i in range(200)]  # 'hot' has one training successor
+    texts += [f"{words[200 + i]} hot {r.choice(words)} the {words[i]}" for i in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = []
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(ngram_lm, "SHARD_BYTES", size)
+        out.append({r.doc_id: r for r in ngram_lm.score(docs, "doc_id", "text", F.col("doc_id") < 200).collect()})
+    one, many = out
+    check_scores(list(many.values()), rows, [i < 200 for i, _ in rows])
+    assert all(abs(one[i].score - many[i].score) < 1e-9 and one[i].n_known == many[i].n_known for i, _ in rows)
+
+
 def test_scores_query_on_the_tables(spark):
     docs = sf_rows(f"select doc_id, text from '{SF}/documents.parquet'")
     got = QUERIES["op10_lm"](spark, SF).collect()
