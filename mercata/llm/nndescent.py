@@ -4,13 +4,18 @@ Equal vectors form one class. Every class gets a neighbour list, first from
 blocks of classes that are adjacent in the Gray order of random sign codes,
 then refined: a vertex joins its neighbours (both directions) with each other,
 and pairs closer than a list's last entry enter that list. Rounds go on until
-hardly any pair at or above the threshold is new. An audit compares a bounded
-query set with all vectors in blocks; below the target recall, lists double
-and refinement goes on.
-
-A list that is full of links is saturated. Links never leave a component, so
-components that hold a saturated list are compared whole, block against block,
-which enlarges those lists as far as they can reach; only counts leave a task.
+hardly any pair at or above the threshold is new.
+
+A list that is full of links is saturated. A full list can only hide links
+between two saturated vertices, so those of different components are compared
+with each other, in tight pieces that the angle between their centres mostly
+rules out. Then links never leave a component, and components that hold a
+saturated list are compared whole, block against block, which enlarges those
+lists as far as they can reach; only counts leave a task.
+
+An audit compares a bounded query set with all vectors in blocks and counts
+which of all their links are found so; below the target recall, lists double and
+refinement goes on. If that does not help, all vectors are compared in pieces.
 """
 
 import numpy as np
@@ -30,6 +35,8 @@ SETTLED = 0.002
 AUDIT, RECALL = 1024, 0.97
 #: Vectors per block of a component that is compared whole.
 PIECE = 512
+#: Cosine to the first vector in a piece compared across components; centres of such pieces per block.
+TIGHT, CENTRES = 0.95, 1024
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -131,8 +138,87 @@ def _refine(lists: DataFrame, classes: DataFrame, d: int, size: int) -> DataFram
     return members.mapInArrow(meet, "a long, b long, sim double")
 
 
-def _audit(lists: DataFrame, classes: DataFrame, d: int, size: int, threshold: float, n: int) -> float:
-    """Recall of links in the lists of a bounded query set, against all vectors; a full list counts as whole."""
+def _bridges(members: DataFrame, d: int, threshold: float) -> DataFrame:
+    """Edges (a, b) of roots that connect all components with links between ``members`` (root, id, vec).
+
+    Members form pieces of one component around their first vector. Pieces are
+    compared if their centres' angle less both radii is within the threshold's.
+    """
+    limit = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+
+    def cut(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root, x = batch.column(0).to_numpy(), _matrix(batch.column(2), d)
+            cuts = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+            order, radius = [], []
+            for s, e in zip(cuts, np.append(cuts[1:], len(root))):
+                for at in range(s, e, PIECE):
+                    rest = np.arange(at, min(at + PIECE, e))
+                    while len(rest):
+                        near = x[rest] @ x[rest[0]]
+                        inside = near >= TIGHT
+                        inside[0] = True
+                        order.append(rest[inside])
+                        radius.append(np.arccos(np.clip(near[inside][1:].min(initial=1.0), -1.0, 1.0)))
+                        rest = rest[~inside]
+            at = pa.array(np.cumsum([0, *map(len, order)]), pa.int32())
+            first, all_ = np.array([o[0] for o in order]), pa.array(np.concatenate(order))
+            ids, vectors = batch.column(1), batch.column(2).take(all_).flatten()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(root[first]), ids.take(pa.array(first)), pa.array(radius, pa.float64()),
+                 pa.ListArray.from_arrays(pa.array(at.to_numpy() * d, pa.int32()), vectors)],
+                ["root", "piece", "radius", "vecs"])
+
+    pieces = write_table(members.repartitionByRange("root", "id").sortWithinPartitions("root", "id").select("root", "id", "vec")
+                         .mapInArrow(cut, "root long, piece long, radius double, vecs array<float>"), "nn-tight")
+
+    def gather(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CENTRES):
+                part = batch.slice(at, CENTRES)
+                row = [pa.array([part.column(0)[0].as_py()], pa.int64())]
+                for c in part.columns[:3]:
+                    row.append(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c))
+                flat = part.column(3).flatten()
+                row.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+                yield pa.RecordBatch.from_arrays(row, ["block", "pieces", "roots", "radii", "centres"])
+
+    parts = ["pieces", "roots", "radii", "centres"]
+    blocks = write_table(pieces.select("piece", "root", "radius", F.slice("vecs", 1, d).alias("centre")).mapInArrow(
+        gather, "block long, pieces array<long>, roots array<long>, radii array<double>, centres array<float>"), "nn-centres")
+    names = blocks.select("block")
+    met = write_table(names.crossJoin(names.withColumnRenamed("block", "block2")).filter("block <= block2"), "nn-centre-pairs")
+    other = blocks.select(F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in parts])
+    met = met.join(blocks, "block").join(other, "block2").select("block", *parts, "block2", *[f"{c}2" for c in parts])
+
+    def reach(batches):
+        for batch in batches:
+            for row in zip(*batch.columns):
+                (n, p, r, w, x), (m, q, t, u, y) = ((c[0].as_py(), *(c[k].values.to_numpy() for k in (1, 2, 3)), _matrix(c[4].values, d))
+                                                    for c in (row[:5], row[5:]))
+                near = np.arccos(np.clip(x @ y.T, -1.0, 1.0)) <= w[:, None] + u[None, :] + limit
+                near &= r[:, None] != t[None, :]
+                i, j = np.nonzero(np.triu(near) if n == m else near)
+                yield pa.RecordBatch.from_arrays([pa.array(p[i]), pa.array(q[j])], ["piece", "piece2"])
+
+    pairs = write_table(met.mapInArrow(reach, "piece long, piece2 long"), "nn-tight-pairs")
+    own = pieces.select("piece", "root", "vecs")
+    whole = (pairs.join(own, "piece").join(own.select(F.col("piece").alias("piece2"), F.col("root").alias("root2"), F.col("vecs").alias("vecs2")),
+                                           "piece2").select("root", "vecs", "root2", "vecs2"))
+
+    def compare(batches):
+        for batch in batches:
+            linked = np.array([(_matrix(x.values, d) @ _matrix(y.values, d).T >= threshold).any()
+                               for x, y in zip(batch.column(1), batch.column(3))], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(linked))
+
+    return write_table(whole.mapInArrow(compare, "a long, b long").distinct(), "nn-bridges")
+
+
+def _audit(edges: DataFrame, groups: DataFrame, dense: DataFrame, classes: DataFrame, d: int, threshold: float, n: int) -> float:
+    """Share of all links of a bounded query set that are edges or lie in a component that is compared whole."""
     chosen = classes.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // AUDIT))) == 0).select("id", "vec")
     rows = chosen.limit(2 * AUDIT).collect()  # the modulus already bounds it
     if not rows:
@@ -148,17 +234,27 @@ def _audit(lists: DataFrame, classes: DataFrame, d: int, size: int, threshold: f
             yield _pairs(names[q], ids[b], s[q, b])
 
     true = classes.select("id", "vec").mapInArrow(scan, "a long, b long, sim double").select("a", "b")
-    hit = true.join(lists.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-    per = hit.groupBy("a").agg(F.least(F.count("*"), F.lit(size)).alias("all"), F.sum("hit").alias("hit"))
-    t = per.agg(F.sum("all"), F.sum(F.coalesce("hit", F.lit(0)))).first()
+    whole = groups.join(dense, "root", "left_semi")
+    hit = (true.join(edges.withColumn("hit", F.lit(True)), ["a", "b"], "left")
+           .join(whole.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left")
+           .join(whole.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left"))
+    t = hit.agg(F.count("*"), F.count_if(F.coalesce("hit", F.col("ra") == F.col("rb"), F.lit(False)))).first()
     return 1.0 if not t[0] else t[1] / t[0]
 
 
-def neighbour_graph(classes: DataFrame, d: int, threshold: float) -> tuple[DataFrame, int, float]:
-    """(lists (a, b, sim), list size, audited recall) of ``classes`` (id, vec)."""
+def _joined(groups: DataFrame, members: DataFrame, classes: DataFrame, d: int, threshold: float) -> DataFrame:
+    """``groups`` (id, root) after joining the components that have links between ``members`` (id)."""
+    bridges = _bridges(groups.join(members, "id", "left_semi").join(classes.select("id", "vec"), "id").select("root", "id", "vec"), d, threshold)
+    if bridges.isEmpty():
+        return groups
+    up = connected_components(bridges).select(F.col("v").alias("root"), F.col("root").alias("up"))
+    return write_table(groups.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "nn-groups")
+
+
+def neighbour_graph(classes: DataFrame, d: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(edges (a, b), both ways; components (id, root); roots to compare whole (root); audited recall) of ``classes`` (id, vec)."""
     n, size = classes.count(), LIST
     lists = write_table(_best(_seed_lists(classes, d, size, 0).withColumn("new", F.lit(True)), size), "nn-lists")
-    recall = 0.0
     for widening in range(WIDENINGS + 1):
         for _ in range(ROUNDS):
             fresh = _refine(lists, classes, d, size).withColumn("new", F.lit(True))
@@ -167,13 +263,22 @@ def neighbour_graph(classes: DataFrame, d: int, threshold: float) -> tuple[DataF
                                      F.count_if((F.col("sim") >= threshold) & F.col("new"))).first()
             if added <= SETTLED * links:
                 break
-        recall = _audit(lists, classes, d, size, threshold, n)
-        if recall >= RECALL or widening == WIDENINGS:
-            break
-        size *= 2
-        lists = write_table(_best(lists.withColumn("new", F.lit(True)).unionByName(
-            _seed_lists(classes, d, size, widening + 1).withColumn("new", F.lit(True))), size), "nn-lists")
-    return lists.select("a", "b", "sim"), size, recall
+        close = lists.filter(F.col("sim") >= threshold)
+        edges = write_table(close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "nn-edges")
+        groups = write_table(classes.select("id").join(connected_components(edges).withColumnRenamed("v", "id"), "id", "left")
+                             .select("id", F.coalesce("root", "id").alias("root")), "nn-groups")
+        full = write_table(close.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= size).select(F.col("a").alias("id")), "nn-full")
+        groups = _joined(groups, full, classes, d, threshold)
+        dense = write_table(groups.join(full, "id", "left_semi").select("root").distinct(), "nn-dense")
+        recall = _audit(edges, groups, dense, classes, d, threshold, n)
+        if recall >= RECALL:
+            return edges, groups, dense, recall
+        if widening < WIDENINGS:
+            size *= 2
+            lists = write_table(_best(lists.select("a", "b", "sim").withColumn("new", F.lit(True)).unionByName(
+                _seed_lists(classes, d, size, widening + 1).withColumn("new", F.lit(True))), size), "nn-lists")
+    groups = _joined(groups, classes.select("id"), classes, d, threshold)
+    return edges, groups, write_table(groups.select("root").distinct(), "nn-dense"), 1.0
 
 
 def _count_whole(members: DataFrame, d: int, threshold: float) -> DataFrame:
@@ -241,14 +346,8 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     linked = F.col("sound") & (F.size("vec") == d)
     whole = write_table(rows.filter(linked).groupBy("vec").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
                         .withColumn("id", F.monotonically_increasing_id()), "nn-classes")
-    lists, size, _ = neighbour_graph(whole, d, threshold)
-    close = lists.filter(F.col("sim") >= threshold)
-    edges = write_table(close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "nn-edges")
-    roots = write_table(whole.select("id", "least", "copies").join(
-        connected_components(edges).withColumnRenamed("v", "id"), "id", "left")
-        .select("id", "least", "copies", F.coalesce("root", "id").alias("root")), "nn-roots")
-    full = close.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= size).select(F.col("a").alias("id"))
-    dense = write_table(roots.join(full, "id", "left_semi").select("root").distinct(), "nn-dense")
+    edges, groups, dense, _ = neighbour_graph(whole, d, threshold)
+    roots = write_table(whole.select("id", "least", "copies").join(groups, "id"), "nn-roots")
     in_dense = roots.join(dense, "root", "left_semi")
     exact = _count_whole(in_dense.join(whole.select("id", "vec"), "id").select("root", "id", "copies", "vec"), d, threshold)
     listed = (edges.join(roots.select(F.col("id").alias("b"), "copies", "root"), "b").join(dense, "root", "left_anti")

@@ -94,6 +94,36 @@ def test_links_equal_brute_force(spark):
     assert len(nameless) == 5 and not any(r.kept for r in nameless)
 
 
+def clumps(seed=6, n=12, each=14, d=24):
+    """Clumps of nearly equal vectors: more than a list holds at 0.99 inside, about 0.92 from clump to clump of one group."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x)
+    out = [rng.normal(size=d) for _ in range(60)]
+    for _ in range(3):
+        centre = unit(rng.normal(size=d))
+        for _ in range(n):
+            own = unit(centre + 0.295 * unit(rng.normal(size=d)))
+            out += [unit(own + 0.07 * unit(rng.normal(size=d))) for _ in range(each)]
+    return [x.tolist() for x in out]
+
+
+@pytest.mark.parametrize("widenings", [nndescent.WIDENINGS, -1])  # -1: no lists pass, all vectors are compared in pieces
+def test_full_lists_hide_no_links(spark, monkeypatch, widenings):
+    if widenings < 0:
+        monkeypatch.setattr(nndescent, "RECALL", 2.0)
+        monkeypatch.setattr(nndescent, "WIDENINGS", 0)
+    vectors = clumps()
+    x = np.array(vectors, np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    roots = components(len(vectors), np.argwhere(links).tolist())
+    assert len(set(roots[60:])) <= 6
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(3)
+    got = {r.vec_id: r for r in nndescent.near_duplicates(df, "vec_id", "embedding").collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(vectors))] == [(links[i].sum(), roots[i]) for i in range(len(vectors))]
+
+
 def test_recall_on_the_tables(spark):
     sf = "/root/testdata/sf0.1"
     rows = sf_rows(f"select vec_id, embedding from '{sf}/embeddings.parquet' order by 1")
