@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import bpe, merkle, ngram_lm, nndescent, packing, quality, sharding, simhash, substrings, syncmers, warc
+from mercata.llm import bpe, conversations, merkle, ngram_lm, nndescent, packing, quality, sharding, simhash, substrings, syncmers, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -71,6 +71,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read_table(spark, sf_dir, "conversations")
+    report, lines = conversations.repair(conversations.damage(given, "conv_id", "turn", "role", "text"), "conv", "turn", "role", "text")
+    return conversations.with_digests(report, lines, given.select("conv_id")).withColumnRenamed("conv", "conv_id")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     found = merkle.manifest(read_table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"],
@@ -79,7 +85,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
-                                op7_syncmers, op8_substrings, op9_nndescent, op10_lm, op13_merkle)}
+                                op7_syncmers, op8_substrings, op9_nndescent, op10_lm, op11_repair, op13_merkle)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.
