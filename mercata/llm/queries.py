@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercata.llm import bpe, conversations, merkle, ngram_lm, nndescent, packing, quality, sharding, simhash, substrings, syncmers, warc
+from mercata.llm import bpe, conversations, merkle, ngram_lm, nndescent, packing, quality, secrets, sharding, simhash, substrings, syncmers, warc
 from mercata.llm.text import word_count
 from mercata.session import ensure_checkpoint_dir
 from mercata.sources.tables import read_table
@@ -77,6 +77,17 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.with_digests(report, lines, given.select("conv_id")).withColumnRenamed("conv", "conv_id")
 
 
+def _listed(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(_listed("base"), 256).alias("base_sha256"),
+                        _listed("spans").alias("spans"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     found = merkle.manifest(read_table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"],
@@ -85,7 +96,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_warc, op4_simhash, op5_packing, op6_sharding,
-                                op7_syncmers, op8_substrings, op9_nndescent, op10_lm, op11_repair, op13_merkle)}
+                                op7_syncmers, op8_substrings, op9_nndescent, op10_lm, op11_repair, op12_secrets,
+                                op13_merkle)}
 
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.
