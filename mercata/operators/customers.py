@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.columns import CUSTOMERS, PAYMENTS, conform
@@ -19,7 +19,8 @@ from mercata.functions.expressions import (
     as_double, bucket_label, bucket_rank, count_buckets, equal_width_histogram, ordered_mean, pct, ratio,
     right_closed_bucket,
 )
-from mercata.functions.ranking import exact_quantiles, value_ranks
+from mercata.functions.ranking import value_ranks
+from mercata.functions.selection import quantiles
 from mercata.operators.growth import order_categories, delivered_orders, order_gmv
 
 Cols = Mapping[str, str] | None
@@ -133,8 +134,7 @@ def repurchase_gap_stats(gaps: DataFrame, days: Sequence[int] = (30, 90)) -> Dat
     the count-weighted median of all gaps, and the share of gaps within each
     of ``days``."""
     med_distinct = gaps.agg(F.median("days_between")).scalar()
-    med_weighted = exact_quantiles(gaps, "days_between", [0.5], count="count", names=["m"]).select(
-        F.struct("m").alias("s")).scalar().getField("m")
+    med_weighted = F.lit(quantiles(gaps, ["days_between"], [0.5], count="count")["days_between"][0]).cast("double")
     total = F.sum("count")
     shares = [pct(F.sum(F.when(F.col("days_between") <= d, F.col("count")).otherwise(0)), total)
               .alias(f"share_within_{d}d") for d in days]
@@ -179,18 +179,11 @@ def rfm_base(orders: DataFrame, items: DataFrame, as_of: str, status: str = "del
                      F.col("total_gmv").alias("monetary"))
 
 
-def rfm_thresholds(rfm: DataFrame):
-    """Exact 1/3 and 2/3 quantiles of R, F, M as one struct scalar subquery."""
-    long = rfm.select(F.explode(F.array(
-        F.struct(F.lit("r").alias("m"), as_double("recency").alias("v")),
-        F.struct(F.lit("f").alias("m"), as_double("frequency").alias("v")),
-        F.struct(F.lit("mo").alias("m"), as_double("monetary").alias("v")))).alias("x")).select("x.*")
-    q = exact_quantiles(long, "v", [1 / 3, 2 / 3], group="m", names=["p33", "p67"])
-    fields = []
-    for m in ("r", "f", "mo"):
-        for p in ("p33", "p67"):
-            fields.append(F.max(F.when(F.col("m") == m, F.col(p))).alias(f"{m}_{p}"))
-    return q.agg(F.struct(*fields).alias("t")).scalar()
+def rfm_thresholds(rfm: DataFrame) -> dict[str, Column]:
+    """Exact 1/3 and 2/3 quantiles of R, F, M as literals (passes over ``rfm``, an action)."""
+    found = quantiles(rfm, ["recency", "frequency", "monetary"], [1 / 3, 2 / 3])
+    return {f"{m}_{p}": F.lit(v).cast("double") for m, c in (("r", "recency"), ("f", "frequency"), ("mo", "monetary"))
+            for p, v in zip(("p33", "p67"), found[c])}
 
 
 def rfm_scores(rfm: DataFrame) -> DataFrame:
@@ -201,9 +194,9 @@ def rfm_scores(rfm: DataFrame) -> DataFrame:
     """
     t = rfm_thresholds(rfm)
     r, f, m = as_double("recency"), as_double("frequency"), as_double("monetary")
-    r_s = F.when(r <= t.getField("r_p33"), 3).when(r <= t.getField("r_p67"), 2).otherwise(1)
-    f_s = F.when(f >= t.getField("f_p67"), 3).when(f >= t.getField("f_p33"), 2).otherwise(1)
-    m_s = F.when(m >= t.getField("mo_p67"), 3).when(m >= t.getField("mo_p33"), 2).otherwise(1)
+    r_s = F.when(r <= t["r_p33"], 3).when(r <= t["r_p67"], 2).otherwise(1)
+    f_s = F.when(f >= t["f_p67"], 3).when(f >= t["f_p33"], 2).otherwise(1)
+    m_s = F.when(m >= t["mo_p67"], 3).when(m >= t["mo_p33"], 2).otherwise(1)
     return rfm.select("*", r_s.alias("R_score"), f_s.alias("F_score"), m_s.alias("M_score"),
                       (r_s + f_s + m_s).alias("RFM_total"))
 
@@ -323,18 +316,17 @@ def lorenz_curve(rfm: DataFrame, points: int = 1000, value: str = "monetary") ->
 def spend_summary(rfm: DataFrame, q: float = 0.99, value: str = "monetary") -> DataFrame:
     """Mean, exact median and exact q-quantile of spend, customers at or
     below the quantile."""
-    qs = exact_quantiles(rfm, value, [0.5, q], names=["median", "q"])
-    s = qs.select(F.struct("median", "q").alias("s")).scalar()
+    median, cut = (F.lit(x).cast("double") for x in quantiles(rfm, [value], [0.5, q])[value])
     return rfm.agg(F.count(F.lit(1)).alias("n_customers"),
                    ratio(F.sum(value), F.count(F.lit(1))).alias("mean"),
-                   F.count_if(as_double(value) <= s.getField("q")).alias("n_at_or_below_q")).select(
-        "n_customers", "mean", s.getField("median").alias("median"), s.getField("q").alias("q_value"),
+                   F.count_if(as_double(value) <= cut).alias("n_at_or_below_q")).select(
+        "n_customers", "mean", median.alias("median"), cut.alias("q_value"),
         "n_at_or_below_q")
 
 
 def spend_histogram(rfm: DataFrame, q: float = 0.99, bins: int = 80, value: str = "monetary") -> DataFrame:
     """Equal-width histogram of spend truncated at the exact q-quantile."""
-    cut = exact_quantiles(rfm, value, [q], names=["q"]).select(F.struct("q").alias("s")).scalar().getField("q")
+    cut = F.lit(quantiles(rfm, [value], [q])[value][0]).cast("double")
     kept = rfm.filter(as_double(value) <= cut)
     return equal_width_histogram(kept, value, bins)
 

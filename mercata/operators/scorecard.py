@@ -1,29 +1,29 @@
 """Credit scorecard: cleaning, quantile binning, WOE / IV, WOE encoding,
 stratified split, logistic regression, score points, AUC / ROC / KS.
 
-Per-feature loops of the reference become one pass over an unpivoted
-``(row, feature, value)`` table: one exact-quantile job for all edges, one
-``groupBy(feature, bin)`` for all WOE tables. Bin lookups join the rows to
-the bins table (at most ``q`` rows per feature, so a bounded broadcast).
-Actions happen only where a small literal is needed (the WOE table for the
-encoding expressions, the training row count for the regularisation, model
-fitting itself).
+Per-feature loops of the reference become passes over wide rows: the quantile
+edges of all features come out of the same radix histograms, and all WOE
+tables out of one aggregation with generated bin tests, so no row is exploded,
+joined or shuffled. Logistic regression iterates over counts per distinct
+feature combination. Edges, WOE tables and coefficients are small literals on
+the driver (at most q rows a feature), and the fitted model scores rows as a
+column expression.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.expressions import as_double, ordered_sum, pct, ratio
-from mercata.functions.ranking import exact_quantiles, value_ranks
+from mercata.functions.ranking import value_ranks
+from mercata.functions.selection import quantiles, select_ranks
+from mercata.session import write_table
 
 _OPS = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v,
         "<=": lambda c, v: c <= v, "==": lambda c, v: c == v, "!=": lambda c, v: c != v}
@@ -38,7 +38,8 @@ def clean_applicants(df: DataFrame, ranges: Sequence[tuple[str, str, float]], ta
     with their exact median over the remaining rows.
 
     NaN is treated as missing, as pandas does (Spark orders NaN above every
-    number, so ``NaN > 0`` would otherwise keep the row).
+    number, so ``NaN > 0`` would otherwise keep the row). The medians are
+    found in passes over ``df`` (an action).
     """
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
     df = df.select([F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in floats else F.col(c)
@@ -49,12 +50,8 @@ def clean_applicants(df: DataFrame, ranges: Sequence[tuple[str, str, float]], ta
     kept = df.filter(cond)
     if not impute:
         return kept
-    long = kept.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), as_double(c).alias("value")) for c in impute])).alias("x")).select("x.*")
-    med = exact_quantiles(long, "value", [0.5], group="feature", names=["m"])
-    s = med.agg(F.struct(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(c) for c in impute])
-                .alias("s")).scalar()
-    return kept.select(*[F.coalesce(as_double(c), s.getField(c)).alias(c) if c in impute else F.col(c)
+    medians = quantiles(kept, impute, [0.5])
+    return kept.select(*[F.coalesce(as_double(c), F.lit(medians[c][0]).cast("double")).alias(c) if c in impute else F.col(c)
                          for c in kept.columns])
 
 
@@ -67,47 +64,78 @@ def label_summary(df: DataFrame, target: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S3 .. S5
 
-def _long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., feature, value) with NULL values dropped (the reference
-    bins each feature on its non-null rows)."""
-    return (df.select(*keep, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), as_double(c).alias("value")) for c in features])).alias("_x"))
-            .select(*keep, "_x.feature", "_x.value").filter(F.col("value").isNotNull()))
-
-
 def quantile_bins(df: DataFrame, features: Sequence[str], q: int = 5) -> DataFrame:
     """S3: ``pd.qcut(q, duplicates='drop')`` bins per feature: exact quantile
     edges at 0, 1/q, ..., 1, duplicates removed; bin i is (edge_i, edge_i+1]
-    with the lowest edge included in bin 0. Output: feature, bin, lo, hi.
-    A feature with a single distinct edge has no bins."""
-    probs = [i / q for i in range(q + 1)]
-    names = [f"e{i}" for i in range(q + 1)]
-    edges = exact_quantiles(_long(df, features), "value", probs, group="feature", names=names)
-    e = edges.select("feature", F.array_distinct(F.array(*names)).alias("_e"))
-    return (e.select("feature", F.posexplode(F.slice("_e", 1, F.greatest(F.size("_e") - 1, F.lit(0))))
-                     .alias("bin", "lo"), "_e")
-            .select("feature", "bin", "lo", F.element_at("_e", F.col("bin") + 2).alias("hi")))
+    with the lowest edge included in bin 0. Output: feature, bin, lo, hi, a
+    local table of at most q rows a feature (an action). NULL and NaN values
+    are left out, and a feature with a single distinct edge has no bins."""
+    edges = quantiles(df, features, [i / q for i in range(q + 1)])
+    rows = []
+    for f in features:
+        e = list(dict.fromkeys(x for x in edges[f] if x is not None))
+        rows += [(f, i, lo, hi) for i, (lo, hi) in enumerate(zip(e, e[1:]))]
+    return df.sparkSession.createDataFrame(rows, "feature string, bin int, lo double, hi double")
 
 
 def _in_bin(value: Column, bin_: Column, lo: Column, hi: Column) -> Column:
     return ((value > lo) | ((bin_ == 0) & (value >= lo))) & (value <= hi)
 
 
+#: Cells counted by one aggregation; more features than fit take another one over the same scan.
+CELLS_AT_ONCE = 200
+
+
+def _bin_counts(df: DataFrame, bins: Sequence[Row], target: str, features: set[str]) -> DataFrame:
+    """Rows and target sum per bin: (feature, bin, lo, hi, count, bad), bins without rows left out.
+
+    Each row gets one bin number a feature by generated comparisons; every
+    (feature, bin) is one conditional count and sum of a single aggregation,
+    whose one row is unpivoted.
+    """
+    by_feature: dict[str, list[Row]] = {}
+    for b in bins:
+        if b["feature"] in features:
+            by_feature.setdefault(b["feature"], []).append(b)
+    groups: list[list[tuple[str, list[Row]]]] = [[]]
+    for item in by_feature.items():
+        if groups[-1] and sum(len(x) for _, x in groups[-1]) + len(item[1]) > CELLS_AT_ONCE:
+            groups.append([])
+        groups[-1].append(item)
+    out = None
+    for group in groups:
+        numbers, cells = [], []
+        for i, (feature, rows) in enumerate(group):
+            v, number = as_double(feature), None
+            for r in rows:
+                hit = _in_bin(v, F.lit(r["bin"]), F.lit(r["lo"]), F.lit(r["hi"]))
+                number = F.when(hit, r["bin"]) if number is None else number.when(hit, r["bin"])
+            numbers.append(number.alias(f"b{i}"))
+            for r in rows:
+                here = F.col(f"b{i}") == r["bin"]
+                cells.append(F.struct(F.lit(feature).alias("feature"), F.lit(r["bin"]).cast("int").alias("bin"), F.lit(r["lo"]).alias("lo"),
+                                      F.lit(r["hi"]).alias("hi"), F.count_if(here).alias("count"),
+                                      F.sum(F.when(here, F.col("y"))).cast("bigint").alias("bad")).alias(f"c{len(cells)}"))
+        if not cells:
+            continue
+        one = df.select(F.col(target).alias("y"), *numbers).agg(*cells)
+        t = one.unpivot([], [f"c{k}" for k in range(len(cells))], "k", "c").select("c.*").filter("count > 0")
+        out = t if out is None else out.unionByName(t)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, lo double, hi double, count bigint, bad bigint")
+    return out
+
+
 def woe_table(df: DataFrame, bins: DataFrame, target: str, features: Sequence[str], policy: str = "inf",
               smooth: float = 0.5) -> DataFrame:
     """Per (feature, bin) count, bad, good, shares and WOE = ln(bad% / good%).
 
     Zero cells (T14): ``inf`` gives +-inf as numpy would (IV inf, feature
     selected); ``smooth`` adds ``smooth`` to every good and bad count;
-    ``drop`` leaves such bins out.
+    ``drop`` leaves such bins out. ``bins`` (at most q rows a feature) is read
+    to the driver and becomes tests in the one aggregation over ``df``.
     """
-    rows = _long(df.withColumn("_y", F.col(target)), features, keep=["_y"])
-    b = bins.select(F.col("feature").alias("_f"), "bin", "lo", "hi")
-    # bins has at most q rows per feature: a bounded broadcast; the equi-key
-    # is the feature, the range test picks the bin.
-    j = rows.join(F.broadcast(b), (rows.feature == b._f) & _in_bin(rows.value, b.bin, b.lo, b.hi))
-    g = j.groupBy("feature", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"),
-                                                   F.sum("_y").cast("bigint").alias("bad"))
+    g = _bin_counts(df, bins.select("feature", "bin", "lo", "hi").orderBy("feature", "bin").collect(), target, set(features))
     g = g.withColumn("good", F.col("count") - F.col("bad"))
     if policy == "drop":
         g = g.filter((F.col("bad") > 0) & (F.col("good") > 0))
@@ -135,6 +163,11 @@ def iv_table(woe: DataFrame, threshold: float = 0.02) -> DataFrame:
 
 # ---------------------------------------------------------------- S6 / S7
 
+def local_copy(table: DataFrame) -> DataFrame:
+    """A small table (bins, WOE: at most q rows a feature) computed once and kept as literals (an action)."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
 def woe_rows(woe: DataFrame) -> list[Row]:
     """The WOE table on the driver, in order: at most q rows per feature (an action)."""
     return woe.select("feature", "bin", "lo", "hi", "woe").orderBy("feature", "bin").collect()
@@ -164,6 +197,10 @@ def woe_encode(df: DataFrame, woe: Sequence[Row] | DataFrame, keep: Sequence[str
     return df.select(*cols)
 
 
+#: Classes of a target that an exact split may have.
+MOST_CLASSES = 1000
+
+
 def stratified_split(df: DataFrame, key: Sequence[str], target: str, test: float = 0.3, seed: int = 42,
                      exact: bool = False) -> DataFrame:
     """Deterministic train / test split.
@@ -172,38 +209,110 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test: float
     joined by '|') fall in the lowest ``test`` share modulo a million: about
     ``test`` of every class, no shuffle, stable under recomputation and the same
     in any engine that has md5. ``exact=True``: within each class the
-    ceil(test * n_class) rows with the smallest hashes are 'test' (hash ranks
-    from distinct-value prefix counts; no global window).
+    ceil(test * n_class) rows with the smallest hashes are 'test' (equal
+    hashes at the border stay together). The border is found by selection over
+    ``df`` (an action) and compared row by row: no join, no sort.
     """
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     if not exact:
         bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1_000_000
         return df.select("*", F.when(bucket < int(round(test * 1_000_000)), "test").otherwise("train").alias("split"))
-    hashed = df.select("*", h.alias("_h"))
-    r = value_ranks(hashed, "_h", group=target)
-    cut = r.select(target, F.col("value").alias("_h"),
-                   (F.col("cnt_lt") < F.ceil(F.col("n_total") * F.lit(float(test)))).alias("_test"))
-    # Null-safe on the class: rows without a target form a class of their own.
-    cut = cut.withColumnsRenamed({target: "_class", "_h": "_cut"})
-    return (hashed.join(cut, hashed[target].eqNullSafe(F.col("_class")) & (F.col("_h") == F.col("_cut")))
-            .select(*df.columns, F.when(F.col("_test"), "test").otherwise("train").alias("split")))
+    classes = [r[0] for r in df.select(target).distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"an exact split is by at most {MOST_CLASSES} classes; {target!r} has more")
+    # The last test row's hash per class, null-safe: rows without a target form a class of their own.
+    of = {str(i): F.col(target).eqNullSafe(F.lit(c)) for i, c in enumerate(classes)}
+    last = select_ranks(df, {i: F.when(is_, h) for i, is_ in of.items()}, lambda n: [F.ceil(n * F.lit(float(test))) - 1])
+    cut = F.lit(None).cast("bigint")
+    for i, is_ in of.items():
+        code = last[i][1][0] if i in last else None
+        cut = F.when(is_, F.lit(-1 if code is None else code).cast("bigint")).otherwise(cut)
+    return df.select("*", F.when(h <= cut, "test").otherwise("train").alias("split"))
 
 
 # ---------------------------------------------------------------- S8 .. S10
 
-def fit_logistic(train: DataFrame, features: Sequence[str], target: str, C: float = 1.0, max_iter: int = 1000):
-    """L2 logistic regression matching sklearn's
-    ``LogisticRegression(C)``: min 1/2 ||w||^2 + C * sum(logloss) with a free
-    intercept equals Spark's mean logloss + regParam/2 ||w||^2 with
-    regParam = 1 / (C * n), no standardisation. Returns the fitted
-    PipelineModel (an action: fitting reads the data iteratively)."""
-    n = train.count()
-    lr = LogisticRegression(featuresCol="_features", labelCol=target, regParam=1.0 / (C * n),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-10,
-                            fitIntercept=True, family="binomial")
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), lr])
-    return pipe.fit(train.select(*features, F.col(target).cast("double").alias(target)))
+@dataclass(frozen=True)
+class LogisticModel:
+    """A fitted model: one coefficient a feature and the intercept."""
+
+    features: tuple[str, ...]
+    coef: tuple[float, ...]
+    intercept: float
+
+    @classmethod
+    def from_table(cls, coefs: DataFrame) -> LogisticModel:
+        """The model of a stored ``coefficients`` table (a handful of rows, an action)."""
+        rows = {r["feature"]: r["coef"] for r in coefs.select("feature", "coef").collect()}
+        features = tuple(sorted(f for f in rows if f != INTERCEPT))
+        return cls(features, tuple(rows[f] for f in features), rows[INTERCEPT])
+
+    def logit(self) -> Column:
+        z = F.lit(self.intercept)
+        for f, c in zip(self.features, self.coef):
+            z = z + F.lit(c) * as_double(f)
+        return z
+
+    def probability(self) -> Column:
+        """P(bad) as an expression in generated code; NULL where a feature is."""
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.logit()))
+
+
+INTERCEPT = "(intercept)"
+
+
+def fit_logistic(train: DataFrame, features: Sequence[str], target: str, C: float = 1.0, max_iter: int = 100,
+                 tol: float = 1e-12) -> LogisticModel:
+    """L2 logistic regression as sklearn's ``LogisticRegression(C)``:
+    min 1/2 ||w||^2 + C * sum(logloss) with a free intercept.
+
+    Rows enter once: as counts and positives per distinct combination of the
+    features (at most (q + 1)^features for WOE values), written as a table.
+    Newton's method runs over that table; a step that raises the loss is
+    halved. Rows with a NULL feature or target are left out. An action.
+    """
+    cols = list(features)
+    rows = train.select(*[as_double(f).alias(f"x{i}") for i, f in enumerate(cols)], as_double(target).alias("y")).dropna()
+    cells = write_table(rows.groupBy(*[f"x{i}" for i in range(len(cols))]).agg(
+        as_double(F.count(F.lit(1))).alias("n"), F.sum("y").alias("y")), "logit-cells")
+    k = len(cols) + 1
+    x = [*[F.col(f"x{i}") for i in range(len(cols))], F.lit(1.0)]
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and Hessian."""
+        z = sum((F.lit(float(b)) * v for b, v in zip(beta, x)), F.lit(0.0))
+        e = F.exp(-F.abs(z))
+        one = cells.select(*cells.columns, z.alias("z"), e.alias("e"), (F.when(z >= 0, 1.0).otherwise(e) / (1.0 + e)).alias("p"))
+        rest = F.col("n") * F.col("p") - F.col("y")
+        weight = F.col("n") * F.col("p") * (1.0 - F.col("p"))
+        sums = [F.sum(F.col("n") * (F.greatest(F.col("z"), F.lit(0.0)) + F.log1p("e")) - F.col("y") * F.col("z")).alias("loss")]
+        sums += [F.sum(rest * v).alias(f"g{i}") for i, v in enumerate(x)]
+        sums += [F.sum(weight * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        r = one.agg(*sums).first()
+        if r["loss"] is None:
+            raise ValueError("no rows to fit")
+        w = np.append(beta[:-1], 0.0)  # the intercept is free
+        grad = w + C * np.array([r[f"g{i}"] for i in range(k)])
+        hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) * C + np.diag([1.0] * (k - 1) + [0.0])
+        loss = 0.5 * float(w @ w) + C * r["loss"]
+        if not (math.isfinite(loss) and np.isfinite(grad).all() and np.isfinite(hess).all()):
+            raise ValueError("a feature is infinite (a WOE of an empty cell?): use policy 'smooth' or 'drop'")
+        return loss, grad, hess
+
+    beta = np.zeros(k)
+    loss, grad, hess = at(beta)
+    for _ in range(max_iter):
+        step = np.linalg.lstsq(hess, grad, rcond=None)[0]
+        if np.abs(step).max() < tol:
+            break
+        while True:
+            new = at(beta - step)
+            if new[0] <= loss + 1e-12 * abs(loss) or np.abs(step).max() < tol:
+                break
+            step = step / 2
+        beta, (loss, grad, hess) = beta - step, new
+    return LogisticModel(tuple(cols), tuple(float(b) for b in beta[:-1]), float(beta[-1]))
 
 
 # Direction labels for coefficient signs.
@@ -211,21 +320,20 @@ POSITIVE_LABEL = "positive (raises default risk)"
 NEGATIVE_LABEL = "negative (protective)"
 
 
-def coefficients(model, features: Sequence[str], spark) -> DataFrame:
+def coefficients(model: LogisticModel, features: Sequence[str], spark) -> DataFrame:
     """Feature, coefficient, direction label; intercept as '(intercept)'.
     (A handful of driver-side numbers from the fitted model.)"""
-    lr = model.stages[-1]
-    rows = [(f, float(c)) for f, c in zip(features, lr.coefficients.toArray())]
-    rows.append(("(intercept)", float(lr.intercept)))
+    by = dict(zip(model.features, model.coef))
+    rows = [(f, by[f]) for f in features]
+    rows.append((INTERCEPT, model.intercept))
     df = spark.createDataFrame(rows, "feature string, coef double")
-    return df.select("*", F.when(F.col("feature") == "(intercept)", F.lit(None))
+    return df.select("*", F.when(F.col("feature") == INTERCEPT, F.lit(None))
                      .when(F.col("coef") > 0, POSITIVE_LABEL).otherwise(NEGATIVE_LABEL).alias("direction"))
 
 
-def predict(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """P(bad) per row."""
-    out = model.transform(df)
-    return out.select(*keep, vector_to_array("probability")[1].alias("score"))
+def predict(model: LogisticModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """P(bad) per row, a projection of the rows."""
+    return df.select(*keep, model.probability().alias("score"))
 
 
 def scorecard_points(woe: DataFrame, coefs: DataFrame, pdo: float = 50.0, suffix: str = "_woe",
@@ -243,15 +351,18 @@ def scorecard_points(woe: DataFrame, coefs: DataFrame, pdo: float = 50.0, suffix
 
 # ---------------------------------------------------------------- S11 .. S13
 
-def _score_ranks(scored: DataFrame, label: str, score: str, group: str | None) -> DataFrame:
+def score_ranks(scored: DataFrame, label: str = "target", score: str = "score", group: str | None = None) -> DataFrame:
+    """Positives and rows per distinct score and around it, written once: what ``auc`` and ``roc_curve`` read
+    (hand the result to both as ``ranks``)."""
     return value_ranks(scored.select(*( [group] if group else []), score, as_double(label).alias("_pos")),
                        score, group=group, weight="_pos")
 
 
-def auc(scored: DataFrame, label: str = "target", score: str = "score", group: str | None = None) -> DataFrame:
+def auc(scored: DataFrame | None, label: str = "target", score: str = "score", group: str | None = None,
+        ranks: DataFrame | None = None) -> DataFrame:
     """ROC AUC = P(score_pos > score_neg) + 1/2 P(tie), from per-score
     positive / negative counts (distinct-score prefix sums, no global sort)."""
-    r = _score_ranks(scored, label, score, group)
+    r = score_ranks(scored, label, score, group) if ranks is None else ranks
     neg_lt = F.col("cnt_lt") - F.col("w_lt")
     neg_here = F.col("cnt") - F.col("wsum")
     num = F.sum(F.col("wsum") * (neg_lt + F.lit(0.5) * neg_here))
@@ -263,24 +374,28 @@ def auc(scored: DataFrame, label: str = "target", score: str = "score", group: s
                     .alias("n_neg"))
 
 
-def roc_curve(scored: DataFrame, label: str = "target", score: str = "score", group: str | None = None) -> DataFrame:
+def roc_curve(scored: DataFrame | None, label: str = "target", score: str = "score", group: str | None = None,
+              ranks: DataFrame | None = None) -> DataFrame:
     """One point per distinct score threshold (predict bad when
-    score >= threshold): fpr, tpr and the KS gap tpr - fpr."""
-    r = _score_ranks(scored, label, score, group)
+    score >= threshold): fpr, tpr and the KS gap tpr - fpr. The curve starts
+    at (0, 0), with an infinite threshold."""
+    r = score_ranks(scored, label, score, group) if ranks is None else ranks
     pos_ge = F.col("w_gt") + F.col("wsum")
     neg_ge = (F.col("cnt_gt") - F.col("w_gt")) + (F.col("cnt") - F.col("wsum"))
     n_neg = F.col("n_total") - F.col("w_total")
     keys = [group] if group else []
-    out = r.select(*keys, F.col("value").alias("threshold"), ratio(neg_ge, n_neg).alias("fpr"),
-                   ratio(pos_ge, "w_total").alias("tpr"))
+    point = F.struct(as_double("value").alias("threshold"), ratio(neg_ge, n_neg).alias("fpr"), ratio(pos_ge, "w_total").alias("tpr"))
+    start = F.struct(F.lit(math.inf).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    points = F.when(F.col("cnt_gt") == 0, F.array(start, point)).otherwise(F.array(point))
+    out = r.select(*keys, F.explode(points).alias("p")).select(*keys, "p.*")
     return out.withColumn("ks_gap", F.col("tpr") - F.col("fpr"))
 
 
 def ks(roc: DataFrame, group: str | None = None) -> DataFrame:
     """KS = max(tpr - fpr) and the threshold where it is reached."""
     keys = [group] if group else []
-    return roc.groupBy(*keys).agg(F.max("ks_gap").alias("ks"),
-                                  F.max_by("threshold", F.struct("ks_gap", "threshold")).alias("ks_threshold"))
+    return roc.filter(F.col("threshold") < math.inf).groupBy(*keys).agg(
+        F.max("ks_gap").alias("ks"), F.max_by("threshold", F.struct("ks_gap", "threshold")).alias("ks_threshold"))
 
 
 def overfit_gap(aucs: DataFrame, group: str = "split", train: str = "train", test: str = "test",

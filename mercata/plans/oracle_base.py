@@ -43,6 +43,13 @@ FIXTURE_CTES = {
     l_quantity as f_utilisation, l_discount as f_debt, l_tax as f_rate,
     case when l_partkey % 10 <> 0 then l_extendedprice end as f_income,
     case when l_suppkey % 20 = 0 then l_linenumber else 0 end as f_late_count from lineitem)""",
+    "fx_applicants_multi": """fx_applicants_multi as (
+  select l_orderkey, l_partkey, l_suppkey,
+    case when (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31) % 400
+      < l_quantity + 5 * cast(round(l_discount * 100) as int) + 5 * cast(round(l_tax * 100) as int) then 1 else 0 end as target,
+    l_quantity as f_utilisation, l_discount as f_debt, l_tax as f_rate,
+    case when l_partkey % 10 <> 0 then l_extendedprice end as f_income,
+    case when l_suppkey % 20 = 0 then l_linenumber else 0 end as f_late_count from lineitem)""",
     "fx_ab": """fx_ab as (
   select cast(user_id % 2 + 1 as int) as dmp_id, user_id, case when event_type = 'click' then 1 else 0 end as click from events)""",
     "fx_ab_many": """fx_ab_many as (

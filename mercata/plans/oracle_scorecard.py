@@ -64,24 +64,44 @@ SPLIT = """parts as (
                'test', 'train') as split
   from enc)"""
 
-# Newton's method for the selected feature (f_utilisation) and an intercept, over counts per WOE:
-# minimise the summed log loss plus half the squared weight (C = 1).
-FIT = """counted as (
-  select f_utilisation_woe as x, cast(count(*) as double) as n, cast(sum(target) as double) as y
-  from parts where split = 'train' group by 1),
+# The model's stand-in: three of its features are selected.
+SELECTED = ("f_debt", "f_rate", "f_utilisation")
+CLEAN_MULTI = CLEAN.replace("fx_applicants", "fx_applicants_multi")
+ENCODED_MULTI = (CLEAN_MULTI, LONG, BINS, WOE, ENC)
+
+
+def _newton() -> str:
+    """Newton's method over counts per WOE combination: minimise the summed log loss plus half the squared weights
+    (C = 1, free intercept). Each step solves its linear system by Gauss-Jordan elimination, one subquery a pivot."""
+    k = len(SELECTED) + 1
+    x = [f"x{i}" for i in range(k - 1)] + ["1.0"]
+    state = ", ".join(f"b{i}" for i in range(k))
+    z = " + ".join(f"b{i} * {v}" for i, v in enumerate(x))
+    grad = [f"sum((n * p - y) * {v})" + (f" + b{i}" if i < k - 1 else "") for i, v in enumerate(x)]
+    hess = [[f"sum(n * p * (1 - p) * {x[i]} * {x[j]})" + (" + 1" if i == j < k - 1 else "") for j in range(k)] for i in range(k)]
+    system = ", ".join([f"{grad[i]} as m{i}_{k}" for i in range(k)] + [f"{hess[i][j]} as m{i}_{j}" for i in range(k) for j in range(k)])
+    sql = (f"select i, {state}, {system} from (select i, {state}, n, y, {', '.join(x[:-1])}, 1 / (1 + exp(-({z}))) as p from newton, counted where i < 25)"
+           f" group by i, {state}")
+    for p in range(k):
+        cells = ", ".join(f"m{i}_{j}" + (f" - m{i}_{p} / m{p}_{p} * m{p}_{j}" if i != p else "") + f" as m{i}_{j}" for i in range(k) for j in range(p, k + 1))
+        kept = ", ".join(f"m{i}_{i}" for i in range(p))
+        sql = f"select i, {state}, {kept}, {cells} from ({sql})" if p else f"select i, {state}, {cells} from ({sql})"
+    step = ", ".join(f"b{i} - m{i}_{k} / m{i}_{i}" for i in range(k))
+    return f"""counted as (
+  select {', '.join(f'{f}_woe as x{i}' for i, f in enumerate(SELECTED))}, cast(count(*) as double) as n, cast(sum(target) as double) as y
+  from parts where split = 'train' group by all),
 newton as (
-  select 0 as i, cast(0 as double) as b0, cast(0 as double) as b1
+  select 0 as i, {', '.join(f'cast(0 as double) as b{i}' for i in range(k))}
   union all
-  select i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
-  from (
-    select i, b0, b1, sum(n * p - y) as g0, sum((n * p - y) * x) + b1 as g1, sum(n * p * (1 - p)) as h00,
-      sum(n * p * (1 - p) * x) as h01, sum(n * p * (1 - p) * x * x) + 1 as h11
-    from (select i, b0, b1, x, n, y, 1 / (1 + exp(-(b0 + b1 * x))) as p from newton, counted where i < 25)
-    group by i, b0, b1)),
-fitted as (select b0, b1 from newton where i = 25)"""
-
-SCORED = """scored as (
-  select l_orderkey, l_partkey, l_suppkey, target, split, round(1 / (1 + exp(-(b0 + b1 * f_utilisation_woe))), 4) as score
+  select i + 1, {step} from ({sql})),
+fitted as (select {state} from newton where i = 25)"""
+
+
+FIT = _newton()
+LOGIT = f"b{len(SELECTED)} + " + " + ".join(f"b{i} * {f}_woe" for i, f in enumerate(SELECTED))
+
+SCORED = f"""scored as (
+  select l_orderkey, l_partkey, l_suppkey, target, split, round(1 / (1 + exp(-({LOGIT}))), 4) as score
   from parts, fitted)"""
 
 CURVE = """levels as (
@@ -97,7 +117,8 @@ curve as (
   select split, score as threshold, cast(neg_ge as double) / cast(n_neg as double) as fpr,
     cast(pos_ge as double) / cast(n_pos as double) as tpr,
     cast(pos_ge as double) / cast(n_pos as double) - cast(neg_ge as double) / cast(n_neg as double) as ks_gap
-  from stairs)"""
+  from stairs
+  union all select distinct split, 'infinity'::double, 0.0, 0.0, 0.0 from stairs)"""
 
 
 ORACLES = {
@@ -115,19 +136,22 @@ select feature, iv, iv > 0.02 as selected, cast(row_number() over (order by iv d
     "woe_table_train": _w(TRAIN, LONG, BINS, WOE) + "select * from woe",
     "woe_encode": _w(*ENCODED) + "select * from enc",
     "stratified_split": _w(*ENCODED, SPLIT) + "select * from parts",
-    "fit_logistic": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT)) + f"""
-select 'f_utilisation_woe' as feature, round(b1, 4) as coef,
-  if(b1 > 0, '{POSITIVE_LABEL}', '{NEGATIVE_LABEL}') as direction from fitted
-union all select '(intercept)', round(b0, 4), null from fitted""",
-    "scorecard_points": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT)) + """
-select feature, bin, lo, hi, woe, round(b1, 4) as coef, cast(round_even(-b1 * woe * 50.0 / ln(2), 0) as double) as points
-from woe, fitted where feature = 'f_utilisation'""",
-    "predict": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED)) + "\nselect * from scored",
-    "auc": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + "\nselect * from aucs",
-    "overfit_gap": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + """
+    "multi_iv_table": _w(CLEAN_MULTI, LONG, BINS, WOE) + """, iv as (
+  select feature, sum((bad_pct - good_pct) * woe order by (bad_pct - good_pct) * woe) as iv from woe group by feature)
+select feature, iv, iv > 0.02 as selected, cast(row_number() over (order by iv desc, feature) as int) as iv_rank from iv""",
+    "fit_logistic": "with recursive " + ",\n".join((*ENCODED_MULTI, SPLIT, FIT)) + "\n" + "\nunion all ".join(
+        f"select '{f}_woe' as feature, round(b{i}, 4) as coef, if(b{i} > 0, '{POSITIVE_LABEL}', '{NEGATIVE_LABEL}') as direction from fitted"
+        for i, f in enumerate(SELECTED)) + f"\nunion all select '(intercept)', round(b{len(SELECTED)}, 4), null from fitted",
+    "scorecard_points": "with recursive " + ",\n".join((*ENCODED_MULTI, SPLIT, FIT)) + """,
+coefs as (""" + " union all ".join(f"select '{f}' as feature, b{i} as b from fitted" for i, f in enumerate(SELECTED)) + """)
+select feature, bin, lo, hi, woe, round(b, 4) as coef, cast(round_even(-b * woe * 50.0 / ln(2), 0) as double) as points
+from woe join coefs using (feature)""",
+    "predict": "with recursive " + ",\n".join((*ENCODED_MULTI, SPLIT, FIT, SCORED)) + "\nselect * from scored",
+    "auc": "with recursive " + ",\n".join((*ENCODED_MULTI, SPLIT, FIT, SCORED, CURVE)) + "\nselect * from aucs",
+    "overfit_gap": "with recursive " + ",\n".join((*ENCODED_MULTI, SPLIT, FIT, SCORED, CURVE)) + """
 select a.auc as auc_train, b.auc as auc_test, a.auc - b.auc as gap, if(a.auc - b.auc < 0.05, 'slight', 'significant') as overfitting
 from aucs a join aucs b on a.split = 'train' and b.split = 'test'""",
-    "roc_curve": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + "\nselect * from curve",
-    "ks": "with recursive " + ",\n".join((*ENCODED, SPLIT, FIT, SCORED, CURVE)) + """
-select split, max(ks_gap) as ks, arg_max(threshold, ks_gap) as ks_threshold from curve group by split""",
+    "roc_curve": "with recursive " + ",\n".join((*ENCODED_MULTI, SPLIT, FIT, SCORED, CURVE)) + "\nselect * from curve",
+    "ks": "with recursive " + ",\n".join((*ENCODED_MULTI, SPLIT, FIT, SCORED, CURVE)) + """
+select split, max(ks_gap) as ks, arg_max(threshold, ks_gap) as ks_threshold from curve where isfinite(threshold) group by split""",
 }

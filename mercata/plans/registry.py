@@ -433,6 +433,10 @@ def _clean(fx: Fixtures) -> DataFrame:
     return materialize(s.clean_applicants(fx.applicants, APPLICANT_RANGES, TARGET, APPLICANT_IMPUTE))
 
 
+def _clean_multi(fx: Fixtures) -> DataFrame:
+    return materialize(s.clean_applicants(fx.applicants_multi, APPLICANT_RANGES, TARGET, APPLICANT_IMPUTE))
+
+
 def _woe(clean: DataFrame) -> DataFrame:
     return s.woe_table(clean, s.quantile_bins(clean, APPLICANT_FEATURES, q=5), TARGET, APPLICANT_FEATURES)
 
@@ -445,14 +449,13 @@ def _encoded(fx: Fixtures) -> DataFrame:
 def _model(fx: Fixtures):
     """IV-selected features -> WOE encoding (fitted on all rows, as the
     reference does, T11) -> hash split -> logistic regression."""
-    clean = _clean(fx)
-    woe = materialize(_woe(clean))
-    iv = s.iv_table(woe)
-    selected = [r["feature"] for r in iv.filter("selected").select("feature").collect()]
+    clean = _clean_multi(fx)
+    woe = s.local_copy(_woe(clean))
+    selected = sorted(r["feature"] for r in s.iv_table(woe).filter("selected").select("feature").collect())
     sel_woe = woe.filter(F.col("feature").isin(selected))
-    encoded = s.woe_encode(clean, sel_woe, keep=[*ROW_KEY, TARGET])
-    split = materialize(s.stratified_split(encoded, ROW_KEY, TARGET, test=0.3, seed=42))
-    cols = [f + "_woe" for f in sorted(selected)]
+    # Encoding and split are projections of the written table; the fit groups them once, scoring reads them once.
+    split = s.stratified_split(s.woe_encode(clean, sel_woe, keep=[*ROW_KEY, TARGET]), ROW_KEY, TARGET, test=0.3, seed=42)
+    cols = [f + "_woe" for f in selected]
     model = s.fit_logistic(split.filter(F.col("split") == "train"), cols, TARGET, C=1.0)
     return split, model, cols, sel_woe
 
@@ -488,6 +491,12 @@ def q_iv_table(fx):
     return s.iv_table(_woe(_clean(fx)), threshold=0.02)
 
 
+@query("multi_iv_table")
+def q_multi_iv_table(fx):
+    """Information values where the default depends on several features."""
+    return s.iv_table(_woe(_clean_multi(fx)), threshold=0.02)
+
+
 @query("woe_table_smooth")
 def q_woe_table_smooth(fx):
     clean = _clean(fx)

@@ -143,8 +143,9 @@ def scorecard_report(applicants: DataFrame, features: list[str], target: str, ke
     model = sc.fit_logistic(split.filter(split.split == "train"), cols, target, C=C)
     coefs = sc.coefficients(model, cols, applicants.sparkSession)
     scored = materialize(sc.predict(model, split, keep=[*key, target, "split"]))
-    aucs = sc.auc(scored, label=target, group="split")
-    roc = sc.roc_curve(scored, label=target, group="split")
+    ranks = sc.score_ranks(scored, label=target, group="split")
+    aucs = sc.auc(None, group="split", ranks=ranks)
+    roc = sc.roc_curve(None, group="split", ranks=ranks)
     return {"score_label_summary": sc.label_summary(clean, target), "score_bins": bins, "score_woe": woe,
             "score_iv": iv, "score_coefficients": coefs,
             "score_points": sc.scorecard_points(sel_woe, coefs, pdo=pdo, base=base),

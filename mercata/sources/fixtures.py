@@ -116,6 +116,22 @@ class Fixtures:
             F.when(F.col("l_partkey") % 10 != 0, F.col("l_extendedprice")).alias("f_income"),
             F.when(F.col("l_suppkey") % 20 == 0, F.col("l_linenumber")).otherwise(0).alias("f_late_count"))
 
+    @cached_property
+    def applicants_multi(self) -> DataFrame:
+        """The same applicants with a default that depends on several features."""
+        li = self.table("lineitem")
+        mix = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_suppkey") * 31) % 400
+        cents = lambda c: F.round(F.col(c) * 100).cast("int")
+        risk = F.col("l_quantity") + 5 * cents("l_discount") + 5 * cents("l_tax")
+        return li.select(
+            "l_orderkey", "l_partkey", "l_suppkey",
+            F.when(mix < risk, 1).otherwise(0).alias("target"),
+            F.col("l_quantity").alias("f_utilisation"),
+            F.col("l_discount").alias("f_debt"),
+            F.col("l_tax").alias("f_rate"),
+            F.when(F.col("l_partkey") % 10 != 0, F.col("l_extendedprice")).alias("f_income"),
+            F.when(F.col("l_suppkey") % 20 == 0, F.col("l_linenumber")).otherwise(0).alias("f_late_count"))
+
     @cached_property
     def ab(self) -> DataFrame:
         return self.table("events").select(

@@ -8,6 +8,8 @@ import tempfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
 from mercata.functions.columns import ECOMMERCE_DDL_COLUMNS
@@ -69,8 +71,31 @@ def test_experiment_report_and_sink(spark):
 def test_scorecard_report_matches_queries(spark):
     from mercata.sources.fixtures import (APPLICANT_FEATURES, APPLICANT_IMPUTE, APPLICANT_KEY,
                                           APPLICANT_RANGES)
-    out = reports.scorecard_report(Fixtures(spark, SF_SMALL).applicants, list(APPLICANT_FEATURES), "target",
-                                   list(APPLICANT_KEY), list(APPLICANT_RANGES), list(APPLICANT_IMPUTE))
-    assert _rows(out["score_iv"]) == _rows(Q["iv_table"](spark, SF_SMALL))
-    assert _rows(out["score_auc"]) == _rows(Q["auc"](spark, SF_SMALL))
+    run = lambda rows: reports.scorecard_report(rows, list(APPLICANT_FEATURES), "target", list(APPLICANT_KEY),
+                                                list(APPLICANT_RANGES), list(APPLICANT_IMPUTE))
+    assert _rows(run(Fixtures(spark, SF_SMALL).applicants)["score_iv"]) == _rows(Q["iv_table"](spark, SF_SMALL))
+    # The model entries are over the stand-in whose default depends on several features.
+    out = run(Fixtures(spark, SF_SMALL).applicants_multi)
+    assert _rows(out["score_iv"]) == _rows(Q["multi_iv_table"](spark, SF_SMALL))
+    assert out["score_coefficients"].count() == 4
+    auc = {r.split: r.auc for r in out["score_auc"].collect()}
+    for r in Q["auc"](spark, SF_SMALL).collect():  # the query rounds scores
+        assert auc[r.split] == pytest.approx(r.auc, abs=1e-3)
     assert out["score_points"].count() == Q["scorecard_points"](spark, SF_SMALL).count()
+    assert out["score_roc"].filter("fpr = 0 and tpr = 0").count() == 2
+
+
+def test_scoring_after_ingest_in_one_session(spark):
+    """Ingest counts malformed rows on its way; scoring afterwards must not see a trace of that."""
+    from mercata.sources.ingest import ingest_tables
+    from mercata.sources.schemas import AB_SCHEMA
+    d = tempfile.mkdtemp(prefix="mercata-csv-")
+    with open(os.path.join(d, "effect.csv"), "w") as f:
+        f.write("1,100,0,x\n1,abc,1,x\n")
+    counts = ingest_tables(spark, d, tempfile.mkdtemp(prefix="mercata-pq-"), {"ab": ("effect.csv", AB_SCHEMA)}, header=False)
+    assert [tuple(r) for r in counts.collect()] == [("ab", 2, 1)]
+    observed = Observation()
+    spark.range(3).observe(observed, F.count(F.lit(1)).alias("n")).collect()
+    assert observed.get["n"] == 3
+    assert Q["predict"](spark, SF_SMALL).count() > 0
+    assert Q["overfit_gap"](spark, SF_SMALL).count() == 1
