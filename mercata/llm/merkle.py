@@ -132,7 +132,7 @@ def _tier(leaves: DataFrame, tier: int) -> DataFrame:
     marks = placed.groupBy("tree", "segment").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     if tier == 0:
         total = marks.groupBy("tree").agg(F.sum("c").alias("total"))
-        marks = marks.join(total.withColumnRenamed("tree", "_t"), F.col("tree") == F.col("_t")).withColumn("n", F.col("total"))
+        marks = marks.join(total.withColumnRenamed("tree", "_t").hint("merge"), F.col("tree") == F.col("_t")).withColumn("n", F.col("total"))
     marks = marks.select("tree", "segment", F.lit(-1).cast("long").alias("at"), F.lit(None).cast("string").alias("digest"), "n")
     dealt = (placed.unionByName(marks).repartition("tree", "segment").sortWithinPartitions("tree", "segment", "at")
              .select("tree", "segment", "at", "digest", "n"))
@@ -240,7 +240,8 @@ def _prove(base: DataFrame, segments: DataFrame, above: DataFrame, tier: int, co
     row and one path row go ahead of a segment's rows in its task.
     """
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    head = segments.join(above.withColumnsRenamed({"tree": "_t", "segment": "_s"}),
+    # Paths and segments are long for their compressed files' size: a merge join at any size.
+    head = segments.join(above.withColumnsRenamed({"tree": "_t", "segment": "_s"}).hint("merge"),
                          (F.col("tree") == F.col("_t")) & (F.col("segment") == F.col("_s")))
     head = head.select("tree", "segment", F.lit(-1).cast("long").alias("at"), "nodes", "n_segment", "n", "path", "roots",
                        *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])
@@ -265,7 +266,7 @@ def prove(base: DataFrame, tiers: list[DataFrame], above: DataFrame, columns: li
         t = tiers[k]
         # Tops of trees that end here go on at their tree's way; others at their place in the tier above.
         ends = t.filter(F.col("n") <= SPAN ** (k + 1)).select(F.col("tree").alias("_r"))
-        way = above.join(ends, F.col("tree") == F.col("_r")).select("tree", F.lit(0).cast("long").alias("segment"), "path", "roots")
+        way = above.join(ends.hint("merge"), F.col("tree") == F.col("_r")).select("tree", F.lit(0).cast("long").alias("segment"), "path", "roots")
         if ways is not None:
             way = way.unionByName(ways)
         if k == 0:
@@ -307,7 +308,7 @@ def manifest(df: DataFrame, key: str, group: str, fields: list[str], tampered: d
     # The tree over the groups: its leaves are the subroots in the groups' order.
     top = number_rows(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["tree"], ["name"], "merkle-top")
     top_tiers = append_log(top)
-    root = roots(top_tiers).select(F.lit("").alias("tree"), F.array().cast("array<string>").alias("path"), F.array("digest").alias("roots"))
+    root = roots(top_tiers).select("tree", F.array().cast("array<string>").alias("path"), F.array("digest").alias("roots"))
     way_schema = pa.schema([("tree", pa.string()), ("path", pa.list_(pa.string())), ("roots", pa.list_(pa.string()))])
     above = write_table(prove(top, top_tiers, root, ["name", "digest"], way_schema, "tree string, path array<string>, roots array<string>",
                               lambda r, p, up: (r[8], p, [r[9], *up])), "merkle-tops")
