@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.expressions import as_double, ordered_sum, ratio
-from mercata.functions.stats import chi2_sf_udf
+from mercata.functions.stats import chi2_sf
 
 EXP = "_experiment"
 
@@ -54,17 +54,25 @@ def arm_summary(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", expe
     return arm_readout(arm_counts(df, arm, outcome, experiment_id, positive), arm, control, experiment_id)
 
 
+#: Distinct outcomes that ``contingency`` looks up by itself.
+MOST_OUTCOMES = 1000
+
+
 def contingency(df: DataFrame, arm: str = "dmp_id", outcome: str = "click", values: Sequence | None = (0, 1),
                 experiment_id: str | None = None, arms: Sequence | None = None) -> DataFrame:
     """AB2: arm x outcome counts, one column ``n_<value>`` per outcome value and
     ``n_other`` for any other outcome; empty cells are 0, NULL outcomes are not
-    counted. ``values=None`` takes the outcomes that occur (an action). All arms
+    counted. ``values=None`` takes the outcomes that occur (an action; more than
+    ``MOST_OUTCOMES`` are refused). All arms
     present are kept (T21) unless ``arms`` names them.
     """
     if arms is not None:
         df = df.filter(F.col(arm).isin(list(arms)))
     if values is None:
-        values = sorted(r[0] for r in df.select(outcome).distinct().filter(F.col(outcome).isNotNull()).collect())
+        values = sorted(r[0] for r in df.select(outcome).distinct().filter(F.col(outcome).isNotNull())
+                        .limit(MOST_OUTCOMES + 1).collect())
+        if len(values) > MOST_OUTCOMES:
+            raise ValueError(f"{outcome!r} has more than {MOST_OUTCOMES} outcomes: name the values to count")
     cells = [F.count_if(F.col(outcome) == v).alias(f"n_{v}") for v in values]
     other = F.count_if(F.col(outcome).isNotNull() & ~F.col(outcome).isin(list(values))).alias("n_other")
     g = df.groupBy(*_keys(experiment_id), F.col(arm).alias(arm)).agg(*cells, other)
@@ -128,7 +136,7 @@ def chi_square_test(table: DataFrame, arm: str = "dmp_id", values: Sequence | No
                     alpha: float = 0.05, experiment_id: str | None = None) -> DataFrame:
     """AB3 with p-values (upper chi-square tail) and the significance flag."""
     chi = chi_square(table, arm, values, correction, experiment_id)
-    tail = lambda c: F.nanvl(chi2_sf_udf(F.col(c), as_double("dof")), F.lit(None).cast("double"))
+    tail = lambda c: chi2_sf(F.col(c), F.col("dof"))
     return chi.select("*", tail("chi2").alias("p_value"), tail("chi2_uncorrected").alias("p_value_uncorrected")
                       ).withColumn("significant", F.col("p_value") < alpha)
 
