@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mercata.functions.columns import CUSTOMERS, ORDERS, REVIEWS, conform
 from mercata.functions.expressions import as_double, equal_width_histogram, pct, ratio
-from mercata.operators.growth import order_categories
+from mercata.operators.growth import product_dimension
 
 Cols = Mapping[str, str] | None
 
@@ -227,13 +227,15 @@ def delay_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
     """Per category delay rate, mean score, delivery days over the
     items x reviews fan-out (T7), categories with more than ``min_orders``
     distinct orders."""
-    per_oc = order_categories(orders, items, products, translation, status, cols, item_cols, product_cols,
-                              translation_cols).select("order_id", "category", "n_items")
     rd = reviewed_deliveries(orders, reviews, status, cols, review_cols)
-    j = per_oc.join(rd, "order_id")
-    facts = j.select("category", *_delay_facts(j, F.col("n_items"), by))
-    g = facts.groupBy("category").agg(F.count(F.lit(1)).alias("order_count"),
-                                      *[F.sum(c).alias(c) for c in _SUMS])
+    facts = rd.select("order_id", *_delay_facts(rd, F.lit(1), by))
+    # Everything keyed on the order meets first (no shuffle between tables bucketed by it), then the products.
+    per_op = conform(items, ("order_id", "product_id"), item_cols).groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+    dim = product_dimension(products, translation, product_cols, translation_cols)
+    per_oc = (per_op.join(facts, "order_id").join(dim, "product_id").groupBy("category", "order_id")
+              .agg(F.sum("n").alias("n_items"), *[F.max(c).alias(c) for c in _SUMS]))
+    g = per_oc.groupBy("category").agg(F.count(F.lit(1)).alias("order_count"),
+                                       *[F.sum(F.col("n_items") * F.col(c)).alias(c) for c in _SUMS])
     return (_delay_metrics(g, "category").filter(F.col("order_count") > min_orders))
 
 

@@ -1,5 +1,7 @@
 """DuckDB oracle SQL for the delivery operators."""
 
+from mercata.sources.tables import TEST_TABLES
+
 DUR = """dur as (
   select order_id,
     datesub('hour', purchase_ts, approved_ts) as approval_hours,
@@ -110,6 +112,7 @@ from judged join baskets using (order_id) group by all having order_count > 200"
 select delay_severity, severity_rank, count(*) as order_count,
   cast(sum(points) as double) / cast(sum(n_scored) as double) as avg_score, {_share('sum(bad)', 'sum(n)')} as bad_rate_pct
 from judged join bands on coalesce(late_days > above, true) and coalesce(late_days <= upto, true) group by all""",
+    "stored_row_counts": "\nunion all ".join(f"select '{t}' as table_name, count(*) as row_count from {t}" for t in TEST_TABLES),
     "table_row_counts": """
 select 'customers' as table_name, count(*) as row_count from fx_customers
 union all select 'orders', count(*) from fx_orders

@@ -6,6 +6,7 @@ own tables; parameters are the fixture parameters from ``sources.fixtures``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from mercata.session import materialize
 from mercata.sources.fixtures import (
     APPLICANT_FEATURES, APPLICANT_IMPUTE, APPLICANT_KEY, APPLICANT_RANGES, AS_OF, COHORT_CUTOFF, Fixtures,
 )
+from mercata.sources.tables import TEST_TABLES, stored_row_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,6 +219,12 @@ def q_table_row_counts(fx):
         "category_translation": fx.translation})
 
 
+@query("stored_row_counts")
+def q_stored_row_counts(fx):
+    """Row counts of all stored tables, from the Parquet footers."""
+    return stored_row_counts(fx.spark, {t: os.path.join(fx.sf_dir, f"{t}.parquet") for t in TEST_TABLES})
+
+
 @query("data_quality_checks")
 def q_data_quality_checks(fx):
     return d.data_quality_checks(fx.orders, fx.reviews)
@@ -340,6 +348,15 @@ def q_group_preference_extremes(fx):
     return c.group_preference_extremes(_preference(fx), k=8)
 
 
+# Display labels of the stand-in's payment types; one is left to its code.
+FIXTURE_PAYMENT_LABELS = {"1-URGENT": "Urgent", "2-HIGH": "High", "3-MEDIUM": "Medium", "5-LOW": "Low"}
+
+
+@query("group_payment_mix_labelled")
+def q_group_payment_mix_labelled(fx):
+    return c.group_payment_mix(fx.orders, fx.payments, _segmented(fx), labels=FIXTURE_PAYMENT_LABELS)
+
+
 @query("group_payment_mix")
 def q_group_payment_mix(fx):
     return c.group_payment_mix(fx.orders, fx.payments, _segmented(fx))

@@ -20,13 +20,14 @@ from mercata.operators import experiment as x
 from mercata.operators import growth as g
 from mercata.operators import scorecard as sc
 from mercata.session import materialize
+from mercata.sources.ingest import MALFORMED
 
 Tables = Mapping[str, DataFrame]
 
 
 def read_tables(spark: SparkSession, tables_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    """Parquet tables written by ``sources.ingest.ingest_tables``."""
-    return {n: spark.read.parquet(os.path.join(tables_dir, n)) for n in names}
+    """Parquet tables written by ``sources.ingest.ingest_tables`` (``sources.catalog.read_tables`` reads versioned ones)."""
+    return {n: spark.read.parquet(os.path.join(tables_dir, n)).drop(MALFORMED) for n in names}
 
 
 def growth_report(t: Tables, cols: Mapping[str, str] = ECOMMERCE_DDL_COLUMNS) -> dict[str, DataFrame]:
