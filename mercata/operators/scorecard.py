@@ -82,6 +82,24 @@ def _in_bin(value: Column, bin_: Column, lo: Column, hi: Column) -> Column:
     return ((value > lo) | ((bin_ == 0) & (value >= lo))) & (value <= hi)
 
 
+def _double(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def _bin_number(v: str, rows: Sequence[Row]) -> str:
+    """SQL for the number of the bin that holds ``v``, NULL outside all of them.
+
+    Bins that follow on one another, as quantile bins do, are counted off:
+    short code that the JVM compiles; others are tested one by one.
+    """
+    following = all(a["hi"] == b["lo"] and a["bin"] + 1 == b["bin"] for a, b in zip(rows, rows[1:])) and rows[0]["bin"] == 0
+    if following:
+        steps = "".join(f" + cast({v} > {_double(r['hi'])} as int)" for r in rows[:-1])
+        return f"if({v} >= {_double(rows[0]['lo'])} and {v} <= {_double(rows[-1]['hi'])}, 0{steps}, null)"
+    return "case " + " ".join(f"when ({v} > {_double(r['lo'])} or ({r['bin']} = 0 and {v} >= {_double(r['lo'])})) and {v} <= {_double(r['hi'])} then {r['bin']}"
+                              for r in rows) + " end"
+
+
 #: Cells counted by one aggregation; more features than fit take another one over the same scan.
 CELLS_AT_ONCE = 200
 
@@ -106,19 +124,13 @@ def _bin_counts(df: DataFrame, bins: Sequence[Row], target: str, features: set[s
     for group in groups:
         numbers, cells = [], []
         for i, (feature, rows) in enumerate(group):
-            v, number = as_double(feature), None
-            for r in rows:
-                hit = _in_bin(v, F.lit(r["bin"]), F.lit(r["lo"]), F.lit(r["hi"]))
-                number = F.when(hit, r["bin"]) if number is None else number.when(hit, r["bin"])
-            numbers.append(number.alias(f"b{i}"))
+            numbers.append(f"{_bin_number(f'cast(`{feature}` as double)', rows)} as b{i}")
             for r in rows:
-                here = F.col(f"b{i}") == r["bin"]
-                cells.append(F.struct(F.lit(feature).alias("feature"), F.lit(r["bin"]).cast("int").alias("bin"), F.lit(r["lo"]).alias("lo"),
-                                      F.lit(r["hi"]).alias("hi"), F.count_if(here).alias("count"),
-                                      F.sum(F.when(here, F.col("y"))).cast("bigint").alias("bad")).alias(f"c{len(cells)}"))
+                cells.append(f"named_struct('feature', '{feature}', 'bin', {r['bin']}, 'lo', {_double(r['lo'])}, 'hi', {_double(r['hi'])}, "
+                             f"'count', count_if(b{i} = {r['bin']}), 'bad', cast(sum(if(b{i} = {r['bin']}, y, null)) as bigint)) as c{len(cells)}")
         if not cells:
             continue
-        one = df.select(F.col(target).alias("y"), *numbers).agg(*cells)
+        one = df.selectExpr(f"`{target}` as y", *numbers).agg(*[F.expr(c) for c in cells])
         t = one.unpivot([], [f"c{k}" for k in range(len(cells))], "k", "c").select("c.*").filter("count > 0")
         out = t if out is None else out.unionByName(t)
     if out is None:
@@ -135,7 +147,8 @@ def woe_table(df: DataFrame, bins: DataFrame, target: str, features: Sequence[st
     ``drop`` leaves such bins out. ``bins`` (at most q rows a feature) is read
     to the driver and becomes tests in the one aggregation over ``df``.
     """
-    g = _bin_counts(df, bins.select("feature", "bin", "lo", "hi").orderBy("feature", "bin").collect(), target, set(features))
+    spec = sorted(bins.select("feature", "bin", "lo", "hi").collect(), key=lambda r: (r["feature"], r["bin"]))
+    g = _bin_counts(df, spec, target, set(features))
     g = g.withColumn("good", F.col("count") - F.col("bad"))
     if policy == "drop":
         g = g.filter((F.col("bad") > 0) & (F.col("good") > 0))
@@ -222,12 +235,15 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test: float
     if len(classes) > MOST_CLASSES:
         raise ValueError(f"an exact split is by at most {MOST_CLASSES} classes; {target!r} has more")
     # The last test row's hash per class, null-safe: rows without a target form a class of their own.
-    of = {str(i): F.col(target).eqNullSafe(F.lit(c)) for i, c in enumerate(classes)}
-    last = select_ranks(df, {i: F.when(is_, h) for i, is_ in of.items()}, lambda n: [F.ceil(n * F.lit(float(test))) - 1])
+    which = F.lit(None).cast("int")
+    for i, c in enumerate(classes):
+        which = F.when(F.col(target).eqNullSafe(F.lit(c)), i).otherwise(which)
+    last = select_ranks(df.select(which.alias("f"), h.alias("code"), F.lit(1).alias("c")), [str(i) for i in range(len(classes))],
+                        [f"ceil({{n}} * {float(test)!r}D) - 1"])
     cut = F.lit(None).cast("bigint")
-    for i, is_ in of.items():
-        code = last[i][1][0] if i in last else None
-        cut = F.when(is_, F.lit(-1 if code is None else code).cast("bigint")).otherwise(cut)
+    for i, c in enumerate(classes):
+        code = last[str(i)][1][0] if str(i) in last else None
+        cut = F.when(F.col(target).eqNullSafe(F.lit(c)), F.lit(-1 if code is None else code).cast("bigint")).otherwise(cut)
     return df.select("*", F.when(h <= cut, "test").otherwise("train").alias("split"))
 
 

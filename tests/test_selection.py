@@ -25,10 +25,10 @@ def test_code_is_the_bits_of_every_kind_of_double(spark):
     xs += [struct.unpack(">d", r.randbytes(8))[0] for _ in range(5000)]
     xs = [x for x in xs if not math.isnan(x)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    for row in df.select("x", order_code("x").alias("code")).collect():
+    for row in order_code(df, "x", ["x"]).collect():
         assert row.code == _bits(row.x), row.x
         assert decode(row.code) == row.x
-    assert [r.c for r in spark.createDataFrame([(None,), (math.nan,)], "x double").select(order_code("x").alias("c")).collect()] == [None, None]
+    assert [r.c for r in order_code(spark.createDataFrame([(None,), (math.nan,)], "x double"), "x", code="c").collect()] == [None, None]
 
 
 def test_quantiles_match_numpy(spark):
@@ -49,7 +49,7 @@ def test_weights_empty_columns_and_ties(spark):
     df = spark.createDataFrame([(1, 3, None), (2, 1, None), (10, 2, None)], "v int, c long, e double")
     assert quantiles(df, ["v", "e"], [0.5], count="c") == {"v": [1.5], "e": [None]}
     assert quantiles(df.filter("v > 99"), ["v"], [0.5, 1.0]) == {"v": [None, None]}
-    ranks = select_ranks(df, {"v": F.col("v").cast("bigint")}, lambda n: [F.lit(0), n - 1, n])
+    ranks = select_ranks(df.select(F.lit(0).alias("f"), F.col("v").cast("bigint").alias("code"), F.lit(1).alias("c")), ["v"], ["0", "{n} - 1", "{n}"])
     assert ranks == {"v": (3, [1, 10, None])}
 
 
