@@ -7,6 +7,7 @@ own tables; parameters are the fixture parameters from ``sources.fixtures``.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,14 @@ from mercata.operators import delivery as d
 from mercata.operators import experiment as x
 from mercata.operators import growth as g
 from mercata.operators import scorecard as s
-from mercata.session import materialize
+from mercata.functions.columns import ECOMMERCE_DDL_COLUMNS
+from mercata.session import ensure_checkpoint_dir, materialize
+from mercata.sources.catalog import load_tables, read_tables
 from mercata.sources.fixtures import (
     APPLICANT_FEATURES, APPLICANT_IMPUTE, APPLICANT_KEY, APPLICANT_RANGES, AS_OF, COHORT_CUTOFF, Fixtures,
 )
+from mercata.sources.ingest import normalize_text, read_csv
+from mercata.sources.schemas import AB_SCHEMA, APPLICANT_SCHEMA, ECOMMERCE_SCHEMAS
 from mercata.sources.tables import TEST_TABLES, stored_row_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,3 +580,99 @@ def q_ks(fx):
 @query("overfit_gap")
 def q_overfit_gap(fx):
     return s.overfit_gap(s.auc(_predictions(fx), label=TARGET, score="score", group="split"))
+
+
+# ------------------------------------------------------------------ ingest
+# The given tables as the CSV files that a user has: written by Spark, then loaded as any source is.
+
+def _csv(df: DataFrame, path: str | None = None, header: bool = True, quote_all: bool = False) -> str:
+    path = path or f"{ensure_checkpoint_dir(df.sparkSession)}/mercata-csv-{uuid.uuid4().hex}"
+    (df.write.option("header", header).option("quote", '"').option("escape", '"').option("quoteAll", quote_all)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def _with_ddl(df: DataFrame, table: str) -> DataFrame:
+    """``df`` in the column order of the DDL, missing columns empty."""
+    return df.select([F.col(f.name) if f.name in df.columns else F.lit(None).cast("string").alias(f.name) for f in ECOMMERCE_SCHEMAS[table].fields])
+
+
+def _source_reviews(fx: Fixtures) -> DataFrame:
+    """Reviews whose messages hold line breaks, quotes and commas; every seventh title is an empty string."""
+    li = fx.table("lineitem").filter(F.col("l_returnflag") != "N")
+    return _with_ddl(li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"), F.col("l_orderkey").cast("string").alias("order_id"),
+        (F.lit(6) - F.ceil(F.col("l_quantity") / 10)).cast("int").alias("review_score"),
+        F.when(F.col("l_partkey") % 7 == 0, "").otherwise(F.concat(F.lit("Part "), "l_partkey")).alias("review_comment_title"),
+        F.concat(F.lit('said "'), "l_returnflag", F.lit('",\nthen,\n"'), F.col("l_suppkey"), F.lit('"')).alias("review_comment_message")), "order_reviews")
+
+
+def _source_orders(fx: Fixtures) -> DataFrame:
+    """Orders with their states in capitals and padded, as a case-insensitive database may hold them."""
+    o = fx.orders.withColumnsRenamed(ECOMMERCE_DDL_COLUMNS)
+    return _with_ddl(o.withColumn("order_status", F.concat(F.upper("order_status"), F.lit("  "))), "orders")
+
+
+def _source_items(fx: Fixtures) -> DataFrame:
+    """Order items, some with an item number that is none."""
+    bad = F.when(F.col("order_id") % 101 == 0, "x").otherwise(F.col("order_item_id").cast("string"))
+    return _with_ddl(fx.items.withColumn("order_item_id", bad), "order_items")
+
+
+def _loaded(fx: Fixtures, **sources: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(counts, tables) of CSV copies of ``sources``, loaded as one version."""
+    spark, root = fx.spark, f"{ensure_checkpoint_dir(fx.spark)}/mercata-tables-{uuid.uuid4().hex}"
+    folder = f"{root}/csv"
+    for name, df in sources.items():
+        _csv(df, f"{folder}/{name}", quote_all=name == "order_reviews")
+    registry = {n: (n, ECOMMERCE_SCHEMAS[n]) for n in sources}
+    counts = load_tables(spark, folder, root, registry, {"orders": normalize_text(["order_status"])}, buckets=8)
+    return counts, read_tables(spark, root)
+
+
+@query("ingest_counts")
+def q_ingest_counts(fx):
+    """Rows and malformed rows of three tables loaded from CSV."""
+    return _loaded(fx, orders=_source_orders(fx), order_items=_source_items(fx), order_reviews=_source_reviews(fx))[0]
+
+
+@query("ingest_reviews")
+def q_ingest_reviews(fx):
+    """Values with line breaks, quotes and commas come back whole; empty ones as NULL."""
+    t = _loaded(fx, order_reviews=_source_reviews(fx))[1]["order_reviews"]
+    return t.select("review_id", "order_id", "review_score", "review_comment_title", "review_comment_message")
+
+
+@query("ingest_orders")
+def q_ingest_orders(fx):
+    """Typed timestamps, and a transform on the way in."""
+    t = _loaded(fx, orders=_source_orders(fx))[1]["orders"]
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return t.select("order_id", "customer_id", "order_status", at("order_purchase_timestamp"), at("order_delivered_customer_date"))
+
+
+@query("ingest_items")
+def q_ingest_items(fx):
+    """Decimal money; what does not parse is NULL and its row stays."""
+    t = _loaded(fx, order_items=_source_items(fx))[1]["order_items"]
+    return t.select("order_id", "order_item_id", "product_id", F.col("price").cast("double").alias("price"))
+
+
+@query("ingest_headerless")
+def q_ingest_headerless(fx):
+    """A file without header under given names."""
+    path = _csv(fx.ab.select("dmp_id", "user_id", "click", F.lit("x").alias("flag")), header=False)
+    return read_csv(fx.spark, path, AB_SCHEMA, header=False).select("dmp_id", "user_id", "click")
+
+
+@query("ingest_indexed")
+def q_ingest_indexed(fx):
+    """Applicants whose first column is a row index; missing incomes stay missing."""
+    a = fx.applicants
+    names = [f.name for f in APPLICANT_SCHEMA.fields]
+    given = {"row_id": F.col("l_orderkey"), "SeriousDlqin2yrs": F.col("target"), "RevolvingUtilizationOfUnsecuredLines": F.col("f_utilisation"),
+             "DebtRatio": F.col("f_debt"), "MonthlyIncome": F.col("f_income"), "NumberOfTimes90DaysLate": F.col("f_late_count")}
+    path = _csv(a.select([given.get(n, F.lit(None).cast("string")).alias(n) for n in names]))
+    t = read_csv(fx.spark, path, APPLICANT_SCHEMA)
+    return t.select("row_id", F.col("SeriousDlqin2yrs").alias("bad"), F.col("RevolvingUtilizationOfUnsecuredLines").alias("utilisation"),
+                    F.col("DebtRatio").alias("debt"), F.col("MonthlyIncome").alias("income"), F.col("NumberOfTimes90DaysLate").alias("late"))
