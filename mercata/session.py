@@ -81,6 +81,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Folders that ``write_table`` has filled since they were last cleared.
+_WRITTEN: list[str] = []
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Hadoop's file system, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Delete every table that this process has written with ``write_table``; their number.
+
+    For long sessions, between reports: DataFrames that were built on these
+    tables and not stored elsewhere can no longer be read.
+    """
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        delete_folder(spark, _WRITTEN.pop())
+    return n
+
+
 def write_table(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it.
 
@@ -88,6 +110,7 @@ def write_table(df: DataFrame, label: str = "table") -> DataFrame:
     and later readers prune columns and push filters into the scan.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/mercata-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -98,8 +121,7 @@ def drop_table(df: DataFrame) -> None:
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
         if "/mercata-" not in folder:
             raise ValueError(f"not a table of write_table: {folder}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_folder(spark, folder)
 
 
 def release_shuffles(spark: SparkSession) -> None:

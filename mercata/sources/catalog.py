@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mercata.session import delete_folder
 from mercata.sources.ingest import MALFORMED, Transform, read_source, stored_counts
 
 _MANIFEST = ("version long, load string, table_name string, path string, row_count long, bad_rows long, bucket_key string, buckets int, "
@@ -104,8 +105,6 @@ def read_tables(spark: SparkSession, root: str, names: Iterable[str] | None = No
 def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     """Delete the data of all but the ``keep`` newest versions that no reader needs any more; returns their load ids."""
     loads = [r["load"] for r in _manifest(spark, root).select("version", "load").distinct().orderBy(F.desc("version"), F.desc("load")).collect()]
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
     for load in loads[keep:]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/{load}")
-        path.getFileSystem(conf).delete(path, True)
+        delete_folder(spark, f"{root}/data/{load}")
     return loads[keep:]

@@ -112,3 +112,13 @@ def test_intermediates_are_pruned_scans_and_need_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_written_tables_can_be_cleared(spark):
+    from mercata import session
+    session.clear_tables(spark)
+    tables = [session.materialize(spark.range(n)) for n in (3, 4)]
+    folders = {os.path.dirname(f).removeprefix("file:") for t in tables for f in t.inputFiles()}
+    assert all(map(os.path.isdir, folders)) and len(folders) == 2
+    assert session.clear_tables(spark) == 2 and not any(map(os.path.exists, folders))
+    assert session.clear_tables(spark) == 0
