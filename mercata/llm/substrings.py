@@ -26,6 +26,7 @@ GROUP = 6
 SHARD_BYTES = 8 << 20
 #: Distinct segments of one anchor beyond which its windows are dealt one by one.
 CROWDED = 1000
+_RUN = 4096  # windows around one anchor are fewer
 
 
 def anchors(words: np.ndarray, window: int, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +64,12 @@ def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, th, s, e): word spans to remove from ``docs`` (id, th, text; see ``_documents``), maybe overlapping."""
+    """(id, th, spans): word spans (s, e) to remove from ``docs`` (id, th, text; see ``_documents``), maybe overlapping.
+
+    One row a document; rows repeated with one id and text are one document.
+    """
+    if window >= _RUN:
+        raise ValueError(f"a window has fewer than {_RUN} words")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
@@ -182,17 +188,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield from close(rows)
 
     found = indexed.mapInArrow(search, "id long, th long, s long, e long")
-    # Segments seen before, whole: all their windows start earlier at the first occurrence.
-    # (Both sides of these joins are plain scans, which adaptive execution splits when skewed.)
-    def repeats(rows: DataFrame, least: DataFrame, words: Column) -> DataFrame:
-        first = least.select("c1", "c2", *[F.col(c).alias(f"_{c}") for c in ("id", "th", "at")])
-        here = F.struct("id", "th", "at") != F.struct("_id", "_th", "_at")
-        return rows.join(first, ["c1", "c2"]).filter(here).select("id", "th", F.col("at").alias("s"), (F.col("at") + words).alias("e"))
-
-    later = repeats(segments.select("c1", "c2", "id", "th", "at", "n"), distinct, F.col("n") + (window - 1))
+    # Segments seen before, whole: all their windows start earlier at the first occurrence. A document's later
+    # occurrences are its own less those that came first, so both sides meet on the document, once.
+    def later(rows: DataFrame, least: DataFrame) -> DataFrame:
+        sets = [t.groupBy("id", "th").agg(F.collect_set(F.col("at") * _RUN + F.col("n")).alias(c)) for t, c in ((rows, "own"), (least, "first"))]
+        left = F.array_except("own", F.coalesce("first", F.array().cast("array<long>")))
+        spans = F.transform(left, lambda x: F.struct(F.floor(x / _RUN).alias("s"), (F.floor(x / _RUN) + x % _RUN + (window - 1)).alias("e")))
+        return sets[0].join(sets[1], ["id", "th"], "left").filter(F.size(left) > 0).select("id", "th", spans.alias("spans"))
+
+    runs = F.floor(F.length("words") / 4) - (window - 1)
+    whole = later(segments.select("id", "th", "at", "n"), distinct.select("id", "th", "at", runs.alias("n")))
     # The same for single windows of crowded anchors.
-    again = repeats(every_single.select("c1", "c2", "id", "th", "at"), singles, F.lit(window))
-    spans = write_table(found.unionByName(later).unionByName(again), "sub-spans")
+    one = F.lit(1).cast("long").alias("n")
+    single = later(every_single.select("id", "th", "at", one), singles.select("id", "th", "at", one))
+    # At most one row a document from each source.
+    found = found.groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = write_table(found.unionByName(whole).unionByName(single).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")),
+                        "sub-spans")
     for table in (repeated, hits, segments, distinct, crowded, every_single, singles):
         drop_table(table)
     release_shuffles(spark)
@@ -213,7 +225,7 @@ def _kept(text: str, spans) -> tuple[int, list[bytes]]:
 
 def _with_spans(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """``df`` with a last column of its rows' spans to remove."""
-    spans = repeated_spans(_documents(df, key, text), window).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(_documents(df, key, text), window)
     spans = spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     rows = df.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("__id"),
                      F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th"))

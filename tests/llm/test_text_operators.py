@@ -88,6 +88,21 @@ def test_bpe_equals_the_library(spark):
         want[i, tuple(e), lib.decode(e, skip_special_tokens=False)] += 1
     assert got == want
     assert bpe.encode(no_documents(spark), "doc_id", "text", PATH).count() == 0
+    both = bpe.encode_and_decode(docs, "doc_id", "text", PATH).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in both) == got
+    assert bpe.encode_and_decode(no_documents(spark), "doc_id", "text", PATH).count() == 0
+
+
+def test_bpe_cache_of_two_parts(monkeypatch):
+    """Words that leave the cache and come back have the same ids, and no more words are held than two parts."""
+    with open(PATH, encoding="utf-8") as f:
+        model = bpe.Model(f.read())
+    words = [f"word{i % 37}x{i % 11}" for i in range(2000)]
+    want = [bpe.Encoder(model).encode(w) for w in words]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    encoder = bpe.Encoder(model)
+    assert [encoder.encode(w) for w in words] == want
+    assert len(encoder) <= 20 and len(encoder.older) <= 20
 
 
 def test_bpe_streams_like_the_library():
@@ -326,6 +341,19 @@ def test_removal_equals_brute_force(spark):
     assert substrings.remove_repeats(no_documents(spark), "doc_id", "text").count() == 0
 
 
+def test_substrings_of_rows_repeated_often(spark):
+    """Thousands of equal rows that repeat an earlier document carry the spans of one, and lose what one loses."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage), *[(2, f"own start {passage}")] * 2000]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    documents_ = substrings._documents(df, "id", "text")
+    once = {r.id: sorted(map(tuple, set(r.spans))) for r in substrings.repeated_spans(documents_.distinct()).collect()}
+    many = {r.id: r.spans for r in substrings.repeated_spans(documents_).collect()}
+    assert {k: sorted(map(tuple, set(v))) for k, v in many.items()} == once and len(many[2]) <= 2 * len(once[2]) and set(many) == {2}
+    kept = Counter(tuple(r) for r in substrings.remove_repeats(df, "id", "text").collect())
+    assert kept == {(1, 60, 0, passage): 1, (2, 62, 60, "own start"): 2000}
+
+
 def test_crowded_anchors_deal_single_windows(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CROWDED", 1)
     monkeypatch.setattr(substrings, "SHARD_BYTES", 20_000)
