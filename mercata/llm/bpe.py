@@ -35,8 +35,8 @@ from tokenizers import Tokenizer
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Larger than any rank and id.
 NEVER = 1 << 62
-#: Words held per task; the cache starts anew beyond.
-CACHE_WORDS = 300_000
+#: Words held per task in the cache's younger part; when it is full it becomes the older part, whose words go unless used again.
+CACHE_WORDS = 200_000
 #: Rows handled between two output batches.
 SLICE = 512
 
@@ -199,8 +199,20 @@ class Encoder(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.short = model, max(64, model.lookahead)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self.merged(word)
+        if len(word) <= self.short:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def merged(self, word: bytes) -> bytes:
         m, out = self.model, array("i")
         text = word.decode()
         if text.isascii():
@@ -219,12 +231,7 @@ class Encoder(dict):
                 out.extend(stream.feed(m.first[b] for b in data[:-1]))
                 out.extend(stream.feed([m.last[data[-1]]]))
                 out.extend(stream.finish())
-        ids = out.tobytes()
-        if len(word) <= self.short:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return out.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text; special tokens' strings give their ids, as in the library."""
@@ -298,6 +305,33 @@ def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
             .withColumnRenamed("key", key))
 
 
+def encode_and_decode(df: DataFrame, key: str, text: str, path: str, mode: str = "tokens") -> DataFrame:
+    """(key, ids array<int>, decoded) per input row, in one pass: what ``decode`` of ``encode`` gives.
+
+    Null and empty texts give an empty list and ''; an empty table gives no
+    rows; long texts are decoded piece by piece.
+    """
+    spec, kind = _shared(df, path), df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        model = Model(spec.value)
+        encoder, decoder = Encoder(model), Decoder(model, mode)
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                part, ids, texts = batch.slice(a, SLICE), [], []
+                for t in part.column(1).to_pylist():
+                    found = encoder.encode(t)
+                    ids.append(found)
+                    flat = np.frombuffer(found, np.int32)
+                    texts.append("".join([*(decoder.feed(flat[i : i + 65_536].tolist()) for i in range(0, len(flat), 65_536)), decoder.finish()]))
+                ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], ["key", "ids", "decoded"])
+
+    return (df.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, ids array<int>, decoded string")
+            .withColumnRenamed("key", key))
+
+
 def decode(df: DataFrame, ids: str, path: str, mode: str = "tokens") -> DataFrame:
     """``df`` with a column ``decoded`` (replacing one of that name); null ids decode to ''."""
     spec = _shared(df, path)

@@ -24,8 +24,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", path)
-    return bpe.decode(ids, "ids", path).select(
+    return bpe.encode_and_decode(read_table(spark, sf_dir, "documents"), "doc_id", "text", path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -214,3 +214,55 @@ def test_pipeline_stages(spark):
     ids = [r.doc_id for r in out["packing"].collect()]
     assert sorted(ids) == sorted(r.doc_id for r in out["substring_dedup"].collect())
     assert corpus_pipeline.run(spark, SF).count() == len(ids)
+
+
+def _stage_input(spark):
+    """The smallest documents table with nulls, empty and very long texts, repeated rows and a clashing column or two."""
+    from llm.helpers import texts
+    given = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    odd = [(100_000 + i, t, "en", "s", None) for i, t in enumerate(texts())]
+    odd += [odd[10], odd[10], (None, "no id " * 30, None, None, 3), (None, None, None, None, None), (7_000_000, "w " * 60_000, "en", "s", 1)]
+    clash = spark.createDataFrame([(*r, 1, "x", 0.5) for r in given + odd], "doc_id long, text string, lang string, source string, n_chars long, "
+                                  "id long, fp string, score double")
+    return given + odd, clash.repartition(5)
+
+
+def test_near_dedup_stage_equals_brute_force(spark):
+    """Fingerprints by the contract's words, all pairs compared: what stays is each component's smallest id."""
+    from llm.test_text_operators import brute_fingerprint, by_brute_force
+    rows, docs = _stage_input(spark)
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    keyed = list({r[0]: r for r in rows if r[0] is not None}.values())
+    names = by_brute_force([r[0] for r in keyed], [brute_fingerprint(r[1]) for r in keyed])
+    want = sorted({names[k] for k in names} if isinstance(names, dict) else set(names))
+    got = [r.doc_id for r in out.collect()]
+    assert sorted(x for x in got if x is not None) == want and got.count(None) == 2
+
+
+def test_quality_stage_follows_the_scores(spark):
+    """What stays is what the scores of the classifier's own query say, row by row; odd rows have a result."""
+    from mercata.llm import quality
+    rows, docs = _stage_input(spark)
+    out = corpus_pipeline.quality(spark, docs, SF)
+    assert out.columns == docs.columns
+    scores = {}
+    for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet"), "doc_id", "text", "quality").collect():
+        scores.setdefault(r.doc_id, []).append(r.score >= quality.THRESHOLD)
+    kept = Counter(r.doc_id for r in out.collect())
+    assert kept == Counter({k: sum(v) for k, v in scores.items() if sum(v)})
+    assert 0 < sum(kept.values()) < len(rows)
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    rows, docs = _stage_input(spark)
+    cut = corpus_pipeline.substring_dedup(spark, docs, SF)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    short = Counter(r[:2] for r in rows if r[1] is None or len(r[1].split()) < 20)
+    assert short == Counter((r.doc_id, r.text) for r in cut.collect() if (r.doc_id, r.text) in short)
+    packed = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in packed) == Counter(r[0] for r in rows)
+    assert all(0 <= r.padding for r in packed)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
