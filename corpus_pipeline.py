@@ -13,29 +13,46 @@ from mercata.llm.text import word_count
 from mercata.session import write_table
 from mercata.sources.tables import read_table
 
-#: Near copies: shingles of five words, a similarity (Jaccard) of 0.8. At 0.8 two fingerprints of
-#: 8 x 64 bits differ in about 76 bits, give or take 8; distances up to this one count as copies.
-SHINGLE, FINGERPRINT_WORDS, MOST_BITS = 5, 8, 80
+#: The contract of SimHash near-dedup: shingles of three words, one 64-bit fingerprint, at most 3 differing bits.
+SHINGLE, FINGERPRINT_WORDS, MOST_BITS = 3, 1, 3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
+    """Documents that the positive-unlabelled classifier rejects go.
+
+    Null and empty texts are scored as empty ones; repeated rows share their
+    score; without documents there are no rows, and without labels nothing is
+    known and every row stays.
+    """
     return _quality.keep_good(docs, read_table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    """One document of each group stays: the one with the smallest doc_id.
+
+    Documents whose fingerprints differ in at most ``MOST_BITS`` bits are
+    linked; null and empty texts have fingerprint zero and are one group. Rows
+    of one doc_id count as one document, rows without a doc_id stay.
+    """
     return _simhash.keep_first(docs, "doc_id", "text", SHINGLE, FINGERPRINT_WORDS, MOST_BITS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages of 20 words or more that also stand earlier go from the text; n_chars follows."""
+    """Words of passages of 20 words or more that also stand earlier go from the text; n_chars follows.
+
+    Null, empty and short texts stay as they are; rows equal in doc_id and text
+    are one document and lose the same.
+    """
     out = _substrings.strip_repeats(docs, "doc_id", "text")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches of every document that is left."""
+    """Length buckets and token-budget batches of every document that is left.
+
+    Null and empty texts have length 0 and take the smallest bucket; a text
+    longer than the budget is a batch alone; repeated rows are rows of their own.
+    """
     return _packing.pack(docs, "doc_id", word_count(F.col("text")))
 
 
