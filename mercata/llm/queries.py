@@ -144,4 +144,51 @@ named as (select vec_id, min(other) as component_id from reach group by vec_id),
 counted as (select a as vec_id, count(*) as n_links from links group by a)
 select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
 from named left join counted using (vec_id)""",
+    # Eight rounds a byte give the CRC-32 of the decimal id. The trees grow level by level; a node's siblings are its run's
+    # others, and a leaf is folded with them up to its subroot and on to the root.
+    "op13_merkle": """
+with recursive d as (
+  select *, doc_id is not null and xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)),
+      lambda c, b: list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint),
+    4294967295) % 3 = 0 as hit from documents),
+e as (
+  select doc_id, coalesce('=' || lang, '') as tree,
+    coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head, text,
+    case when hit then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as tampered from d),
+leaves as (
+  select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) as other from e),
+placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n from leaves),
+nodes as (
+  select tree, 0 as level, i, n, leaf as h from placed
+  union all
+  select tree, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from nodes where n > 1 group by tree, level, i // 8, n),
+subroots as (
+  select tree, h as subroot, row_number() over (order by tree) - 1 as i, count(*) over () as n from nodes where n = 1),
+tops as (
+  select 0 as level, i, n, subroot as h from subroots
+  union all
+  select level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from tops where n > 1 group by level, i // 8, n),
+sib as (
+  select a.tree, a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l,
+    coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+  from nodes a join nodes b on a.tree = b.tree and a.level = b.level and a.i // 8 = b.i // 8 where a.n > 1 group by a.tree, a.level, a.i),
+top_sib as (
+  select a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l,
+    coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+  from tops a join tops b on a.level = b.level and a.i // 8 = b.i // 8 where a.n > 1 group by a.level, a.i),
+up as (
+  select tree, i as leaf_i, 0 as level, i, other as h, '' as proof from placed
+  union all
+  select up.tree, leaf_i, up.level + 1, up.i // 8, sha256(l || up.h || r), proof || l || r from up join sib using (tree, level, i)),
+ended as (
+  select up.* from up join nodes using (tree, level, i) where nodes.n = 1),
+up_top as (
+  select tree, leaf_i, 0 as level, subroots.i, h, proof from ended join subroots using (tree)
+  union all
+  select tree, leaf_i, level + 1, i // 8, sha256(l || h || r), proof || l || r from up_top join top_sib using (level, i))
+select p.doc_id, p.leaf, s.subroot, tops.h as root, sha256(u.proof) as proof_sha256, u.h as folded_root, u.h = tops.h as verified
+from placed p join subroots s on s.tree = p.tree join up_top u on u.tree = p.tree and u.leaf_i = p.i join tops on tops.n = 1 and tops.level = u.level""",
 }
