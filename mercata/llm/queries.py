@@ -98,6 +98,14 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_warc, op4_simhash,
                                 op7_syncmers, op8_substrings, op9_nndescent, op10_lm, op11_repair, op12_secrets,
                                 op13_merkle)}
 
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, eight rounds a byte."""
+    return (f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: cast(ascii(c) as bigint)), "
+            "lambda c, b: list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint), "
+            "4294967295)")
+
+
 ORACLES = {
     # Base32 of SHA-1: 20 bits (5 hex digits) at a time, 4 characters each.
     "op3_warc": """
@@ -144,13 +152,60 @@ named as (select vec_id, min(other) as component_id from reach group by vec_id),
 counted as (select a as vec_id, count(*) as n_links from links group by a)
 select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
 from named left join counted using (vec_id)""",
-    # Eight rounds a byte give the CRC-32 of the decimal id. The trees grow level by level; a node's siblings are its run's
+    # Turn by turn from the front: the best repair of the turns so far for each role put out last (0 nothing, 1 system, 2 user,
+    # 3 assistant). Up to two inserts may stand in front of a turn; more never pay.
+    "op11_repair": """
+with recursive c as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    """ + _crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')") + """ % 20 as how from conversations),
+damaged as (
+  select conv_id, turn, case when how = 4 then 'user' else role end as role,
+    case how when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when how = 3 then [0, 1] else [0] end) as copy from c where how <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, count(*) over (partition by conv_id) as n,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth from damaged),
+t as (
+  select *, substr(role, 1, 1) as s, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as p,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when nth > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault from placed),
+pre(q, cost, audit, lines, q2) as (
+  select q, 0, '', []::varchar[], q from range(4) x(q)
+  union all values (0, 5, 'I', ['user:'], 2), (1, 5, 'I', ['user:'], 2), (3, 5, 'I', ['user:'], 2), (2, 5, 'I', ['assistant:'], 3),
+    (0, 10, 'II', ['user:', 'assistant:'], 3), (1, 10, 'II', ['user:', 'assistant:'], 3), (3, 10, 'II', ['user:', 'assistant:'], 3),
+    (2, 10, 'II', ['assistant:', 'user:'], 2)),
+best as (
+  select distinct conv_id, 0::bigint as i, 0::bigint as q, {'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]} as b from t
+  union all
+  select conv_id, i, q, min(b) from (
+    select best.conv_id, t.i, cast(case e when 'D' then q2 when 'R' then if(q2 = 2, 3, 2) else case s when 's' then 1 when 'u' then 2 else 3 end end as bigint) as q,
+      {'cost': cast(b.cost + pre.cost + case e when 'D' then 2 else if(e = 'R', 1, 0) + if(fault = 'truncated', 5, 0) end as bigint),
+       'audit': b.audit || pre.audit || e,
+       'lines': list_concat(list_concat(b.lines, pre.lines), case e when 'D' then []::varchar[]
+          when 'R' then [if(q2 = 2, 'assistant:', 'user:') || text] else [role || ':' || text] end)} as b
+    from best join t on t.conv_id is not distinct from best.conv_id and t.i = best.i + 1 join pre on pre.q = best.q, (values ('D'), ('R'), ('K')) edits(e)
+    where e = 'D' or (fault not in ('blank', 'duplicate') and (e = 'R' or (s = 's' and q2 = 0) or (s = 'u' and q2 <> 2) or (s = 'a' and q2 = 2))))
+  group by conv_id, i, q),
+closed as (
+  select best.conv_id, min({'cost': cast(b.cost + case q when 1 then 10 when 2 then 5 else 0 end as bigint),
+    'audit': b.audit || case q when 1 then 'II' when 2 then 'I' else '' end,
+    'lines': list_concat(b.lines, case q when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else []::varchar[] end)}) as b
+  from best join (select conv_id, max(i) as n from t group by conv_id) m on m.conv_id is not distinct from best.conv_id and best.i = m.n
+  group by best.conv_id),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (p is not null and p || s not in ('su', 'ua', 'au')) as illegal from t group by conv_id)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(b.cost, 0) as cost, coalesce(b.audit, '') as audit,
+  sha256(coalesce(array_to_string(b.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted k on k.conv_id is not distinct from o.conv_id
+  left join closed l on l.conv_id is not distinct from o.conv_id""",
+    # The trees grow level by level; a node's siblings are its run's
     # others, and a leaf is folded with them up to its subroot and on to the root.
     "op13_merkle": """
 with recursive d as (
-  select *, doc_id is not null and xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)),
-      lambda c, b: list_reduce([0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint),
-    4294967295) % 3 = 0 as hit from documents),
+  select *, doc_id is not null and """ + _crc32("cast(doc_id as varchar)") + """ % 3 = 0 as hit from documents),
 e as (
   select doc_id, coalesce('=' || lang, '') as tree,
     coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
