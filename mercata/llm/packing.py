@@ -1,14 +1,14 @@
 """Optimal length buckets and token-budget batches.
 
-A global histogram of padded lengths (one aggregation, its bins bounded by the
-length grid) goes to the driver; dynamic programming over it picks the bucket
-boundaries with the least total padding. Rows then get their bucket by a CASE
-expression and batches form inside each bucket, in chunks of bounded size.
+A global histogram of the lengths up to the batch budget (one aggregation, at
+most one bin a length) goes to the driver; dynamic programming over it picks
+the bucket boundaries with the least total padding. A longer row is a batch of
+its own and needs none. Rows then get their bucket by a CASE expression and
+batches form inside each bucket, in chunks of bounded size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,25 +16,15 @@ from pyspark.sql import functions as F
 
 from mercata.session import write_table
 
-#: Lengths are exact multiples of the grid step up to this many steps, then grow
-#: by 1/512: the histogram has at most a few ten thousand bins, however long a text is.
-LINEAR_STEPS = 8192
-
 
 def grid_length(n: int, step: int) -> int:
-    """Smallest grid length that holds n tokens (at least one step)."""
-    steps = max(1, -(-n // step))
-    if steps > LINEAR_STEPS:
-        scale = 1 << (math.frexp(steps)[1] - 10)  # keeps 10 leading bits, so 1/512 at most
-        steps = -(-steps // scale) * scale
-    return steps * step
+    """Smallest multiple of ``step`` that holds n tokens (at least one step)."""
+    return max(1, -(-n // step)) * step
 
 
 def _grid(n: Column, step: int) -> Column:
     """``grid_length`` as a column expression."""
-    steps = F.greatest(F.lit(1), F.ceil(n / step).cast("long"))
-    scale = F.expr("1L").cast("long") * F.pow(F.lit(2.0), F.length(F.bin(steps)) - 10).cast("long")
-    return F.when(steps > LINEAR_STEPS, F.ceil(steps / scale).cast("long") * scale).otherwise(steps) * step
+    return F.greatest(F.lit(1), F.ceil(n / step).cast("long")) * step
 
 
 def optimal_boundaries(histogram: Sequence[tuple[int, int, int]], buckets: int) -> list[int]:
@@ -83,41 +73,47 @@ def optimal_boundaries(histogram: Sequence[tuple[int, int, int]], buckets: int)
     return cuts[::-1]
 
 
-def pack(df: DataFrame, key: str, length: Column, buckets: int = 16, budget: int = 65_536, step: int = 8,
+def pack(df: DataFrame, key: str, length: Column, buckets: int = 16, budget: int = 65_536, step: int = 1,
          chunk_rows: int = 100_000) -> DataFrame:
     """One row per input row: ``key``, n_tokens, bucket, padded_tokens, batch_id, position, batch_docs, padding.
 
     A batch holds rows of one bucket, each padded to the bucket's boundary, and
-    at most ``budget`` tokens; a row longer than the budget is a batch alone.
-    Batches fill in chunks of about ``chunk_rows`` rows dealt by row number, so
-    one length (or one repeated key) holding a third of all rows still spreads;
-    each chunk leaves at most one batch unfilled. Null lengths count as 0;
-    empty rows take the smallest bucket; an empty input gives no rows.
+    at most ``budget`` tokens. Boundaries are multiples of ``step`` (1: any
+    length) and minimise the padding of all rows up to the budget; a row longer
+    than the budget is a batch alone, padded to its own length only, under the
+    last bucket's number. Batches fill in chunks of about ``chunk_rows`` rows
+    dealt by row number, so one length (or one repeated key) holding a third of
+    all rows still spreads; each chunk leaves at most one batch unfilled. Null
+    lengths count as 0; empty rows take the smallest bucket; an empty input
+    gives no rows.
     """
     rows = write_table(df.select(
         F.col(key).alias("key"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumn("grid", _grid(F.col("n_tokens"), step)), "pack-rows")
-    histogram = sorted((r[0], r[1], r[2]) for r in rows.groupBy("grid").agg(F.count("*"), F.sum("n_tokens")).collect())
-    cuts = optimal_boundaries(histogram, buckets)
-    if not cuts:
-        cuts = [step]
-    bucket, boundary, chunks = F.lit(None), F.lit(None), F.lit(None)
+    histogram = sorted((r[0], r[1], r[2]) for r in rows.filter(F.col("grid") <= budget).groupBy("grid")
+                       .agg(F.count("*"), F.sum("n_tokens")).collect())
+    cuts = optimal_boundaries(histogram, buckets) or [step]
+    bucket, boundary, chunks = F.lit(len(cuts) - 1), F.col("grid"), F.lit(1)
     for i in reversed(range(len(cuts))):
         held = sum(c for g, c, _ in histogram if g <= cuts[i] and (i == 0 or g > cuts[i - 1]))
         here = F.col("grid") <= cuts[i]
         bucket = F.when(here, F.lit(i)).otherwise(bucket)
         boundary = F.when(here, F.lit(cuts[i]).cast("long")).otherwise(boundary)
         chunks = F.when(here, F.lit(max(1, -(-held // chunk_rows)))).otherwise(chunks)
+    dealt = rows.select("key", "n_tokens", "row", bucket.cast("int").alias("bucket"), boundary.alias("padded_tokens"),
+                        F.pmod(F.xxhash64("row"), chunks).cast("int").alias("chunk"), (F.col("grid") > cuts[-1]).alias("alone"))
     chunk = Window.partitionBy("bucket", "chunk")
     filled = F.row_number().over(chunk.orderBy("row")) - 1
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_tokens")).cast("long"))
-    return (rows.select("key", "n_tokens", "row", bucket.cast("int").alias("bucket"), boundary.alias("padded_tokens"),
-                        F.pmod(F.xxhash64("row"), chunks).cast("int").alias("chunk"))
-            .withColumn("_n", filled).withColumn("_all", F.count("*").over(chunk)).withColumn("_cap", capacity)
-            .withColumn("_batch", F.floor(F.col("_n") / F.col("_cap")).cast("long"))
-            .select(F.col("key").alias(key), "n_tokens", "bucket", "padded_tokens",
-                    F.concat_ws("-", "bucket", "chunk", "_batch").alias("batch_id"),
-                    (F.col("_n") % F.col("_cap")).cast("long").alias("position"),
-                    F.least(F.col("_cap"), F.col("_all") - F.col("_batch") * F.col("_cap")).alias("batch_docs"),
-                    (F.col("padded_tokens") - F.col("n_tokens")).alias("padding")))
+    together = (dealt.filter(~F.col("alone")).withColumn("_n", filled).withColumn("_all", F.count("*").over(chunk)).withColumn("_cap", capacity)
+                .withColumn("_batch", F.floor(F.col("_n") / F.col("_cap")).cast("long"))
+                .select(F.col("key").alias(key), "n_tokens", "bucket", "padded_tokens",
+                        F.concat_ws("-", "bucket", "chunk", "_batch").alias("batch_id"),
+                        (F.col("_n") % F.col("_cap")).cast("long").alias("position"),
+                        F.least(F.col("_cap"), F.col("_all") - F.col("_batch") * F.col("_cap")).alias("batch_docs"),
+                        (F.col("padded_tokens") - F.col("n_tokens")).alias("padding")))
+    alone = dealt.filter("alone").select(
+        F.col("key").alias(key), "n_tokens", "bucket", "padded_tokens", F.concat(F.lit("alone-"), "row").alias("batch_id"),
+        F.lit(0).cast("long").alias("position"), F.lit(1).cast("long").alias("batch_docs"), (F.col("padded_tokens") - F.col("n_tokens")).alias("padding"))
+    return together.unionByName(alone)

@@ -227,6 +227,20 @@ def test_batches_hold_every_row_once_within_budget(spark):
     assert packing.pack(no_documents(spark), "doc_id", word_count(F.col("text"))).count() == 0
 
 
+def test_padding_is_the_least_possible(spark):
+    """Against every choice of boundaries; rows over the budget, which are batches alone, are not padded."""
+    from itertools import combinations
+    fifty = spark.createDataFrame([(i, 9) for i in range(50)], "id int, n int")
+    assert sum(r.padding for r in packing.pack(fifty, "id", F.col("n")).collect()) == 0
+    r = random.Random(8)
+    lengths = [r.choice([3, 9, 10, 11, 40, 41, 77, 100, 333]) for _ in range(200)] + [5000, 7001]
+    got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "id int, n int"), "id", F.col("n"), buckets=4, budget=400).collect()
+    every = sorted({n for n in lengths if n <= 400})
+    best = min(sum(min(b for b in (*some, every[-1]) if b >= n) - n for n in lengths if n <= 400) for some in combinations(every[:-1], 3))
+    assert sum(x.padding for x in got) == best
+    assert sorted((x.n_tokens, x.padding, x.batch_docs) for x in got if x.n_tokens > 400) == [(5000, 0, 1), (7001, 0, 1)]
+
+
 def test_length_grid_agrees_with_its_column(spark):
     lengths = [0, 1, 8, 9, 65_535, 65_536, 65_537, 70_001, 1_000_003, 123_456_789]
     df = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", packing._grid(F.col("n"), 8).alias("g"))
