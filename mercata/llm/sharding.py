@@ -67,7 +67,9 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit_bytes: int) -
                         | (F.col("local_depth") >= 2 * WORD_BITS)))
         up = cells.select("cell", F.explode(F.sequence(F.lit(depth), F.lit(full))).alias("d")).select(
             "cell", F.expr("substring(cell, 1, d)").alias("shard"), F.col("d").alias("local_depth"))
-        leaf = (up.join(tree, ["shard", "local_depth"])
+        # No prefix above the shallowest bucket can match; the shortest ones would be every cell's key.
+        up = up.filter(F.col("local_depth") >= tree.agg(F.min("local_depth")).scalar())
+        leaf = (up.join(tree.hint("merge"), ["shard", "local_depth"])
                 .groupBy("cell").agg(F.min_by(F.struct("shard", "local_depth", "shard_bytes", "shard_rows"),
                                               "local_depth").alias("leaf")))
         leaf = write_table(leaf, "shard-leaves")
