@@ -26,6 +26,9 @@ _MANIFEST = ("version long, load string, table_name string, path string, row_cou
 #: Bucketing of the commerce tables: what joins on the order is stored by the order.
 ORDER_BUCKETS = {n: "order_id" for n in ("orders", "order_items", "order_payments", "order_reviews")}
 
+#: Bytes of a source file set that one bucket, and so one sorting task, gets on average at most.
+BUCKET_BYTES = 64 << 20
+
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).json(f"{root}/_manifest")
@@ -43,6 +46,15 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(F.struct("version", "load") == newest)
 
 
+def _enough_buckets(spark: SparkSession, paths: Iterable[str], least: int) -> int:
+    """``least``, doubled until no source has more than ``BUCKET_BYTES`` a bucket (sizes from the listing, no file is read)."""
+    sizes = [spark.read.format("binaryFile").load(p).agg(F.sum("length")).first()[0] or 0 for p in paths]
+    n = least
+    while max(sizes, default=0) > n * BUCKET_BYTES:
+        n *= 2
+    return n
+
+
 def _ddl(schema: StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
@@ -62,12 +74,14 @@ def load_tables(spark: SparkSession, src_dir: str, root: str, registry: Mapping[
                 multi_line: Collection[str] = ("order_reviews",), bucket_by: Mapping[str, str] = ORDER_BUCKETS, buckets: int = 64) -> DataFrame:
     """Replace the tables under ``root`` by those of ``registry`` (name -> (csv file, schema)), all or none.
 
-    Tables named in ``bucket_by`` are stored in ``buckets`` buckets of that
-    column, the same number for all, sorted by it. Returns (table_name,
+    Tables named in ``bucket_by`` are stored in buckets of that column, the
+    same number for all, sorted by it: ``buckets`` of them, or as many times
+    two as the largest source needs at ``BUCKET_BYTES`` a bucket. Returns (table_name,
     row_count, bad_rows) of the written tables. A load that fails leaves the
     manifest, and so every reader, as it was.
     """
     load = uuid.uuid4().hex
+    buckets = _enough_buckets(spark, [f"{src_dir}/{f}" for n, (f, _) in registry.items() if n in bucket_by], buckets)
     done = []
     for name, (filename, schema) in registry.items():
         path, key = f"{root}/data/{load}/{name}", bucket_by.get(name)

@@ -95,6 +95,20 @@ def test_bucketed_tables_join_without_shuffling_orders(spark, source, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_buckets_grow_with_the_largest_source(spark, source, tmp_path, monkeypatch):
+    """A sorting task gets a bounded share: twice the buckets for twice the source, the same number for all tables."""
+    folder, registry = source
+    some = {n: registry[n] for n in ("orders", "order_items")}
+    largest = max(os.path.getsize(os.path.join(folder, f)) for f, _ in some.values())
+    for share, want in ((1, 4), (4, 4), (5, 8), (30, 32)):
+        monkeypatch.setattr(catalog, "BUCKET_BYTES", largest // share + 1)
+        root = str(tmp_path / f"tables{share}")
+        catalog.load_tables(spark, folder, root, some, buckets=4)
+        assert {r.buckets for r in catalog.current(spark, root).collect()} == {want}
+        fx, t = Fixtures(spark, SF_SMALL), catalog.read_tables(spark, root)
+        assert t["order_items"].count() == fx.items.count() and t["orders"].count() == fx.orders.count()
+
+
 def test_counts_come_from_footers(spark):
     listed = spark.conf.get("spark.sql.sources.useV1SourceList")
     df = stored_row_counts(spark, {t: f"{SF_SMALL}/{t}.parquet" for t in ("orders", "lineitem")})

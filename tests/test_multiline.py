@@ -90,3 +90,18 @@ def test_malformed_records_are_flagged_or_refused(spark):
     assert rows["r"].id is None and rows["r"]._corrupt_record.startswith("not a number")
     with pytest.raises(Exception, match="(?i)malformed"):
         read_csv(spark, path, SCHEMA, multi_line=True, mode="FAILFAST").collect()
+
+
+def test_lines_are_neither_shuffled_nor_written(spark, monkeypatch):
+    """Only rows of ranges are stored, and only borders of ranges are sorted or exchanged, whatever a range holds."""
+    from mercata.sources import records
+
+    stored = []
+    monkeypatch.setattr(records, "write_table", lambda df, label: stored.append(df.localCheckpoint()) or stored[-1])
+    path = _write("t.csv", "id,a-b,c\n" + "".join(f'{i},"p\n\nq",""\n' for i in range(60_000)))
+    df = records.csv_records(spark, path, header=True)
+    assert df.count() == 60_000 and df.filter(F.col("record").rlike('^[0-9]+,"p\n\nq",""$')).count() == 60_000
+    assert sum(t.count() for t in stored) == spark.read.text(path).rdd.getNumPartitions()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    lines, borders = plan.split("Union")[1].split("Aggregate")
+    assert "Window" in borders and "Window" not in lines and "Repartition" not in plan and "rightHint=(strategy=broadcast)" in lines, plan
