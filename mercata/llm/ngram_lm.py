@@ -30,6 +30,8 @@ END, BEGIN = 0x9E6D62D06F6A9A9B, 0x5851F42D4C957F2D
 PSEUDO = (20.0, 5.0)
 ALPHA = 0.1
 BATCH_TOKENS = 1 << 21
+#: Tokens of a batch that are scored at a time.
+SOME_TOKENS = 1 << 18
 #: Bytes of text per shard.
 SHARD_BYTES = 8 << 20
 #: Contexts dealt on by their second word, at most: the list goes to every task. Results do not depend on it.
@@ -42,7 +44,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _unpack(piece: bytes, *kinds) -> list[np.ndarray]:
+def _unpack(piece: bytes | memoryview, *kinds) -> list[np.ndarray]:
     body = pa.decompress(piece[8:], int.from_bytes(piece[:8], "little"), codec="zstd", asbytes=True)
     out, at = [], 0
     for kind in kinds:
@@ -87,21 +89,22 @@ class BatchTrie:
     context once more in every shard that holds children of it.
     """
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, shards: int, hot: np.ndarray):
-        self.words, self.at = distinct(tokens, 64)
-        first = np.zeros(len(tokens), bool)
+    def __init__(self, words: np.ndarray, at: np.ndarray, sizes: np.ndarray, shards: int, hot: np.ndarray):
+        """``words``: the batch's distinct tokens, ascending; ``at``: the number of each token among them (int32)."""
+        first = np.zeros(len(at), bool)
         first[np.cumsum(sizes) - sizes] = True
         self.later = ~first
-        begin = int(np.searchsorted(self.words, np.uint64(BEGIN)))
-        names = np.insert(self.words, begin, np.uint64(BEGIN))
-        own = self.at + (self.at >= begin)
+        begin = int(np.searchsorted(words, np.uint64(BEGIN)))
+        names = np.insert(words, begin, np.uint64(BEGIN))
+        own = at + (at >= begin)  # 32-bit, as all arrays by token
         before = np.empty_like(own)
         before[1:] = own[:-1]
         before[first] = begin
-        child = (mix(names) >> np.uint64(32))[own]
+        del first
+        child = (mix(names) >> np.uint64(32)).astype(np.uint32)[own]
         base = self._shard(names, shards).astype(np.uint64) << np.uint64(32) | np.arange(len(names), dtype=np.uint64)
         spread = np.flatnonzero(np.isin(names, hot)[before])
-        place = self._shard(names[before[spread]] * np.uint64(31) + tokens[spread], shards)
+        place = self._shard(names[before[spread]] * np.uint64(31) + names[own[spread]], shards)
         extra = place.astype(np.uint64) << np.uint64(32) | before[spread].astype(np.uint64)
         self.roots = np.unique(np.concatenate([base, extra]))
         self.root_shard = (self.roots >> np.uint64(32)).astype(np.int64)
@@ -110,11 +113,17 @@ class BatchTrie:
         self.n1 = at_home[own]
         self.up1 = at_home[before]
         self.up1[spread] = np.searchsorted(self.roots, extra)
-        del own, before
-        top = 32 + max(1, len(self.roots).bit_length())
-        self.k2, self.n2 = distinct(self.up1.astype(np.uint64) << np.uint64(32) | child, top)
-        top = 32 + max(1, len(self.k2).bit_length())
-        self.k3, self.n3 = distinct(self.n2[np.flatnonzero(self.later) - 1].astype(np.uint64) << np.uint64(32) | child[self.later], top)
+        del own, before, spread, place, extra, base, names, at_home
+        self.k2, self.n2 = self._distinct(self.up1, child, len(self.roots))
+        child = child[self.later]
+        self.k3, self.n3 = self._distinct(self.n2[:-1][self.later[1:]], child, len(self.k2))
+
+    @staticmethod
+    def _distinct(parents: np.ndarray, child: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        keys = parents.astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= child
+        return distinct(keys, 32 + max(1, most.bit_length()))
 
     @staticmethod
     def _shard(words: np.ndarray, shards: int) -> np.ndarray:
@@ -125,7 +134,7 @@ class BatchTrie:
         c1 = np.bincount(self.n1[train], minlength=len(self.roots)).astype(np.int32)
         c2 = np.bincount(self.n2[train], minlength=len(self.k2)).astype(np.int32)
         c3 = np.bincount(self.n3[train[self.later]], minlength=len(self.k3)).astype(np.int32)
-        p2, p3 = (self.k2 >> np.uint64(32)).astype(np.int64), (self.k3 >> np.uint64(32)).astype(np.int64)
+        p2, p3 = (self.k2 >> np.uint64(32)).astype(np.int32), (self.k3 >> np.uint64(32)).astype(np.int32)
         f1 = np.bincount(p2, minlength=len(self.roots)).astype(np.int32)
         f2 = np.bincount(p3, minlength=len(self.k2)).astype(np.int32)
         i2, i3 = self.k2.astype(np.uint32), self.k3.astype(np.uint32)
@@ -147,7 +156,7 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[cut], np.add.reduceat(counts.astype(np.int64), cut) if len(cut) else np.zeros(0, np.int64)
 
 
-def build_trie(pieces: list[bytes], hot: dict[int, int]):
+def build_trie(pieces: list[bytes | memoryview], hot: dict[int, int]):
     """A shard's trie over n-grams seen in training, as a memory map.
 
     ``hot``: training counts of contexts whose children are spread over shards.
@@ -191,7 +200,7 @@ def build_trie(pieces: list[bytes], hot: dict[int, int]):
     return Trie.build([words, k2 & low, k3 & low], [f1, f2], c1, codes, weights)
 
 
-def answer(trie: Trie, piece: bytes) -> bytes:
+def answer(trie: Trie, piece: bytes | memoryview) -> bytes:
     """Codes for a batch's n-grams: word counts and weights, bigram codes and weights, trigram codes."""
     words, _, f1, i2, _, f2, i3, _ = _unpack(piece, *_PIECE)
     a = trie.find(0, None, words)
@@ -287,8 +296,9 @@ def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
     def split(batches):
         for b in batches:
             for batch, flags, body in zip(*b.columns):
-                words, at, sizes = _unpack(body.as_py(), np.uint64, np.int32, np.int64)
-                trie = BatchTrie(words[at], sizes, shards, spread)
+                words, at, sizes = _unpack(memoryview(body.as_buffer()), np.uint64, np.int32, np.int64)
+                trie = BatchTrie(words, at, sizes, shards, spread)
+                del words, at
                 learnt = np.repeat(flags.values.to_numpy(zero_copy_only=False).astype(bool), sizes)
                 for s, piece in trie.pieces(learnt, shards):
                     yield pa.RecordBatch.from_arrays(
@@ -309,12 +319,12 @@ def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
 
         shard, pieces = None, []
         for b in source:
-            for s, batch, body in zip(*(c.to_pylist() for c in b.columns)):
+            for s, batch, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if s != shard and pieces:
                     yield from close(shard, pieces)
                     pieces = []
                 shard = s
-                pieces.append((batch, body))
+                pieces.append((batch, memoryview(body.as_buffer())))  # a view: no second copy of a task's pieces
         if pieces:
             yield from close(shard, pieces)
 
@@ -329,29 +339,42 @@ def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
 
     def finish(source):
         def close(pieces):
-            keys, flags, body = pieces[0][2:]
-            words, at, sizes = _unpack(body, np.uint64, np.int32, np.int64)
-            trie = BatchTrie(words[at], sizes, shards, spread)
-            count, w1, q2, w2, q3 = (np.concatenate(c) for c in zip(*(_unpack(p[4], *_ANSWER) for p in pieces[1:])))
-            c = count[trie.n1]
-            base = (c + ALPHA) / floor
-            p = dequantise(q2[trie.n2]) + dequantise(w1[trie.up1]) * base
-            third = np.flatnonzero(trie.later)
-            p[third] = dequantise(q3[trie.n3]) + dequantise(w2[trie.n2[third - 1]]) * p[third]
-            starts = np.cumsum(sizes) - sizes
-            add = lambda x: np.add.reduceat(x, starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, key_type), pa.array(flags), pa.array(sizes), pa.array(add((c > 0).astype(np.int64))),
-                 pa.array(np.full(len(sizes), int(total))), pa.array(add(np.log10(base))),
-                 pa.array(np.minimum(add(np.log10(np.minimum(p, 1.0))), 0.0))], ["key", *columns])
+            keys, flags = (c.values for c in pieces[0][:2])
+            words, at, sizes = _unpack(pieces[0][2], np.uint64, np.int32, np.int64)
+            trie = BatchTrie(words, at, sizes, shards, spread)
+            del words, at
+            trie.k2 = trie.k3 = None  # only the tokens' places are needed here
+            count, w1, q2, w2, q3 = (np.concatenate(c) for c in zip(*(_unpack(p[2], *_ANSWER) for p in pieces[1:])))
+            ends = np.cumsum(sizes)
+            thirds = np.cumsum(trie.later, dtype=np.int32)
+            a = 0
+            while a < len(sizes):  # some texts at a time: about SOME_TOKENS tokens, or one text
+                begin = int(ends[a] - sizes[a])
+                b = max(a + 1, int(np.searchsorted(ends, begin + SOME_TOKENS, "right")))
+                x = slice(begin, int(ends[b - 1]))
+                c = count[trie.n1[x]]
+                base = (c + ALPHA) / floor
+                p = dequantise(q2[trie.n2[x]]) + dequantise(w1[trie.up1[x]]) * base
+                third = np.flatnonzero(trie.later[x])  # a text's first token is none: its predecessor is in x as well
+                if len(third):
+                    last = int(thirds[x.stop - 1])
+                    p[third] = dequantise(q3[trie.n3[last - len(third) : last]]) + dequantise(w2[trie.n2[x][third - 1]]) * p[third]
+                starts = ends[a:b] - sizes[a:b] - begin
+                add = lambda v: np.add.reduceat(v, starts)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(a, b - a), flags.slice(a, b - a), pa.array(sizes[a:b]), pa.array(add((c > 0).astype(np.int64))),
+                     pa.array(np.full(b - a, int(total))), pa.array(add(np.log10(base))),
+                     pa.array(np.minimum(add(np.log10(np.minimum(p, 1.0))), 0.0))], ["key", *columns])
+                a = b
 
-        pieces = []
+        now, pieces = None, []
         for b in source:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if pieces and row[0] != pieces[0][0]:
+            for batch, keys, flags, body in zip(b.column(0).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                if pieces and batch != now:
                     yield from close(pieces)
                     pieces = []
-                pieces.append(row)
+                now = batch
+                pieces.append((keys, flags, memoryview(body.as_buffer())))
         if pieces:
             yield from close(pieces)
 

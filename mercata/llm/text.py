@@ -52,9 +52,12 @@ def ordered(keys: np.ndarray, bits: int) -> np.ndarray:
     n = len(keys)
     width = max(1, n.bit_length())
     drop = np.uint64(max(0, bits + width - 64))
-    packed = (keys >> drop) << np.uint64(width) | np.arange(n, dtype=np.uint64)
+    packed = keys >> drop
+    packed <<= np.uint64(width)
+    packed |= np.arange(n, dtype=np.uint64)
     packed.sort()
-    order = (packed & np.uint64((1 << width) - 1)).astype(np.int64)
+    packed &= np.uint64((1 << width) - 1)
+    order = packed.view(np.int64)  # places are far below 2**63
     if drop:
         k = keys[order]
         wrong = np.flatnonzero(k[1:] < k[:-1])

@@ -459,3 +459,28 @@ def test_scores_query_on_the_tables(spark):
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in docs]
     check_scores(got, docs, train)
     assert {r.doc_id: not r.held_out for r in got} == dict(zip([i for i, _ in docs], train))
+
+
+def test_lm_memory_of_a_batch():
+    """A batch's trie takes a bounded number of bytes a token while it is built."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    words = np.unique(r.integers(0, 1 << 63, 30_000).astype(np.uint64))
+    at, sizes = r.integers(0, len(words), 400_000).astype(np.int32), np.full(800, 500)
+    tracemalloc.start()
+    ngram_lm.BatchTrie(words, at, sizes, 16, words[:20])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * len(at)
+
+
+def test_lm_scores_do_not_depend_on_the_part_scored_at_a_time(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("a b c d e f g".split()) for _ in range(r.choice([0, 1, 2, 9, 60])))) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (200, None)], "doc_id long, text string").repartition(3)
+    out = []
+    for some in (1 << 18, 13, 1):
+        monkeypatch.setattr(ngram_lm, "SOME_TOKENS", some)
+        out.append({x.doc_id: x for x in ngram_lm.score(docs, "doc_id", "text", F.col("doc_id") % 3 > 0).collect()})
+    assert len(out[0]) == 201 and out[0] == out[1] == out[2]
